@@ -20,33 +20,37 @@ DISTINCT_LIMIT = 2_000_000
 SKETCH_ACCURACY = 10_000
 
 
-def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """Non-null rows and estimated distinct values of each column, in one pass."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c, 0.02).alias(f"d{i}")]
-    row = df.agg(*aggregates).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
+def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Non-null rows of each column."""
+    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
+def _few_distinct(estimate: int, limit: int) -> bool:
+    """The estimate has a standard error of 5 %; five of them are allowed for."""
+    return estimate * 1.25 <= limit
 
 
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, Sequence[int]],
-    sizes: Mapping[str, tuple[int, int]] | None = None,
+    sizes: Mapping[str, int] | None = None,
     distinct_limit: int = DISTINCT_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[int, tuple]]:
     """For each column and each 0-based rank of its ascending non-null values: (value, rows below, rows equal)."""
     sizes = sizes or column_sizes(df, list(ranks))
+    for c, wanted in ranks.items():
+        if any(not 0 <= r < sizes[c] for r in wanted):
+            raise IndexError(f"rank outside 0..{sizes[c] - 1} for column {c}")
+    long = [c for c in ranks if sizes[c] > distinct_limit]
+    estimates = df.agg(*[F.approx_count_distinct(c).alias(c) for c in long]).first().asDict() if long else {}
     small, found = {}, {}
     for c, wanted in ranks.items():
-        rows, distinct = sizes[c]
-        if any(not 0 <= r < rows for r in wanted):
-            raise IndexError(f"rank outside 0..{rows - 1} for column {c}")
-        if rows <= distinct_limit or distinct * 1.1 <= distinct_limit:
+        if c not in estimates or _few_distinct(estimates[c], distinct_limit):
             small[c] = sorted(set(wanted))
         else:
-            found[c] = _select_large(df, c, sorted(set(wanted)), rows, distinct_limit, accuracy)
+            found[c] = _select_large(df, c, sorted(set(wanted)), sizes[c], distinct_limit, accuracy)
     if small:
         found.update(_select_small(df, small))
     return found
@@ -67,10 +71,8 @@ def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[str
     )
     running = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("below", F.sum("equal").over(running) - F.col("equal"))
-    covers = F.lit(False)
-    for i, c in enumerate(columns):
-        for r in ranks[c]:
-            covers = covers | ((F.col("c") == i) & (F.col("below") <= r) & (F.lit(r) < F.col("below") + F.col("equal")))
+    wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("bigint") for r in ranks[c]]) for c in columns]), F.col("c") + 1)
+    covers = F.exists(wanted, lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("equal")))
     found = {c: {} for c in columns}
     for row in placed.filter(covers).collect():
         c = columns[row["c"]]
@@ -96,7 +98,7 @@ def _select_large(df, column, ranks, rows, distinct_limit, accuracy) -> dict[int
     # One box per rank: lowest value, highest value, rows below it, rows in it, distinct values in it.
     boxes = {r: (None, None, 0, rows, None) for r in ranks}
     while True:
-        wide = [r for r in ranks if boxes[r][4] is None or boxes[r][4] * 1.1 > distinct_limit]
+        wide = [r for r in ranks if boxes[r][4] is None or not _few_distinct(boxes[r][4], distinct_limit)]
         if not wide:
             break
         margin = 2.0 / accuracy
@@ -113,7 +115,7 @@ def _select_large(df, column, ranks, rows, distinct_limit, accuracy) -> dict[int
             checks += [
                 F.count_if(v < F.lit(box[0])).alias(f"b{r}"),
                 F.count_if(inside(box)).alias(f"i{r}"),
-                F.approx_count_distinct(F.when(inside(box), v), 0.02).alias(f"d{r}"),
+                F.approx_count_distinct(F.when(inside(box), v)).alias(f"d{r}"),
             ]
         checked = values.agg(*checks).first()
         for r in wide:
@@ -156,7 +158,7 @@ def quantiles(
     sizes = column_sizes(df, list(probabilities))
     places = {}
     for c, ps in probabilities.items():
-        rows = sizes[c][0]
+        rows = sizes[c]
         places[c] = [Fraction(str(p)) * (rows - 1) for p in ps] if rows else []
     ranks = {
         c: sorted({r for x in xs for r in (floor(x), floor(x) + (x.denominator > 1))}) for c, xs in places.items() if xs

@@ -26,7 +26,7 @@ def rank_cuts(
     Ranks below 1 give None and ranks past the end give the last row. Only these pairs reach the driver.
     """
     sizes = column_sizes(df, [value])
-    rows = sizes[value][0]
+    rows = sizes[value]
     if not rows:
         return [None for _ in ranks]
     kept = [min(r, rows) for r in ranks]

@@ -68,7 +68,7 @@ def with_split(rows: DataFrame, share: float = TEST_SHARE, seed: int = SEED) ->
     keyed = rows.withColumn("_key", split_key(seed))
     by_class = keyed.select(*[F.when(F.col(LABEL) == c, F.col("_key")).alias(f"k{c}") for c in (0, 1)])
     sizes = column_sizes(by_class, ["k0", "k1"])
-    wanted = test_sizes([sizes["k0"][0], sizes["k1"][0]], share)
+    wanted = test_sizes([sizes["k0"], sizes["k1"]], share)
     ranks = {f"k{c}": [n - 1] for c, n in enumerate(wanted) if n > 0}
     cuts = order_statistics(by_class, ranks, sizes) if ranks else {}
     is_test = F.lit(False)
@@ -120,7 +120,7 @@ def build_pipeline(rows: int) -> Pipeline:
                 elasticNetParam=0.0,
                 standardization=False,
                 maxIter=1000,
-                tol=1e-10,
+                tol=1e-8,
             ),
         ]
     )
@@ -144,7 +144,7 @@ def decide(probability: str = "Churn_Probability_Raw", threshold: float = DECISI
     return F.when(F.col(probability) > threshold, 1).otherwise(0)
 
 
-def published_score(features: DataFrame, digits: int = 6) -> DataFrame:
+def published_score(features: DataFrame, digits: int = 9) -> DataFrame:
     """Adds Churn_Probability_Raw from the published coefficients on predictors standardised over these rows."""
     stats = features.agg(
         *[F.avg(c).alias(f"m_{c}") for c in PREDICTORS], *[F.stddev_pop(c).alias(f"s_{c}") for c in PREDICTORS]

@@ -287,14 +287,16 @@ def histogram(table: DataFrame, column: str, bins: int, cap: float | None = None
     value = value if cap is None else F.least(value, F.lit(float(cap)))
     low, high = table.agg(F.min(value), F.max(value)).first()
     bounds = {
-        "lower": F.round(F.lit(float(low)) + F.col("bin") * ((high - low) / bins), 4),
-        "upper": F.round(F.lit(float(low)) + (F.col("bin") + 1) * ((high - low) / bins), 4),
+        "lower": F.round(F.lit(float(low)) + F.col("bin") * ((high - low) / bins), 6),
+        "upper": F.round(F.lit(float(low)) + (F.col("bin") + 1) * ((high - low) / bins), 6),
     }
     keyed = table.filter(value.isNotNull()).withColumn("bin", equal_width_bin(value, low, high, bins))
-    if group:
-        counted = keyed.groupBy(group, "bin").agg(F.count(F.lit(1)).alias("customers"))
-        return counted.withColumns(bounds)
-    return by_category(keyed, "bin", range(bins), {"customers": _customers}).drop("position").withColumns(bounds)
+    keys = [group, "bin"] if group else ["bin"]
+    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers"))
+    if not group:
+        every = table.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+        counted = every.join(F.broadcast(counted), "bin", "left").fillna(0, subset=["customers"])  # one row per bin
+    return counted.withColumns(bounds)
 
 
 def medians_and_means(table: DataFrame, columns: Sequence[str] = ("Recency", "Frequency", "Monetary")) -> DataFrame:
