@@ -116,6 +116,20 @@ def running_totals(
     )
 
 
+def _placed(rows: DataFrame, value: str, tie: str, total: int, bucket_rows: int) -> tuple[DataFrame, list[str]]:
+    """Rows with the number of their bucket, of its part and of their range of `tie` within a crowded value.
+
+    A crowded value is the lowest of its bucket, so ascending it comes first there and descending last.
+    """
+    splits = _splits(rows, [value], total, bucket_rows)[value]
+    crowded = sorted({v for v in splits if splits.count(v) > 1})
+    hot = F.col(value).cast("double").isin(crowded) if crowded else F.lit(False)
+    tie_splits = _splits(rows.filter(hot), [tie], total, bucket_rows)[tie] if crowded else []
+    placed = _with_bucket(_with_bucket(rows, value, splits, "_b"), tie, tie_splits, "_tie")
+    placed = placed.withColumn("_s", F.when(hot, 0).otherwise(1)).withColumn("_tie", F.when(hot, F.col("_tie")).otherwise(0))
+    return placed, ["_b", "_s", "_tie"]
+
+
 def global_rank(
     df: DataFrame,
     value: str,
@@ -134,15 +148,7 @@ def global_rank(
     total = rows.count()
     if total <= bucket_rows:
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    splits = _splits(rows, [value], total, bucket_rows)[value]
-    crowded = sorted({v for v in splits if splits.count(v) > 1})
-    hot = F.col(value).cast("double").isin(crowded) if crowded else F.lit(False)
-    tie_splits = _splits(rows.filter(hot), [tie], total, bucket_rows)[tie] if crowded else []
-    placed = _with_bucket(rows, value, splits, "_b")
-    placed = _with_bucket(placed, tie, tie_splits, "_tie")
-    # A crowded value is the lowest of its bucket, so ascending it comes first there and descending last.
-    placed = placed.withColumn("_s", F.when(hot, 0).otherwise(1)).withColumn("_tie", F.when(hot, F.col("_tie")).otherwise(0))
-    keys = ["_b", "_s", "_tie"]
+    placed, keys = _placed(rows, value, tie, total, bucket_rows)
     sign = 1 if ascending else -1
     start, offsets = 0, []
     counts = placed.groupBy(*keys).count().collect()  # at most MAX_BUCKETS plus MAX_BUCKETS per crowded value

@@ -1,0 +1,70 @@
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+
+from cohortspark.operators import insights
+
+
+def tiers(values, data):
+    rows = insights.risk_tiers(values("Churn_Probability_Raw", data)).collect()
+    return [r["Risk_Tier"] for r in sorted(rows, key=lambda r: r["CustomerID"])]
+
+
+def test_five_probabilities(values):
+    assert tiers(values, [0.1, 0.3, 0.5, 0.7, 0.9]) == ["Low Risk", "Low Risk", "Medium Risk", "Medium Risk", "High Risk"]
+
+
+def test_even_spread(values):
+    got = tiers(values, np.linspace(0, 1, 100).tolist())
+    assert [got.count(t) for t in ("High Risk", "Medium Risk", "Low Risk")] == [20, 40, 40]
+
+
+def test_equal_probabilities_are_all_high(values):
+    assert set(tiers(values, [0.4] * 7)) == {"High Risk"}
+
+
+def test_study_size(values):
+    got = tiers(values, np.random.default_rng(1).permutation(1765).astype(float).tolist())
+    assert [got.count(t) for t in ("High Risk", "Medium Risk", "Low Risk")] == [353, 706, 706]
+
+
+def test_missing_probability_stops(values):
+    with pytest.raises(PySparkException, match="missing for a customer"):
+        tiers(values, [0.1, None, 0.3])
+
+
+@pytest.mark.parametrize("pair, priority", insights.PRIORITIES.items())
+def test_priority_matrix(spark, pair, priority):
+    df = spark.createDataFrame([pair], "Risk_Tier string, RFM_Segment string")
+    assert df.select(insights.retention_priority()).first()[0] == priority
+
+
+def test_unknown_pair_gets_the_default(spark):
+    df = spark.createDataFrame([("High Risk", "Other"), (None, None)], "Risk_Tier string, RFM_Segment string")
+    assert {r[0] for r in df.select(insights.retention_priority()).collect()} == {"Standard engagement"}
+
+
+def test_risk_table(spark):
+    features = spark.createDataFrame([(1, "High Value"), (2, "Lower Value")], "CustomerID bigint, RFM_Segment string")
+    p = spark.createDataFrame([(1, 0.00125), (2, 0.9)], "CustomerID bigint, Churn_Probability_Raw double")
+    rows = {r["CustomerID"]: r for r in insights.risk_table(features, p).collect()}
+    assert rows[1]["Churn_Probability"] == 0.12 and rows[2]["Churn_Probability"] == 90.0
+    assert rows[2]["Retention_Priority"] == "Lower-cost intervention"
+    assert "Churn_Probability_Raw" not in insights.risk_table(features, p).columns
+
+
+def test_without_segments(spark):
+    scored = spark.createDataFrame([(1, 0.2), (2, 0.9)], "CustomerID bigint, Churn_Probability_Raw double")
+    assert {r["Retention_Priority"] for r in insights.enrich(scored).collect()} == {"Standard engagement"}
+    assert "Retention_Priority" not in insights.risk_table(scored).columns
+
+
+def test_rate_by_group(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("a", None), ("b", 1), (None, 1)], "g string, Churn_90D int")
+    rows = {r["g"]: tuple(r)[1:] for r in insights.rate_by_group(df, "g").collect()}
+    assert rows == {"a": (2, 1, 0.5), "b": (1, 1, 1.0)}
+
+
+def test_direction(spark):
+    df = spark.createDataFrame([(0.1,), (0.0,), (-0.1,)], "coefficient double")
+    assert [r[0][:6] for r in df.select(insights.coefficient_direction()).collect()] == ["Higher", "Lower ", "Lower "]
