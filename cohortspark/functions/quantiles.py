@@ -82,69 +82,86 @@ def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[str
     return found
 
 
+def _neighbours(ranks: Sequence[int]) -> list[list[int]]:
+    """Ranks next to each other are looked for together."""
+    groups: list[list[int]] = []
+    for r in ranks:
+        if groups and r - groups[-1][-1] == 1:
+            groups[-1].append(r)
+        else:
+            groups.append([r])
+    return groups
+
+
 def _select_large(df, column, ranks, rows, distinct_limit, accuracy) -> dict[int, tuple]:
     values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
     v = F.col("v")
 
-    def inside(box):
-        low, high = box[0], box[1]
-        test = F.lit(True)
-        if low is not None:
-            test = test & (v >= F.lit(low))
-        if high is not None:
-            test = test & (v <= F.lit(high))
-        return test
-
-    # One box per rank: lowest value, highest value, rows below it, rows in it, distinct values in it.
-    boxes = {r: (None, None, 0, rows, None) for r in ranks}
+    def inside(low, high):
+        test = F.lit(True) if low is None else v >= F.lit(low)
+        return test if high is None else test & (v <= F.lit(high))
+
+    targets = _neighbours(ranks)
+    # One box per target: lowest value, highest value, rows below it, rows in it, distinct values in it.
+    boxes = [(None, None, 0, rows, None) for _ in targets]
     while True:
-        wide = [r for r in ranks if boxes[r][4] is None or not _few_distinct(boxes[r][4], distinct_limit)]
+        wide = [i for i, box in enumerate(boxes) if box[4] is None or not _few_distinct(box[4], distinct_limit)]
         if not wide:
             break
         margin = 2.0 / accuracy
-        proposals = []
-        for r in wide:
-            low, high, below, count, _ = boxes[r]
-            place = (r - below) / count
-            wanted = F.array(F.lit(max(0.0, place - margin)), F.lit(min(1.0, place + margin)))
-            proposals.append(F.percentile_approx(F.when(inside(boxes[r]), v), wanted, accuracy).alias(f"p{r}"))
-        proposed = values.agg(*proposals).first()
+        # Targets that still share a box share its sketch.
+        shared: dict[tuple, list[int]] = {}
+        for i in wide:
+            shared.setdefault(boxes[i][:4], []).append(i)
+        sketches = []
+        for k, (box, members) in enumerate(shared.items()):
+            low, high, below, count = box
+            places = [
+                min(1.0, max(0.0, (r - below) / count + side))
+                for i in members
+                for r, side in ((targets[i][0], -margin), (targets[i][-1], margin))
+            ]
+            wanted = F.array(*[F.lit(p) for p in places])
+            sketches.append(F.percentile_approx(F.when(inside(low, high), v), wanted, accuracy).alias(f"s{k}"))
+        sketched = values.agg(*sketches).first()
+        proposed = {}
+        for k, members in enumerate(shared.values()):
+            for j, i in enumerate(members):
+                proposed[i] = (sketched[f"s{k}"][2 * j], sketched[f"s{k}"][2 * j + 1])
         checks = []
-        for r in wide:
-            box = tuple(proposed[f"p{r}"])
+        for i in wide:
+            low, high = proposed[i]
             checks += [
-                F.count_if(v < F.lit(box[0])).alias(f"b{r}"),
-                F.count_if(inside(box)).alias(f"i{r}"),
-                F.approx_count_distinct(F.when(inside(box), v)).alias(f"d{r}"),
+                F.count_if(v < F.lit(low)).alias(f"b{i}"),
+                F.count_if(inside(low, high)).alias(f"i{i}"),
+                F.approx_count_distinct(F.when(inside(low, high), v)).alias(f"d{i}"),
             ]
         checked = values.agg(*checks).first()
-        for r in wide:
-            low, high = proposed[f"p{r}"]
-            below, count, distinct = checked[f"b{r}"], checked[f"i{r}"], checked[f"d{r}"]
-            if below <= r < below + count:
-                boxes[r] = (low, high, below, count, distinct)
+        for i in wide:
+            below, count = checked[f"b{i}"], checked[f"i{i}"]
+            if below <= targets[i][0] and targets[i][-1] < below + count:
+                boxes[i] = (*proposed[i], below, count, checked[f"d{i}"])
             else:
-                # The sketch missed; a finer one is asked for next time.
-                accuracy *= 4
-                boxes[r] = boxes[r][:4] + (boxes[r][4] or rows,)
+                accuracy *= 4  # the sketch missed; the next one is finer
 
-    found = {}
-    tagged = F.array(*[F.when(inside(boxes[r]), F.struct(F.lit(i).alias("k"), v.alias("v"))) for i, r in enumerate(ranks)])
+    tagged = F.array(
+        *[F.when(inside(*box[:2]), F.struct(F.lit(i).alias("k"), v.alias("v"))) for i, box in enumerate(boxes)]
+    )
     counted = (
         values.select(F.explode(F.array_compact(tagged)).alias("t"))
         .groupBy(F.col("t.k").alias("k"), F.col("t.v").alias("v"))
         .agg(F.count("*").alias("equal"))
     )
     running = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = F.lit(None).cast("bigint")
-    target = F.lit(None).cast("bigint")
-    for i, r in enumerate(ranks):
-        below = F.when(F.col("k") == i, F.lit(boxes[r][2])).otherwise(below)
-        target = F.when(F.col("k") == i, F.lit(r)).otherwise(target)
-    placed = counted.withColumn("below", F.sum("equal").over(running) - F.col("equal") + below)
-    hit = (F.col("below") <= target) & (target < F.col("below") + F.col("equal"))
-    for row in placed.filter(hit).collect():
-        found[ranks[row["k"]]] = (row["v"], row["below"], row["equal"])
+    start = F.element_at(F.array(*[F.lit(box[2]).cast("bigint") for box in boxes]), F.col("k") + 1)
+    first = F.element_at(F.array(*[F.lit(t[0]).cast("bigint") for t in targets]), F.col("k") + 1)
+    last = F.element_at(F.array(*[F.lit(t[-1]).cast("bigint") for t in targets]), F.col("k") + 1)
+    placed = counted.withColumn("below", F.sum("equal").over(running) - F.col("equal") + start)
+    found = {}
+    for row in placed.filter((F.col("below") <= last) & (first < F.col("below") + F.col("equal"))).collect():
+        for r in targets[row["k"]]:
+            if row["below"] <= r < row["below"] + row["equal"]:
+                found[r] = (row["v"], row["below"], row["equal"])
     return found
 
 
