@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.config import FEATURE_COLUMNS, FUTURE_COLUMNS, LABEL, NON_PREDICTORS, PREDICTORS, Windows
+from cohortspark.config import FEATURE_COLUMNS, FUTURE_COLUMNS, LABEL, NON_PREDICTORS, PREDICTORS, TIERS, Windows
 from cohortspark.functions.columns import between_days, up_to
 from cohortspark.sources.tables import check_columns
 
@@ -43,6 +43,34 @@ def split_overlap(split: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("overlapping_customers"))
 
 
+def population_counts(qualified: DataFrame, table: DataFrame, split_risk: DataFrame) -> DataFrame:
+    """Sizes a study is known by: lines, eligible, classes, both sides of the split, tiers."""
+    lines = qualified.agg(F.count(F.lit(1)))
+    people = table.agg(
+        F.count(F.lit(1)).alias("eligible_customers"),
+        F.count_if(F.col(LABEL) == 1).alias("inactive"),
+        F.count_if(F.col(LABEL) == 0).alias("active"),
+    )
+    sides = split_risk.agg(
+        F.struct(
+            F.count_if(~F.col("is_test")).alias("train_size"),
+            F.count_if(F.col("is_test")).alias("test_size"),
+            *[F.count_if(F.col("Risk_Tier") == t).alias(t.lower().replace(" ", "_")) for t in TIERS],
+        )
+    )
+    return (
+        people.withColumn("qualified_rows", lines.scalar()).withColumn("_sides", sides.scalar()).select("*", "_sides.*").drop("_sides")
+    )
+
+
+def require_counts(counts: DataFrame, expected: dict[str, int]) -> None:
+    """Raise when any expected size differs."""
+    found = counts.first().asDict()
+    wrong = {k: (found.get(k), v) for k, v in expected.items() if found.get(k) != v}
+    if wrong:
+        raise ValueError(f"sizes differ (found, expected): {wrong}")
+
+
 def require(violations: DataFrame) -> None:
     found = {k: v for k, v in violations.first().asDict().items() if v}
     if found:

@@ -22,24 +22,43 @@ def is_eligible(windows: Windows) -> F.Column:
     return (F.col("invoices") >= windows.min_invoices) & (elapsed_days("first", "last") >= windows.min_span_days)
 
 
+def _histories(qualified: DataFrame, windows: Windows) -> DataFrame:
+    """Per customer: lines in all, and invoices and ends of the observation window."""
+    seen = in_observation(windows)
+    when = F.when(seen, F.col("InvoiceDate"))
+    return qualified.groupBy("CustomerID").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.countDistinct(F.when(seen, F.col("InvoiceNo"))).alias("invoices"),
+        F.min(when).alias("first"),
+        F.max(when).alias("last"),
+    )
+
+
 def eligible_customers(qualified: DataFrame, windows: Windows) -> DataFrame:
     """Ids of eligible customers, judged on the observation window only."""
-    return (
-        observation_lines(qualified, windows)
-        .groupBy("CustomerID")
-        .agg(
-            F.countDistinct("InvoiceNo").alias("invoices"),
-            F.min("InvoiceDate").alias("first"),
-            F.max("InvoiceDate").alias("last"),
-        )
-        .filter(is_eligible(windows))
-        .select("CustomerID")
-    )
+    observed = observation_lines(qualified, windows).filter(F.col("CustomerID").isNotNull())
+    return _histories(observed, windows).filter(is_eligible(windows)).select("CustomerID")
+
+
+# A customer with more than this share of all lines is heavy; there can be at most 1 / share of them.
+HEAVY_SHARE = 0.001
+
 
+def lines_of_eligible(qualified: DataFrame, windows: Windows, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """All lines of eligible customers, later ones included.
 
-def lines_of_eligible(qualified: DataFrame, windows: Windows) -> DataFrame:
-    """All lines of eligible customers, later ones included."""
-    return qualified.join(eligible_customers(qualified, windows), "CustomerID", "left_semi").select(qualified.columns)
+    Lines of heavy customers are kept by a filter on their few ids and are not shuffled, so no task of the join
+    gets a customer with a large part of the table. All other lines meet the ids in a semi join.
+    """
+    known = qualified.filter(F.col("CustomerID").isNotNull())
+    histories = _histories(known, windows).withColumn("eligible", F.coalesce(is_eligible(windows), F.lit(False)))
+    limit = known.count() * heavy_share
+    heavy = {r["CustomerID"]: r["eligible"] for r in histories.filter(F.col("lines") > limit).collect()}
+    is_heavy = F.col("CustomerID").isin(list(heavy)) if heavy else F.lit(False)
+    ids = histories.filter(F.col("eligible") & ~is_heavy).select("CustomerID")
+    others = known.filter(~is_heavy).join(ids, "CustomerID", "left_semi").select(qualified.columns)
+    kept = [c for c, eligible in heavy.items() if eligible]
+    return others.unionAll(qualified.filter(F.col("CustomerID").isin(kept))) if kept else others
 
 
 def inactivity_label(qualified: DataFrame, customers: DataFrame, windows: Windows) -> DataFrame:

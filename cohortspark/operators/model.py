@@ -120,7 +120,7 @@ def build_pipeline(rows: int) -> Pipeline:
                 elasticNetParam=0.0,
                 standardization=False,
                 maxIter=1000,
-                tol=1e-8,
+                tol=1e-7,
             ),
         ]
     )

@@ -44,7 +44,7 @@ class Pipeline:
         key = f"{self.name}|{self.windows}" if with_windows else self.name
         return f"{root}/{hashlib.sha1(key.encode()).hexdigest()[:12]}/{stage}"
 
-    def _stage(self, stage: str, build: Callable[[], DataFrame], read=None, write=None, with_windows=True) -> DataFrame:
+    def stage(self, stage: str, build: Callable[[], DataFrame], read=None, write=None, with_windows=True) -> DataFrame:
         """Read the stage table, writing it on first use in this session."""
         if stage not in self._tables:
             path = self.path(stage, with_windows)
@@ -65,15 +65,15 @@ class Pipeline:
     def raw(self) -> DataFrame:
         if self.source is None:
             raise ValueError(f"{self.name} has no raw lines")
-        return self._stage("raw", self.source, with_windows=False)
+        return self.stage("raw", self.source, with_windows=False)
 
     def qualified(self) -> DataFrame:
         build = self.qualified_source or (lambda: clean(self.raw()))
-        return self._stage("qualified", build, tables.read_qualified, tables.write_qualified, with_windows=False)
+        return self.stage("qualified", build, tables.read_qualified, tables.write_qualified, with_windows=False)
 
     def labelled(self) -> DataFrame:
         """Features and labels before scoring; stored, as scoring reads it several times."""
-        return self._stage("labelled", lambda: labelled_features(self.qualified(), self.windows))
+        return self.stage("labelled", lambda: labelled_features(self.qualified(), self.windows))
 
     def customers(self) -> DataFrame:
         """The 17-column customer table, checked before it is handed on."""
@@ -83,11 +83,11 @@ class Pipeline:
             tables.write_features(df, path)
             checks.require(checks.label_violations(tables.read_features(self.spark, path)))
 
-        return self._stage("customers", lambda: customer_table(self.labelled()), tables.read_features, write)
+        return self.stage("customers", lambda: customer_table(self.labelled()), tables.read_features, write)
 
     def split(self) -> DataFrame:
         """Modelled customers with is_test."""
-        return self._stage("split", lambda: model.with_split(model.model_rows(self.customers())))
+        return self.stage("split", lambda: model.with_split(model.model_rows(self.customers())))
 
     def model(self) -> PipelineModel:
         if "model" not in self._tables:
@@ -103,8 +103,7 @@ class Pipeline:
         """Every eligible customer with probability, tier and priority. By default the fitted model scores."""
 
         def build():
-            scored = f"{name}_scored"
             by = score or (lambda df: model.score(self.model(), df))
-            return enrich(self._stage(scored, lambda: by(self.customers())))
+            return enrich(self.stage(f"{name}_scored", lambda: by(self.customers())))
 
-        return self._stage(name, build)
+        return self.stage(name, build)

@@ -53,9 +53,14 @@ def on_risk(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: build(published_risk(spark, folder))
 
 
+def published_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The published-score table with is_test."""
+    p = order_pipeline(spark, folder)
+    return p.stage("published_split", lambda: model.with_split(published_risk(spark, folder)))
+
+
 def held_out(spark: SparkSession, folder: str) -> DataFrame:
-    """Test rows of the published-score table."""
-    return model.with_split(published_risk(spark, folder)).filter("is_test")
+    return published_split(spark, folder).filter("is_test")
 
 
 def on_held_out(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
@@ -215,7 +220,7 @@ def _(spark, folder):
     return insights.risk_table(stored, probabilities)
 
 
-QUERIES["j10_split_overlap"] = lambda spark, folder: checks.split_overlap(model.with_split(published_risk(spark, folder)))
+QUERIES["j10_split_overlap"] = lambda spark, folder: checks.split_overlap(published_split(spark, folder))
 
 # ---------------------------------------------------------------- ranks, scores, bands
 
@@ -427,6 +432,12 @@ def _(spark, folder):
     )
 
 
+@query("v5_population_counts")
+def _(spark, folder):
+    p = order_pipeline(spark, folder)
+    return checks.population_counts(p.qualified(), p.customers(), published_split(spark, folder))
+
+
 # ---------------------------------------------------------------- flagship
 
 

@@ -92,6 +92,12 @@ def all_sql() -> dict[str, str]:
         )
         + ") AS t WHERE missing_count > 0",
     )
+    kinds = ["string"] * 3 + ["int", "timestamp_ntz", "double", "bigint", "string"]
+    places = values([(i + 1, c, k) for i, (c, k) in enumerate(zip(raw, kinds))])
+    sql["a5_column_types"] = w(
+        ["tx"],
+        f"""SELECT (SELECT count(*) FROM tx) AS "rows", position, "column", type FROM {places} AS t(position, "column", type)""",
+    )
     sql["a6_cancellation_share"] = w(
         ["tx"],
         f"""SELECT count(*) FILTER (InvoiceNo LIKE 'C%') AS cancellation_rows,
@@ -456,6 +462,14 @@ def all_sql() -> dict[str, str]:
                       AS future_rows_outside,
                   (SELECT count(*) FROM ct WHERE Recency < 0) AS negative_recency""",
     )
+    sql["v5_population_counts"] = w(
+        ["ql", "sp"],
+        """SELECT count(*) AS eligible_customers, count(*) FILTER (Churn_90D = 1) AS inactive,
+                  count(*) FILTER (Churn_90D = 0) AS active, (SELECT count(*) FROM ql) AS qualified_rows,
+                  count(*) FILTER (NOT is_test) AS train_size, count(*) FILTER (is_test) AS test_size,
+                  count(*) FILTER (Risk_Tier = 'High Risk') AS high_risk, count(*) FILTER (Risk_Tier = 'Medium Risk') AS medium_risk,
+                  count(*) FILTER (Risk_Tier = 'Low Risk') AS low_risk FROM sp""",
+    )
     return sql
 
 

@@ -62,7 +62,20 @@ def test_lines_of_eligible_include_later_ones(lines):
     df = lines(
         purchase(1, "a", "2011-01-01"), purchase(1, "b", "2011-03-01"), purchase(1, "c", "2011-12-05"), purchase(2, "d", "2011-01-01")
     )
-    assert sorted(r["InvoiceNo"] for r in cohort.lines_of_eligible(df, RETAIL).collect()) == ["a", "b", "c"]
+    for share in (0.001, 0.3, 1.0):
+        kept = cohort.lines_of_eligible(df, RETAIL, share)
+        assert kept.columns == df.columns
+        assert sorted(r["InvoiceNo"] for r in kept.collect()) == ["a", "b", "c"]
+
+
+def test_heavy_customers_are_not_shuffled(lines):
+    """Customer 1 has most lines: the join's input excludes it by a filter."""
+    rows = [purchase(1, f"a{i}", f"2011-0{1 + i % 8}-01") for i in range(50)]
+    df = lines(*rows, *[purchase(c, f"{c}{d}", d) for c in range(2, 40) for d in ("2011-01-01", "2011-03-01")])
+    kept = cohort.lines_of_eligible(df, RETAIL, 0.1)
+    assert kept.count() == 50 + 2 * 38
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (CustomerID" in plan and "Union" in plan
 
 
 @pytest.mark.parametrize(
