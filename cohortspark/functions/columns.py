@@ -43,8 +43,8 @@ def exact_sum(column: str | Column) -> Column:
 
 
 def elapsed_days(first: str, last: str) -> Column:
-    """Whole 24-hour periods between two timestamps."""
-    return F.expr(f"timestampdiff(DAY, {first}, {last})")
+    """Whole 24-hour periods between two timestamps, whatever the session's time zone."""
+    return F.expr(f"extract(DAY FROM ({last} - {first}))")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

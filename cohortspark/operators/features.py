@@ -24,7 +24,7 @@ def main_country(lines: DataFrame) -> DataFrame:
     )
     order = F.struct(
         (-F.col("lines")).alias("fewer"),
-        F.expr("timestampdiff(MICROSECOND, last, timestamp_ntz'1970-01-01 00:00:00')").alias("earlier"),
+        F.expr("timestamp_ntz'1970-01-01 00:00:00' - last").alias("earlier"),
         F.col("Country").alias("Country"),
     )
     return counted.groupBy("CustomerID").agg(F.min(order).getField("Country").alias("Country"))

@@ -43,6 +43,24 @@ def test_span_counts_elapsed_days_not_calendar_days(lines):
     assert ids(cohort.eligible_customers(df, RETAIL)) == [2]
 
 
+def test_time_zone_of_the_session_does_not_matter(spark, lines):
+    """30 days to the second across a clock change, and a time that the zone skips."""
+    df = lines(
+        purchase(1, "a", "2011-03-01T12:00:00"),
+        purchase(1, "b", "2011-03-31T12:00:00"),
+        purchase(2, "c", "2011-03-13T02:30:00"),
+        purchase(2, "d", "2011-04-12T02:30:00"),
+        purchase(3, "e", "2011-03-13T02:30:00"),
+        purchase(3, "f", "2011-04-12T02:29:59"),
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert ids(cohort.eligible_customers(df, RETAIL)) == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_only_the_observation_window_counts(lines):
     df = lines(purchase(1, "a", "2011-08-20"), purchase(1, "b", "2011-10-20"))
     assert ids(cohort.eligible_customers(df, RETAIL)) == []
