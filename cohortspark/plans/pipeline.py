@@ -28,7 +28,8 @@ from cohortspark.sources import tables
 class Pipeline:
     """Lazily built stage tables for one source and one set of windows.
 
-    `source` gives the raw lines; with `qualified_source` the cleaning stage is skipped.
+    `source` gives the raw lines; with `stored_source` they are already a table worth reading again, such as
+    Parquet files, and are not copied. With `qualified_source` the cleaning stage is skipped.
     """
 
     spark: SparkSession
@@ -37,6 +38,7 @@ class Pipeline:
     source: Callable[[], DataFrame] | None = None
     qualified_source: Callable[[], DataFrame] | None = None
     root: str | None = None
+    stored_source: bool = False
     _tables: dict = field(default_factory=dict)
 
     def path(self, stage: str, with_windows: bool = True) -> str:
@@ -65,6 +67,8 @@ class Pipeline:
     def raw(self) -> DataFrame:
         if self.source is None:
             raise ValueError(f"{self.name} has no raw lines")
+        if self.stored_source:
+            return self.source()
         return self.stage("raw", self.source, with_windows=False)
 
     def qualified(self) -> DataFrame:

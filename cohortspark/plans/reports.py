@@ -31,6 +31,7 @@ from cohortspark.operators.insights import rate_by_group
 from cohortspark.operators.scoring import frequency_group, value_group
 from cohortspark.sources.tables import transactions_for_trends
 
+# Class names and the features of the summary file.
 CLASS_NAMES = {0: "Active (0)", 1: "Inactive (1)"}
 SUMMARY_COLUMNS = [
     "Recency",
@@ -224,6 +225,7 @@ def correlations(table: DataFrame, columns: Sequence[str] = ("Recency", "Frequen
     return wide.select(F.inline(F.array(*cells)))
 
 
+# Columns of the quantile table.
 QUANTILE_COLUMNS = ["Recency", "Frequency", "Monetary", "AvgOrderValue", "TenureDays", "PurchaseSpanDays", "ActiveMonths"]
 
 
@@ -285,7 +287,7 @@ def histogram(table: DataFrame, column: str, bins: int, cap: float | None = None
     """Customers per equal-width bin, empty bins as 0; with `group`, the filled bins of each group value."""
     value = F.col(column).cast("double")
     value = value if cap is None else F.least(value, F.lit(float(cap)))
-    low, high = table.agg(F.min(value), F.max(value)).first()
+    low, high = table.agg(F.coalesce(F.min(value), F.lit(0.0)), F.coalesce(F.max(value), F.lit(0.0))).first()
     bounds = {
         "lower": F.round(F.lit(float(low)) + F.col("bin") * ((high - low) / bins), 6),
         "upper": F.round(F.lit(float(low)) + (F.col("bin") + 1) * ((high - low) / bins), 6),

@@ -20,7 +20,6 @@ from oracle.sql import (
     THRESHOLDS,
     TIERS,
     VALUE_GROUP,
-    band_rates,
     box,
     counts,
     describe,

@@ -28,6 +28,14 @@ def test_a_stage_is_written_once(pipeline, spark):
     assert again.customers().count() == pipeline.customers().count()
 
 
+def test_a_stored_source_is_not_copied(spark, tmp_path):
+    import os
+
+    stored = Pipeline(spark, "t", starschema.LATE, source=lambda: starschema.invoice_lines(spark, SF_DIR), root=str(tmp_path), stored_source=True)
+    assert stored.qualified().count() > 0
+    assert not os.path.exists(stored.path("raw", False))
+
+
 def test_unfinished_stage_is_rebuilt(pipeline, spark, tmp_path):
     fresh = Pipeline(spark, "t", starschema.LATE, source=lambda: spark.range(3).toDF("x"), root=str(tmp_path))
     folder = tmp_path / fresh.path("raw", False).removeprefix(f"{tmp_path}/")

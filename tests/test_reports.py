@@ -33,6 +33,11 @@ def test_histogram_of_one_value(values):
     assert sum(r["customers"] for r in rows) == 2 and len(rows) == 4
 
 
+def test_histogram_of_no_rows(table):
+    rows = reports.histogram(table.limit(0), "Monetary", 3).collect()
+    assert [r["customers"] for r in rows] == [0, 0, 0]
+
+
 def test_absent_segment_is_kept_with_zero(table):
     rows = {r["RFM_Segment"]: r for r in reports.segment_distribution(table).collect()}
     assert rows["Lower Value"]["customers"] == 0 and sum(r["customers"] for r in rows.values()) == 200
