@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, packing, quality_rules
+from cohortspark.llm import bpe, html_extract, langid, packing, quality_rules, simhash, url_rules
 from cohortspark.llm.common import table
 
 
@@ -29,6 +29,38 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extract.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# The rules of the URL filter (host, path, verdict).
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad): pages whose path names a labelled document; bad if its quality is 0 or it is toxic."""
+    named = F.try_element_at(F.regexp_extract_all(html_path(), F.lit(r"/(\d{1,18})(?=[./]|$)"), 1), F.lit(-1))
+    urls = pages.select("url", named.cast("bigint").alias("doc_id"))
+    judged = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.join(judged, "doc_id").select("url", "bad")
+
+
+def html_path():
+    return url_rules.url_path(F.col("url"))
+
+
+def op4_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Judges every page's URL."""
+    pages = table(spark, folder, "pages")
+    labelled = labelled_urls(pages, table(spark, folder, "labels"))
+    judged = url_rules.judge(pages, labelled, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Packs every document along the curve."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -38,7 +70,21 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.groups(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, folder, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    net = langid.fit(docs.where(~held))
+    return langid.predict(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op5_packing)
+    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op9_language_id)
 }
