@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, html_extract, langid, packing, quality_rules, simhash, url_rules
+from cohortspark.llm import bpe, bwt_dedup, html_extract, langid, packing, quality_rules, simhash, url_rules
 from cohortspark.llm.common import table
 
 
@@ -84,7 +84,13 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Removes every 400-byte string that is not unique."""
+    found = bwt_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op9_language_id)
+    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op9_language_id, op10_suffix_dedup)
 }
