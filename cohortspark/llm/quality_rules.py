@@ -24,6 +24,11 @@ def _words(text: Column) -> Column:
     )
 
 
+def _paired(column: str, step: int) -> Column:
+    """Hashes of each element with the one that many places on."""
+    return F.transform(column, lambda x, i: F.xxhash64(x, F.get(column, i + step)))
+
+
 def measures(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every whole text.
 
@@ -44,8 +49,7 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text: str = "text", hos
         F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
     )
     for step in (1, 2, 4):  # hashes of one word, then of two, four and eight
-        pair = lambda x, i, h=f"h{step}", step=step: F.xxhash64(x, F.get(h, i + step))
-        rows = rows.withColumn(f"h{2 * step}", F.transform(f"h{step}", pair)).drop(f"h{step}")
+        rows = rows.withColumn(f"h{2 * step}", _paired(f"h{step}", step)).drop(f"h{step}")
     windows = F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int")
     rows = rows.withColumn("hashes", F.slice("h8", F.lit(1), windows))
     rows = rows.select(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, bwt_dedup, html_extract, langid, packing, quality_rules, simhash, url_rules
+from cohortspark.llm import bpe, bwt_dedup, html_extract, iblt, langid, packing, pii, quality_rules, simhash, url_rules
 from cohortspark.llm.common import table
 
 
@@ -76,6 +76,25 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of every document and of its edited version."""
+    return iblt.versions(table(spark, folder, "documents"))
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    spans = F.arrays_zip("kinds", "starts", "ends", "by_pattern")
+    written = lambda some: F.array_join(
+        F.transform(some, lambda x: F.concat_ws(":", x["kinds"], x["starts"], x["ends"])), ","
+    )
+    base = F.filter(spans, lambda x: x["by_pattern"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda x: x["kinds"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
     docs = table(spark, folder, "documents")
@@ -92,5 +111,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op9_language_id, op10_suffix_dedup)
+    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op7_fingerprints, op8_pii, op9_language_id, op10_suffix_dedup)
 }
