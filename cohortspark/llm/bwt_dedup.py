@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, parts, ship, slices, store
+from cohortspark.llm.common import map_batches, parts, ship, slices, store, with_columns
 
 SPAN, GRAM = 400, 48
 STEP = 1 << 19
@@ -332,3 +332,24 @@ def remove_repeats(
 
     schema = f"doc_id {id_type(docs, id_column)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     return map_batches(joined, ["doc_id", "t", *ends], run, schema)
+
+
+def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
+    """The rows with the repeated byte strings taken out of their texts; all other columns stay.
+
+    Bytes of a character that a cut has torn apart go with it. A null text stays null.
+    """
+    spans = repeated_spans(keyed(docs, id_column, text).select("k", "d", "t"), span, crowd)
+    spans = spans.select(F.col("k").alias("_of"), F.col("spans.start").alias("_start"), F.col("spans.end").alias("_end"))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    joined = docs.withColumn("_k", digest).join(spans, F.col("_k") == F.col("_of"), "left")
+
+    def run(columns):
+        out = []
+        for t, start, end in zip(*columns):
+            kept = cut_out(t.encode(), list(zip(start, end)))[0].decode("utf-8", "ignore") if start and t else t
+            out.append(kept)
+        return [out]
+
+    marked = with_columns(joined, [text, "_start", "_end"], run, "_kept string")
+    return marked.withColumn(text, F.col("_kept")).select(*docs.columns)

@@ -88,6 +88,28 @@ def map_batches(
     return chosen.mapInArrow(run, empty.schema)
 
 
+def with_columns(frame: DataFrame, inputs: list[str], function: Callable[[list[list]], list], schema: str, rows: int = 256) -> DataFrame:
+    """The frame with new columns from `schema`; function turns lists of the inputs' values into lists of theirs.
+
+    All other columns pass through as they are, whatever their types; a column that the frame has already under a
+    new one's name is an error, so use names of one's own.
+    """
+    ship(frame.sparkSession)
+    new = frame.sparkSession.createDataFrame([], schema).schema
+    if clash := {f.name.lower() for f in new} & {c.lower() for c in frame.columns}:
+        raise ValueError(f"columns are there already: {sorted(clash)}")
+    at = [frame.columns.index(c) for c in inputs]
+    types = [(f.name, arrow_type(f.dataType.simpleString())) for f in new]
+
+    def run(batches):
+        for piece in slices(batches, rows):
+            made = function([piece.column(i).to_pylist() for i in at])
+            arrays = [*piece.columns, *[pa.array(x, t) for x, (_, t) in zip(made, types)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*piece.schema.names, *[n for n, _ in types]])
+
+    return frame.mapInArrow(run, type(new)([*frame.schema.fields, *new.fields]))
+
+
 def arrow_type(name: str) -> pa.DataType:
     """The Arrow type of a simple Spark type."""
     if name.startswith("array<"):

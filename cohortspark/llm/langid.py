@@ -11,12 +11,11 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches
+from cohortspark.llm.common import map_batches, with_columns
 
 LENGTH = 256  # bytes in a window
 WIDTHS = (2, 3, 4)
@@ -70,7 +69,7 @@ def cut_windows(data: bytes) -> np.ndarray:
     return out.reshape(rows, LENGTH)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 0.01, seed: int = 11) -> Network:
+def train(texts: list[str], labels: list[str], epochs: int = 5, rate: float = 0.01, seed: int = 11) -> Network:
     """A network fitted by Adam to texts of at most a window; the order of the rows and the seed fix the result."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
@@ -125,7 +124,7 @@ def fit(
     id_column: str = "doc_id",
     text: str = "text",
     label: str = "lang",
-    per_label: int = 500,
+    per_label: int = 400,
     most: int = 20_000,
 ) -> Network | None:
     """A network from labelled rows; None without any.
@@ -149,6 +148,23 @@ def fit(
     return train([r.text for r in sample], [r.label for r in sample])
 
 
+def predictions(net: Network | None, texts: list) -> tuple[list[str], list[float]]:
+    """Language and probability of each text, from all of its windows."""
+    languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    found = [i for i, t in enumerate(texts) if t is not None and net is not None and LETTER.search(t)]
+    for begin in range(0, len(found), 16):
+        some = found[begin : begin + 16]
+        cuts = [cut_windows(texts[i].encode()) for i in some]
+        each = net.probabilities(np.concatenate(cuts))
+        size = np.concatenate([(c != 0).sum(axis=1) for c in cuts])
+        ends = np.cumsum([0] + [len(c) for c in cuts])[:-1]
+        mean = np.add.reduceat(each * size[:, None], ends) / np.maximum(np.add.reduceat(size, ends), 1)[:, None]
+        best = mean.argmax(axis=1)
+        for i, k, row in zip(some, best, mean):
+            languages[i], scores[i] = net.languages[k], float(min(1.0, max(0.0, row[k])))
+    return languages, scores
+
+
 def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text; `und` with score 0 where it is null or has no letter.
 
@@ -156,20 +172,14 @@ def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", tex
     """
 
     def run(batch):
-        texts = batch.column(1).to_pylist()
-        languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        found = [i for i, t in enumerate(texts) if t is not None and net is not None and LETTER.search(t)]
-        for begin in range(0, len(found), 16):
-            some = found[begin : begin + 16]
-            cuts = [cut_windows(texts[i].encode()) for i in some]
-            each = net.probabilities(np.concatenate(cuts))
-            size = np.concatenate([(c != 0).sum(axis=1) for c in cuts])
-            ends = np.cumsum([0] + [len(c) for c in cuts])[:-1]
-            mean = np.add.reduceat(each * size[:, None], ends) / np.maximum(np.add.reduceat(size, ends), 1)[:, None]
-            best = mean.argmax(axis=1)
-            for i, k, row in zip(some, best, mean):
-                languages[i], scores[i] = net.languages[k], float(min(1.0, max(0.0, row[k])))
-        return batch.column(0), pa.array(languages), pa.array(scores, pa.float64())
+        return batch.column(0), *predictions(net, batch.column(1).to_pylist())
 
     schema = f"doc_id {id_type(docs, id_column)}, lang_pred string, score double"
     return map_batches(docs, [id_column, text], run, schema)
+
+
+def known(docs: DataFrame, net: Network | None, text: str = "text", least: float = 0.4) -> DataFrame:
+    """The rows whose text has a language: not `und`, and a probability of `least` or more. All columns stay."""
+    marked = with_columns(docs, [text], lambda x: predictions(net, x[0]), "_lang_pred string, _lang_score double")
+    rows = marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least))
+    return rows.drop("_lang_pred", "_lang_score")

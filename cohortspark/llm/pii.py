@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches
+from cohortspark.llm.common import map_batches, with_columns
 
 # The kinds in order, and the patterns of the contract.
 KINDS = ["email", "ip", "card", "phone"]
@@ -314,6 +314,17 @@ def window_starts(text: str) -> list[int]:
     return [k * STRIDE for k in out]
 
 
+def plausible(kind: str, text: str, start: int, end: int) -> bool:
+    """The checks of the kind; besides, no letter or digit goes on at either end, an e-mail address has no blank
+    and a phone number more than digits."""
+    found = text[start:end]
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or not valid(kind, found):
+        return False
+    if kind == "email":
+        return found.count("@") == 1 and not any(c.isspace() for c in found)
+    return kind != "phone" or not found.isdigit() or found.startswith("00")
+
+
 def added_spans(text: str, starts: list[int], decoded: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the network, over the whole text, that pass the checks and touch no span of the patterns."""
     margin = (LENGTH - STRIDE) // 2
@@ -335,12 +346,33 @@ def added_spans(text: str, starts: list[int], decoded: np.ndarray, base: list[tu
     for kind, start, end in runs:
         found = text[start:end]
         start, end = start + len(found) - len(found.lstrip()), end - (len(found) - len(found.rstrip()))
-        if valid(KINDS[kind], text[start:end]) and not any(s < end and start < e for s, e in taken):
+        if plausible(KINDS[kind], text, start, end) and not any(s < end and start < e for s, e in taken):
             out.append((KINDS[kind], start, end))
             taken.append((start, end))
     return out
 
 
+def all_spans(tagger: Tagger | None, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
+    """(kind, start, end, by pattern) of each text, in order of kind and start."""
+    base = [base_spans(t) for t in texts]
+    starts = [window_starts(t) if tagger is not None else [] for t in texts]
+    every = [(row, s) for row, some in enumerate(starts) for s in some]
+    decoded: list[np.ndarray] = []
+    for i in range(0, len(every), 512):
+        letters = np.zeros((len(every[i : i + 512]), LENGTH), np.int64)
+        for k, (row, s) in enumerate(every[i : i + 512]):
+            window = texts[row][s : s + LENGTH]
+            letters[k, : len(window)] = codes(window)
+        decoded.extend(tagger.decode(letters))
+    out, at = [], 0
+    for t, some, known in zip(texts, starts, base):
+        more = added_spans(t, some, decoded[at : at + len(some)], known)
+        at += len(some)
+        both = [(*x, True) for x in known] + [(*x, False) for x in more]
+        out.append(sorted(both, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return out
+
+
 def find(docs: DataFrame, tagger: Tagger | None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kinds, starts, ends, by_pattern) of all spans of every whole text, in order of kind and start.
 
@@ -348,25 +380,9 @@ def find(docs: DataFrame, tagger: Tagger | None, id_column: str = "doc_id", text
     """
 
     def run(batch):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        base = [base_spans(t) for t in texts]
-        starts = [window_starts(t) if tagger is not None else [] for t in texts]
-        every = [(row, s) for row, some in enumerate(starts) for s in some]
-        decoded: list[np.ndarray] = []
-        for i in range(0, len(every), 512):
-            letters = np.zeros((len(every[i : i + 512]), LENGTH), np.int64)
-            for k, (row, s) in enumerate(every[i : i + 512]):
-                window = texts[row][s : s + LENGTH]
-                letters[k, : len(window)] = codes(window)
-            decoded.extend(tagger.decode(letters))
-        out, at = [[], [], [], []], 0
-        for t, some, known in zip(texts, starts, base):
-            more = added_spans(t, some, decoded[at : at + len(some)], known)
-            at += len(some)
-            both = sorted([(KINDS.index(k), s, e, True) for k, s, e in known] + [(KINDS.index(k), s, e, False) for k, s, e in more])
-            for column, values in zip(out, zip(*both) if both else ([], [], [], [])):
-                column.append(list(values))
-        return [batch.column(0), [[KINDS[k] for k in x] for x in out[0]], *out[1:]]
+        both = all_spans(tagger, [t or "" for t in batch.column(1).to_pylist()])
+        columns = [[list(x) for x in (zip(*spans) if spans else ([], [], [], []))] for spans in both]
+        return batch.column(0), *[[row[i] for row in columns] for i in range(4)]
 
     kind = id_type(docs, id_column)
     schema = f"doc_id {kind}, kinds array<string>, starts array<bigint>, ends array<bigint>, by_pattern array<boolean>"
@@ -381,3 +397,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
             out += [text[at:start], f"<{kind}>"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def masked(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFrame:
+    """The rows with every span in their texts replaced by its kind; all other columns stay, null texts too."""
+
+    def run(columns):
+        texts = columns[0]
+        found = all_spans(tagger, [t or "" for t in texts])
+        return [[t if t is None else redacted(t, [x[:3] for x in spans]) for t, spans in zip(texts, found)]]
+
+    marked = with_columns(docs, [text], run, "_masked string")
+    return marked.withColumn(text, F.col("_masked")).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, parts, ship, slices, store
+from cohortspark.llm.common import map_batches, parts, ship, slices, store, with_columns
 
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 PIVOTS = 16
@@ -218,6 +218,29 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3, crowd: int = CROWD
+) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id, nulls last.
+
+    Rows are numbered and stored with their fingerprints first, so of repeated rows exactly one stays.
+    """
+
+    def signed(t: str | None) -> int:
+        bits = fingerprint(t or "", size)
+        return bits - ((bits >> 63) << 64)
+
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    marked = store(with_columns(numbered, [text], lambda x: [[signed(t) for t in x[0]]], "_bits bigint"), "marked")
+    rows = marked.select(F.col("_row").alias("row"), F.col(id_column).alias("id"), F.col("_bits").alias("bits"))
+    order = F.struct(F.isnull("id").alias("n"), "id", "row")
+    distinct = store(rows.groupBy("bits").agg(F.min(order).alias("first"), F.min("row").alias("node")), "distinct")
+    found = components(links(distinct.select("bits", "node"), limit, crowd))
+    named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return marked.join(kept, "_row", "left_semi").drop("_row", "_bits")
+
+
 def groups(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3, crowd: int = CROWD
 ) -> DataFrame:
