@@ -6,6 +6,10 @@ equal values, and the value serves as the join key. Of five blocks two at least
 each of the ten pairs of blocks is a key. Within a key, each fingerprint has a table of Hamming distances to fixed
 random reference fingerprints; by the triangle inequality two tables that differ by more than the limit in any
 coordinate belong to fingerprints that differ by more, and the pair is discarded. Survivors are verified.
+
+Near copies of texts, a similarity of 0.8 on five words, differ by more bits than three: `keep_one` looks further. A
+bit for which the shingles are almost evenly divided is the likeliest to differ, so each key is also tried with its
+two weakest bits flipped, and the wider fingerprint of the five-word shingles decides.
 """
 
 from __future__ import annotations
@@ -26,26 +30,53 @@ PIVOTS = 16
 CROWD = 4096  # a key with more fingerprints is divided by further bits
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """SimHash of the word shingles of a text, as an unsigned number."""
-    words = text.encode().lower().split()  # bytes: A-Z only, and the six blanks of ASCII
-    if not words:
-        return 0
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    """Runs of `size` words joined by a space; fewer words are one shingle."""
     joined = b" ".join(words)
-    if len(words) < size:
-        starts, ends = [0], [len(joined)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        begins = np.cumsum(lengths + 1) - lengths - 1
-        starts, ends = begins[: len(words) - size + 1].tolist(), (begins + lengths)[size - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
-    counts = np.zeros(64, np.int64)
+    if len(words) <= size:
+        return [joined]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    ends = (begins + lengths)[size - 1 :].tolist()
+    return [joined[a:b] for a, b in zip(begins[: len(ends)].tolist(), ends)]
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()  # of bytes: A-Z only, and the six blanks of ASCII
+
+
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """For each bit twice the number of hashes (rows of bytes) that have it, less their number."""
+    counts = np.zeros(8 * hashes.shape[1], np.int64)
     for i in range(0, len(hashes), 4096):
-        some = hashes[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+        counts += np.unpackbits(hashes[i : i + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * counts - len(hashes)
+
+
+def _narrow(words: list[bytes], size: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(x, 42) for x in shingles(words, size)], "<u8")
+    return margins(hashes.view(np.uint8).reshape(-1, 8))
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """SimHash of the word shingles of a text, as an unsigned number; 0 without a word."""
+    words = words_of(text)
+    return int(np.packbits(_narrow(words, size) > 0, bitorder="little").view("<u8")[0]) if words else 0
+
+
+def marks(text: str, size: int = 3) -> tuple[int, bytes, bytes]:
+    """(signed fingerprint, its bits from the weakest on, 256-bit fingerprint of the distinct five-word shingles)."""
+    words = words_of(text)
+    if not words:
+        return 0, bytes(range(64)), bytes(32)
+    narrow = _narrow(words, size)
+    digest = xxhash.xxh3_128_digest
+    wide = b"".join([digest(x, seed) for x in set(shingles(words, 5)) for seed in (1, 2)])
+    wide = margins(np.frombuffer(wide, np.uint8).reshape(-1, 32))
+    bits = np.packbits(narrow > 0, bitorder="little").view("<i8")[0]
+    weak = np.argsort(np.abs(narrow), kind="stable").astype(np.uint8)
+    return int(bits), weak.tobytes(), np.packbits(wide > 0, bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -63,10 +94,13 @@ def references() -> np.ndarray:
     return np.random.default_rng(3).integers(0, 1 << 64, PIVOTS, dtype=np.uint64, endpoint=False)
 
 
-def linked_groups(bits: np.ndarray, limit: int, table: np.ndarray) -> list[tuple[int, int]]:
+def linked_groups(
+    bits: np.ndarray, limit: int, table: np.ndarray, wide: np.ndarray | None = None, wide_limit: int = 0
+) -> list[tuple[int, int]]:
     """(first, member) for each member of a connected group but the first; positions in `bits`.
 
-    Each fingerprint is compared once with those not yet reached: pivot tables first, then the bits themselves.
+    Each fingerprint is compared once with those not yet reached: pivot tables first, then the bits themselves, and
+    the wide fingerprints (rows of 64-bit numbers) if there are any.
     """
     rest = np.arange(len(bits))
     out = []
@@ -83,12 +117,46 @@ def linked_groups(bits: np.ndarray, limit: int, table: np.ndarray) -> list[tuple
                     apart = np.abs(table[some][:, None, :] - table[rest[rows]][None]).max(axis=2)
                     a, b = np.nonzero(apart <= limit)
                     close = np.bitwise_count(bits[some[a]] ^ bits[rest[rows[b]]]) <= limit
+                    if wide is not None:
+                        a, b = a[close], b[close]
+                        apart = np.bitwise_count(wide[some[a]] ^ wide[rest[rows[b]]])
+                        close = apart.sum(axis=1, dtype=np.int64) <= wide_limit
                     near[rows[b[close]]] = True
             front, rest = rest[near], rest[~near]
             out += [(root, int(x)) for x in front]
     return out
 
 
+def _probed(distinct: DataFrame, probes: int) -> DataFrame:
+    """Like _spread, with each key also under its value with any of its weakest bits flipped; keeps wide."""
+    kind = id_type(distinct, "node")
+
+    def run(batch):
+        bits = batch.column(0).to_numpy().view(np.uint64)
+        order = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 64)
+        rank = np.argsort(order, axis=1)
+        keys, masks = [], []
+        for (a, n), (b, m) in combinations(BLOCKS, 2):
+            places = np.r_[a : a + n, b : b + m]
+            weakest = places[np.argsort(rank[:, places], axis=1)[:, :probes]]
+            mask = sum(1 << int(p) for p in places)
+            value = bits & np.uint64(mask)
+            for chosen in range(1 << probes):
+                flipped = value.copy()
+                for k in range(probes):
+                    if chosen >> k & 1:
+                        flipped ^= np.uint64(1) << weakest[:, k].astype(np.uint64)
+                mixed = (flipped ^ (flipped >> np.uint64(31)) ^ np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)
+                keys.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
+                masks.append(np.full(len(bits), mask - ((mask >> 63) << 64), np.int64))
+        take = pa.array(np.tile(np.arange(len(bits)), len(keys)))
+        again = [batch.column(i).take(take) for i in (0, 1, 3)]
+        return pa.array(np.concatenate(keys)), pa.array(np.concatenate(masks)), *again
+
+    schema = f"key bigint, mask bigint, bits bigint, node {kind}, wide binary"
+    return map_batches(distinct, ["bits", "node", "weak", "wide"], run, schema)
+
+
 def _spread(distinct: DataFrame) -> DataFrame:
     """A row for each pair of blocks: (key, mask, bits, node); mask has the bits that the key fixes."""
     keys = []
@@ -99,11 +167,11 @@ def _spread(distinct: DataFrame) -> DataFrame:
     return distinct.withColumn("k", F.explode(F.array(*keys))).select("k.key", "k.mask", "bits", "node")
 
 
-def _refine(rows: DataFrame, limit: int) -> DataFrame:
+def _refine(rows: DataFrame, limit: int = 3) -> DataFrame:
     """Rows of crowded keys with finer keys: of the bits left, one part of limit + 1 agrees for any link."""
 
     def run(batch):
-        key, mask, bits, node = (batch.column(i) for i in range(4))
+        key, mask, bits = (batch.column(i) for i in range(3))
         out = [[], [], []]
         take = []
         for row, (k, m) in enumerate(zip(key.to_pylist(), mask.to_pylist())):
@@ -116,41 +184,51 @@ def _refine(rows: DataFrame, limit: int) -> DataFrame:
                 out[0].append(digest - ((digest >> 63) << 64))
                 out[1].append(finer - ((finer >> 63) << 64))
                 take.append(row)
-        return pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), bits.take(take), node.take(take)
+        take = pa.array(take, pa.int64())
+        return out[0], out[1], *[x.take(take) for x in batch.columns[2:]]
 
-    return map_batches(rows, ["key", "mask", "bits", "node"], run, f"key bigint, mask bigint, bits bigint, node {id_type(rows, 'node')}")
+    schema = f"key bigint, mask bigint, bits bigint, node {id_type(rows, 'node')}"
+    return map_batches(rows, rows.columns, run, schema + ", wide binary" * ("wide" in rows.columns))
 
 
-def links(distinct: DataFrame, limit: int = 3, crowd: int = CROWD) -> DataFrame:
+def links(
+    distinct: DataFrame, limit: int = 3, crowd: int = CROWD, probes: int = 0, wide_limit: int | None = None
+) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs of at most `limit` differing bits would.
 
     distinct: (bits, node), one row a fingerprint. Within a key only a spanning forest of its links comes out,
     so rows grow with the fingerprints and not with the square of a group. Keys with more than `crowd` rows are
     counted with partial sums, never gathered: their rows get finer keys, again and again; when fewer than
     sixteen bits are free, a key holds at most 2^16 fingerprints, whatever the data.
+
+    With `probes` (distinct: also weak and wide) keys are tried with that many weakest bits flipped, and a link
+    needs at most `wide_limit` differing bits of the wide fingerprint as well. Links beyond three bits are then
+    found with high probability, not surely.
     """
     spark = distinct.sparkSession
     ship(spark)
     kind = id_type(distinct, "node")
+    columns = ["key", "bits", "node"] + ["wide"] * (wide_limit is not None)
 
     def run(batches):
         pivots = references()
         held: list[tuple] = []  # parts of the key that is being read
 
         def done():
-            if not held:
-                return None
-            bits = np.concatenate([x[0] for x in held])
+            bits = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.uint64)
             if len(bits) < 2:
                 return None
+            nodes = pa.concat_arrays([x[1] for x in held])
+            wide = None
+            if wide_limit is not None:
+                joined = b"".join(y for x in held for y in x[2].to_pylist())
+                wide = np.frombuffer(joined, np.uint64).reshape(len(bits), -1)
             table = np.bitwise_count(bits[:, None] ^ pivots).astype(np.int8)
-            found = linked_groups(bits, limit, table)
+            found = linked_groups(bits, limit, table, wide, wide_limit or 0)
             if not found:
                 return None
-            nodes = pa.concat_arrays([x[1] for x in held])
-            return pa.RecordBatch.from_arrays(
-                [nodes.take(pa.array([a for a, _ in found])), nodes.take(pa.array([b for _, b in found]))], names=["a", "b"]
-            )
+            ends = [nodes.take(pa.array(x)) for x in zip(*found)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         last = None
         for batch in slices(batches, 8192):
@@ -163,25 +241,24 @@ def links(distinct: DataFrame, limit: int = 3, crowd: int = CROWD) -> DataFrame:
                     if (out := done()) is not None:
                         yield out
                     held, last = [], key[begin]
-                held.append((bits[begin:end], batch.column(2).slice(begin, end - begin)))
+                more = [c.slice(begin, end - begin) for c in batch.columns[2:]]
+                held.append((bits[begin:end], *more))
                 begin = end
         if (out := done()) is not None:
             yield out
 
     found = []
-    rows = _spread(distinct)
+    rows = _probed(distinct, probes) if probes else _spread(distinct)
     for level in range(8):
-        rows = store(rows, f"keys-{level}")
         crowded = rows.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-        crowded = crowded.where(F.bit_count("mask") < 48).select("key")
-        crowded = store(crowded, "crowded")
+        crowded = store(crowded.where(F.bit_count("mask") < 48).select("key"), "crowded")
         some = not crowded.isEmpty()
         quiet = rows.join(crowded, "key", "left_anti") if some else rows
-        dealt = quiet.repartition(parts(spark), "key").sortWithinPartitions("key").select("key", "bits", "node")
+        dealt = quiet.select(columns).repartition(parts(spark), "key").sortWithinPartitions("key")
         found.append(store(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links"))
         if not some:
             break
-        rows = _refine(rows.join(crowded, "key", "left_semi"), limit)
+        rows = store(_refine(rows.join(crowded, "key", "left_semi")), f"keys-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -219,26 +296,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3, crowd: int = CROWD
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = 12, wide_limit: int = 40, crowd: int = CROWD
 ) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of the smallest id, nulls last.
 
-    Rows are numbered and stored with their fingerprints first, so of repeated rows exactly one stays.
+    Near copies: texts whose five-word shingles have a similarity of 0.8 or more, as told by 256 bits, of which
+    39 are expected to differ at 0.8. Rows are numbered and stored with their fingerprints first, so of repeated
+    rows exactly one stays. Null and empty texts are copies of each other. An empty table gives no row.
     """
-
-    def signed(t: str | None) -> int:
-        bits = fingerprint(t or "", size)
-        return bits - ((bits >> 63) << 64)
-
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = store(with_columns(numbered, [text], lambda x: [[signed(t) for t in x[0]]], "_bits bigint"), "marked")
-    rows = marked.select(F.col("_row").alias("row"), F.col(id_column).alias("id"), F.col("_bits").alias("bits"))
+    schema = "_bits bigint, _weak binary, _wide binary"
+    marked = with_columns(numbered, [text], lambda x: list(zip(*[marks(t or "") for t in x[0]])), schema)
+    marked = store(marked, "marked")
+    rows = marked.select(
+        F.col("_row").alias("row"), F.col(id_column).alias("id"), *[F.col(f"_{x}").alias(x) for x in ("bits", "weak", "wide")]
+    )
     order = F.struct(F.isnull("id").alias("n"), "id", "row")
-    distinct = store(rows.groupBy("bits").agg(F.min(order).alias("first"), F.min("row").alias("node")), "distinct")
-    found = components(links(distinct.select("bits", "node"), limit, crowd))
+    sides = F.min(F.struct("row", "weak")).alias("least")
+    distinct = rows.groupBy("bits", "wide").agg(F.min(order).alias("first"), sides)
+    distinct = store(distinct.select("bits", "wide", "first", F.col("least.row").alias("node"), "least.weak"), "distinct")
+    found = components(links(distinct, limit, crowd, 2, wide_limit))
     named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return marked.join(kept, "_row", "left_semi").drop("_row", "_bits")
+    return marked.join(kept, "_row", "left_semi").drop("_row", "_bits", "_weak", "_wide")
 
 
 def groups(
