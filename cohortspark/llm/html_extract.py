@@ -58,7 +58,7 @@ class Page:
         stack: list[tuple] = []  # (tag, path, outside, container path, in a link)
         self.text: list[str] = []
         self.linked = 0
-        top = ("", "", False, "", False)
+        top = ("", "", False, ">root", False)  # text outside any element
         at = 0
         n = len(html)
         while at < n:

@@ -210,7 +210,7 @@ class Tagger:
         return grads
 
 
-def train(windows: list[str], labels: list[np.ndarray], epochs: int = 6, rate: float = 0.02, seed: int = 5) -> Tagger:
+def train(windows: list[str], labels: list[np.ndarray], epochs: int = 8, rate: float = 0.02, seed: int = 5) -> Tagger:
     """A tagger fitted by Adam to windows with a tag for each character."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
@@ -294,7 +294,7 @@ def fit(
     windows, labels = [], []
     for row in found:
         spans = list(zip(row.kinds, row.starts, row.ends))
-        examples = [(row.t, spans)] + ([altered(row.t, spans, rng)] if spans and rng.random() < 0.5 else [])
+        examples = [(row.t, spans)] + ([altered(row.t, spans, rng)] if spans else [])
         for window, marked in examples:
             windows.append(window)
             labels.append(tags(len(window), marked))

@@ -1,0 +1,111 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+
+from cohortspark.llm import bwt_dedup
+
+
+def plain(texts, span):
+    """Bytes covered by strings that start more than once, as spans of each text."""
+    counts = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    out = []
+    for t in texts:
+        spans = []
+        for i in range(len(t) - span + 1):
+            if counts[t[i : i + span]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + span
+                else:
+                    spans.append([i, i + span])
+        out.append([tuple(s) for s in spans])
+    return out
+
+
+def mixture(rng, span):
+    alphabet = rng.choice(["ab", "abcdefgh \u00e9\u4f60"])
+    parts = ["".join(rng.choices(alphabet, k=rng.randint(0, 4 * span))) for _ in range(3)]
+    texts = []
+    for _ in range(rng.randint(1, 8)):
+        text = ""
+        for _ in range(rng.randint(0, 4)):
+            part = rng.choice(parts)
+            a, b = sorted((rng.randint(0, len(part)), rng.randint(0, len(part))))
+            text += part[a:b] + "".join(rng.choices(alphabet, k=rng.randint(0, 4)))
+        texts.append(text)
+    return texts + rng.choice([[], ["a" * 3 * span], ["abc" * span], [texts[0], texts[0]], [None, ""]])
+
+
+def check(docs, texts, span, crowd=bwt_dedup.CROWD):
+    data = [(t or "").encode() for t in texts]
+    found = {r.doc_id: r for r in bwt_dedup.remove_repeats(docs(*texts), span=span, crowd=crowd).collect()}
+    for i, (t, spans) in enumerate(zip(data, plain(data, span))):
+        kept = b"".join(t[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(t)]))
+        r = found[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(t), len(t) - len(kept), len(spans), kept)
+
+
+def test_merged_orders_equal_a_plain_count(docs):
+    rng = random.Random(7)
+    for case in range(4):
+        span = (60, 100)[case % 2]
+        texts = [t for _ in range(6) for t in mixture(rng, span)]
+        check(docs, texts, span)
+        check(docs, texts, span, crowd=1)
+
+
+def test_many_mixtures_of_anchors():
+    rng = random.Random(2)
+    for _ in range(150):
+        span = rng.choice([50, 60, 120])
+        texts = [(t or "").encode() for t in mixture(rng, span)]
+        rows = []
+        for n, t in enumerate(texts):
+            with np.errstate(over="ignore"):
+                a, lo, hi, h = bwt_dedup.anchors(np.frombuffer(t, np.uint8), span)
+            rows += [(h, n, a, lo, t[lo : hi + span]) for h, a, lo, hi in zip(h.tolist(), a.tolist(), lo.tolist(), hi.tolist())]
+        rows.sort()
+        found = [[] for _ in texts]
+        if rows:
+            group = np.cumsum(np.append(0, np.diff(np.array([r[0] for r in rows])) != 0))
+            shift = np.array([r[2] - r[3] for r in rows])
+            for r, runs in zip(rows, bwt_dedup.merge_orders(group, [r[4] for r in rows], shift, span)):
+                found[r[1]] += [(r[2] - far, r[2] - near + span) for near, far in runs]
+        assert [bwt_dedup.cut_out(t, f)[1] for t, f in zip(texts, found)] == plain(texts, span)
+
+
+def test_hot_passage_and_copies(docs):
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdefgh ", k=500))
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) + passage + "".join(rng.choices("xyz", k=200)) for _ in range(40)]
+    texts += [texts[0]] * 5 + [passage[:399], passage[:400]]
+    check(docs, texts, 400)
+    check(docs, texts, 400, crowd=3)
+
+
+def test_the_table_as_sql_would(documents):
+    rows = sorted(documents.select("doc_id", "text").collect())
+    data = [(r.text or "").encode() for r in rows]
+    found = {r.doc_id: r for r in bwt_dedup.remove_repeats(documents).collect()}
+    for r, t, spans in zip(rows, data, plain(data, 400)):
+        kept, _ = bwt_dedup.cut_out(t, spans)
+        assert hashlib.sha256(kept).digest() == hashlib.sha256(found[r.doc_id].kept).digest()
+    assert sum(x.n_removed for x in found.values()) > 0
+
+
+def test_texts_longer_than_a_step(docs, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "STEP", 100)
+    rng = random.Random(5)
+    part = "".join(rng.choices("abc", k=700))
+    data = [(part + "x" * i + part[50:600]).encode() for i in range(3)]
+    for t in data:
+        with np.errstate(over="ignore"):
+            a, lo, hi, _ = bwt_dedup.anchors(np.frombuffer(t, np.uint8), 80)
+        assert lo[0] == 0 and hi[-1] == len(t) - 80 and (lo[1:] == hi[:-1] + 1).all() and (a >= hi).all() and (a - lo <= 32).all()
+
+
+def test_stripped_texts_stay_text(docs):
+    text = "\u4f60\u597d" * 200
+    rows = {r.doc_id: r.text for r in bwt_dedup.stripped(docs(text + "end", "x" + text, None, "short")).collect()}
+    assert rows[3] == "short" and rows[2] is None and rows[0].endswith("end") and len(rows[0]) < 10

@@ -1,0 +1,43 @@
+from cohortspark.llm.html_extract import Page, extract, votes, winning_paths
+
+PAGE = """<!DOCTYPE html><html><head><title>No title</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header>Site name</header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies</p></div>
+<div class="ad">Buy this</div><article class="post-12"><h1>Head &amp;  line</h1><p>One <b>bold<br>word</b>.<p>Two
+ lines<ul><li>item<li>next</ul><form><input value=x>Send</form><script>x()</script>
+<section class="comments"><p>I disagree</p></section></article><aside>Others</aside><footer>&copy; foot</footer></body></html>"""
+
+
+def test_article_without_what_surrounds_it():
+    page = Page(PAGE)
+    assert page.best()[0] == ">html>body>article.post-#"
+    assert page.extract(None) == "Head & line\nOne bold word.\nTwo lines\nitem\nnext"
+
+
+def test_cut_off_pages():
+    for end in range(len(PAGE)):
+        Page(PAGE[:end]).extract(None)
+    assert Page("<article><p>One &am").extract(None) == "One &am"
+    assert Page("<article><p>One <a href=").extract(None) == "One"
+    assert Page("<article><p>One <!-- no").extract(None) == "One"
+
+
+def test_hosts_agree_on_a_path(spark):
+    usual = "<body><div class=main><p>" + "words of the text " * 5 + "</p></div><div class=x><p>short</p></div></body>"
+    odd = "<body><div class=main><p>little</p></div><div class=x><p>" + "a very long side text " * 20 + "</p></div></body>"
+    rows = [(i, f"http://A.net/{i}", usual) for i in range(3)] + [(9, "https://a.net?q", odd), (10, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    paths = {r.host: r.path for r in winning_paths(votes(pages)).collect()}
+    assert paths == {"a.net": ">body>div.main"}
+    found = {r.page_id: r.text for r in extract(pages).collect()}
+    assert found[9] == "little" and found[10] == "" and found[0] == " ".join(["words of the text"] * 5)
+
+
+def test_pages_of_the_table_have_their_documents(spark, small):
+    import re
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = extract(spark.read.parquet(f"{small}/pages.parquet")).collect()
+    assert rows
+    for r in rows:
+        lines = [" ".join(x.split()) for x in texts[int(re.search(r"/(\d+)", r.url)[1])].split("\n")]
+        assert r.text.split("\n")[1:] == [x for x in lines if x]

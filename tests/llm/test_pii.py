@@ -1,0 +1,92 @@
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cohortspark.llm import pii
+from cohortspark.llm.common import table
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = [int(x) for x in digits(m)]
+        total = sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(d)))
+        if 13 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("0123456789.@+- ()aZ%_\u00e9\n", max_size=60))
+def test_patterns_as_written(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_patterns_in_the_table(documents):
+    for r in documents.collect():
+        assert pii.base_spans(r.text or "") == plain_spans(r.text or "")
+
+
+def test_long_runs_take_linear_time():
+    for run in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "@" * 100_000, "a@" * 100_000):
+        pii.base_spans(run)
+
+
+def test_gradients_are_those_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    tagger = pii.train(["+1 (555) 555-0100 x"], [pii.tags(19, [("phone", 0, 17)])], epochs=1)
+    tagger.weights = {k: v.astype(np.float64) for k, v in tagger.weights.items()}
+    letters, wanted = rng.integers(1, 120, (2, 7)), rng.integers(0, pii.TAGS, (2, 7))
+
+    def loss():
+        scores, moves = tagger.scores(letters).astype(np.float64), tagger.weights["moves"]
+        ahead = scores[:, 0]
+        for t in range(1, 7):
+            ahead = np.log(np.exp(ahead[:, :, None] + moves[None]).sum(axis=1)) + scores[:, t]
+        best = sum(scores[np.arange(2), t, wanted[:, t]] for t in range(7))
+        best = best + sum(moves[wanted[:, t - 1], wanted[:, t]] for t in range(1, 7))
+        return (np.log(np.exp(ahead).sum(axis=1)) - best).mean()
+
+    grads = tagger.gradients(letters, wanted)
+    for name, weight in tagger.weights.items():
+        index = tuple(rng.integers(0, s) for s in weight.shape)
+        if name == "embedding":
+            index = (letters[0, 3], index[1])
+        kept, step = weight[index], 1e-2
+        weight[index] = kept + step
+        high = loss()
+        weight[index] = kept - step
+        low = loss()
+        weight[index] = kept
+        assert grads[name][index] == pytest.approx((high - low) / (2 * step), rel=0.05, abs=2e-4), name
+
+
+def test_the_network_adds_spans_and_leaves_the_rest(spark, docs, small):
+    tagger = pii.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    texts = ["ring 001 (743) 555-3824 now", "Version 2.0 of 12 things in 1999", "mail a.19@mail5.example.com or 10.0.0.1", "x" * 500]
+    found = {r.doc_id: r for r in pii.find(docs(*texts), tagger).collect()}
+    assert [texts[0][s:e] for s, e in zip(found[0].starts, found[0].ends)] == ["001 (743) 555-3824"]
+    assert found[0].by_pattern == [False] and found[1].kinds == [] and found[3].kinds == []
+    assert found[2].kinds == ["email", "ip"] and found[2].by_pattern == [True, True]
+    assert pii.masked(docs(texts[2]), tagger).first().text == "mail <email> or <ip>"
+    for r in pii.find(table(spark, small, "documents"), tagger).collect():
+        assert sum(r.by_pattern) >= len(r.kinds) - 1
+
+
+def test_windows_cover_every_sign():
+    for n in (1, 63, 64, 65, 200):
+        for at in range(n):
+            text = "x" * at + "7" + "x" * (n - at - 1)
+            starts = pii.window_starts(text)
+            owned = [s for s in starts if (0 if s == 0 else 16) <= at - s < (64 if s + 64 >= n else 48)]
+            assert len(owned) == 1, (n, at, starts)

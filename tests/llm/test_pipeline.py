@@ -1,0 +1,45 @@
+import public_tokenizers as P
+
+import corpus_pipeline
+from cohortspark.llm import langid, pii, simhash
+
+
+def test_each_stage_does_its_work_on_what_the_last_one_kept(spark, small, documents):
+    docs = documents
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language", "near_copies", "repeated_passages", "personal_data", "packing"]
+    stages = dict(corpus_pipeline.STAGES)
+
+    kept = stages["language"](spark, docs, small)
+    net = langid.fit(docs)
+    plain = {r.doc_id for r in docs.collect() for lang, score in [[x[0] for x in langid.predictions(net, [r.text])]] if lang != "und" and score >= 0.4}
+    assert {r.doc_id for r in kept.collect()} == plain and len(plain) > 0.95 * docs.count()
+
+    single = stages["near_copies"](spark, kept, small)
+    texts = [r.text for r in single.collect()]
+    assert len(set(texts)) == len(texts) < kept.count()
+    narrow = {simhash.fingerprint(t) for t in texts}
+    assert len(narrow) == len(texts)
+
+    cut = stages["repeated_passages"](spark, single, small)
+    rows = cut.collect()
+    assert len(rows) == len(texts) and all(r.n_chars == len(r.text) for r in rows)
+    seen = set()
+    for r in rows:
+        data = r.text.encode()
+        for i in range(0, len(data) - 399):
+            assert data[i : i + 400] not in seen
+        seen |= {data[i : i + 400] for i in range(0, len(data) - 399)}
+
+    masked = stages["personal_data"](spark, cut, small)
+    assert masked.columns == docs.columns and masked.count() == cut.count()
+    assert all(not pii.base_spans(r.text) for r in masked.collect())
+
+    pieces = stages["packing"](spark, masked, small).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in masked.collect()}
+    assert P.path("byte_bpe_50k.json")
+
+
+def test_run_is_the_stages_in_a_row(spark, small):
+    whole = corpus_pipeline.run(spark, small)
+    assert whole.count() > 0 and "sequence_id" in whole.columns

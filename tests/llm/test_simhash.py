@@ -1,0 +1,105 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from cohortspark.llm import simhash
+
+
+def plain_fingerprint(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    some = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in some]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(bits):
+    """The smallest position that links of at most three bits reach, by comparing all."""
+    out = list(range(len(bits)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(bits)):
+            near = np.flatnonzero(np.bitwise_count(bits ^ bits[i]) <= 3)
+            least = min(out[j] for j in near)
+            for j in near:
+                if out[j] != least:
+                    out[j], changed = least, True
+    return out
+
+
+def test_groups_equal_a_comparison_of_all(documents, docs, odd_texts):
+    for frame in (documents, docs(*odd_texts, "word ", "WORD")):
+        rows = sorted(frame.select("doc_id", "text").collect())
+        bits = np.array([plain_fingerprint(r.text) for r in rows], np.uint64)
+        found = {r.doc_id: (r.bits, r.component_id) for r in simhash.groups(frame).collect()}
+        for r, b, c in zip(rows, bits, plain_groups(bits)):
+            assert found[r.doc_id] == (int(b.view(np.int64)), rows[c].doc_id)
+
+
+def near_bits(rng, count):
+    """Clouds and chains of fingerprints around a few centres."""
+    out = set()
+    for _ in range(count // 40):
+        centre = rng.getrandbits(64)
+        for _ in range(40):
+            for _ in range(rng.randint(0, 3)):
+                centre ^= 1 << rng.randrange(64)
+            out.add(centre)
+    return sorted(out)
+
+
+def test_crowded_keys_give_the_same_groups(spark):
+    rng = random.Random(4)
+    bits = np.array(near_bits(rng, 1200), np.uint64)
+    cloud = np.array([0x123456789ABCDEF ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(a)], np.uint64)
+    bits = np.unique(np.concatenate([bits, cloud]))
+    frame = spark.createDataFrame([(int(b.view(np.int64)), i) for i, b in enumerate(bits)], "bits bigint, node bigint")
+    wanted = plain_groups(bits)
+    for crowd in (simhash.CROWD, 20):
+        found = {r.node: r.component for r in simhash.components(simhash.links(frame, 3, crowd)).collect()}
+        assert [found.get(i, i) for i in range(len(bits))] == wanted
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    random.Random(1).shuffle(edges)
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    found = {r.node: r.component for r in simhash.components(frame).collect()}
+    assert found == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 300)} | {2001: 2000}
+
+
+def test_pivot_tables_never_discard_a_link():
+    rng = np.random.default_rng(5)
+    bits = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) & np.uint64(0xFFFF))
+    table = np.bitwise_count(bits[:, None] ^ simhash.references()).astype(np.int8)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None])
+    assert (np.abs(table[:, None].astype(int) - table[None]).max(axis=2) <= apart).all()
+
+
+def test_one_document_of_each_group_of_near_copies(docs):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfghklm" for b in ("ano", "ire", "olu", "ende")]
+    texts, families = [], []
+    for family in range(30):
+        base = [rng.choice(words) + str(rng.randrange(50)) for _ in range(150)]
+        for copy in range(4):
+            changed = list(base)
+            if copy:
+                changed[rng.randrange(150)] = "other"
+            texts.append(" ".join(changed))
+            families.append(family)
+    texts += [texts[0]] * 3
+    families += [0] * 3
+    kept = [r.doc_id for r in simhash.keep_one(docs(*texts)).collect()]
+    assert {families[i] for i in kept} == set(range(30))
+    assert len(kept) <= 31 and 0 in kept
+
+
+def test_repeated_rows_leave_one(docs):
+    assert simhash.keep_one(docs((1, "same text"), (1, "same text"), (None, "same text"))).collect()[0].doc_id == 1
+    assert simhash.keep_one(docs((None, ""), (None, None))).count() == 1

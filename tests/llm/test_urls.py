@@ -1,0 +1,53 @@
+import random
+
+from pyspark.sql import functions as F
+
+from cohortspark.llm import url_rules
+from cohortspark.llm.html_extract import url_host
+from cohortspark.llm.queries import URL_RULES
+
+
+def test_hosts_and_paths(spark):
+    cases = {
+        "HTTP://Ex.NET/a/B?q#f": ("ex.net", "/a/B"), "x://a?b/c": ("a", ""), "x://a#b": ("a", ""), "nothing": ("", ""),
+        None: ("", ""), "a://b://c/d": ("b:", "//c/d"), "http://u@h:80/": ("u@h:80", "/"), "://h": ("h", ""), "": ("", ""),
+        "x\n://\u00c9.De/\np": ("\u00c9.de", "/\np"),
+    }
+    frame = spark.createDataFrame([(u,) for u in cases], "url string")
+    for r in frame.select("url", url_host(F.col("url")).alias("h"), url_rules.url_path(F.col("url")).alias("p")).collect():
+        assert (r.h, r.p) == cases[r.url]
+
+
+def test_longest_fixed_rule_wins(spark):
+    cases = {
+        "a.net/": ("net/", "block"), "example.net/en/1": ("example.net/en/", "allow"), "x.example.net/en/": ("example.net/en/", "allow"),
+        "example.net/de/": ("net/", "block"), "example.com/de/1": ("example.com/de/", "block"), "badexample.com/de/": (None, "allow"),
+        "q.org/fr/": ("org/fr/", "allow"), "q.org/": (None, "allow"), "a.net": (None, "allow"), "internet/": (None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(cases)], "page_id bigint, url string")
+    none = spark.createDataFrame([], "url string, bad boolean")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, none, URL_RULES).collect()}
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_mined_rules_equal_a_count_of_all_combinations(spark):
+    from itertools import combinations
+
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice(['spam', 'good', 'news'])}.{rng.choice(['x', 'y'])}.com/{rng.choice(['buy', 'read'])}/{i}" for i in range(400)]
+    bad = [("spam" in u and "buy" in u) or rng.random() < 0.02 for u in urls]
+    labelled = spark.createDataFrame(list(zip(urls, bad)), "url string, bad boolean")
+    rows = labelled.select(url_rules.tokens(url_host(F.col("url")), url_rules.url_path(F.col("url"))).alias("t"), "bad").collect()
+    plain = set()
+    for size in (1, 2, 3):
+        for some in combinations(sorted({x for r in rows for x in r.t}), size):
+            fits = [r.bad for r in rows if set(some) <= set(r.t)]
+            if sum(fits) >= 0.01 * len(rows) and sum(fits) >= 0.8 * len(fits):
+                if not any(set(p) < set(some) for p in plain):
+                    plain.add(some)
+    mined = url_rules.mine(labelled, support=0.01)
+    assert {tuple(r.antecedent) for r in mined.collect()} == plain and plain
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    judged = url_rules.judge(pages, labelled, [], support=0.01).collect()
+    fits = {i: any(set(p) <= set(r.t) for p in plain) for i, r in enumerate(rows)}
+    assert {r.page_id: r.verdict == "block" for r in judged} == fits
