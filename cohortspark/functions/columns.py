@@ -37,9 +37,19 @@ def is_cancellation(column: str = "InvoiceNo") -> Column:
 
 
 def exact_sum(column: str | Column) -> Column:
-    """Sum of money, independent of row order, so a recomputed task gives the same total."""
+    """Sum of money, independent of row order, so a recomputed task gives the same total.
+
+    Lines are added up with eight decimal places, beyond which a double holds noise; totals may have 30 digits before
+    the point.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return F.sum(column.cast("decimal(20,4)")).cast("double")
+    return F.sum(column.cast("decimal(38,8)")).cast("double")
+
+
+def qualifies() -> Column:
+    """A purchase: known customer, not a cancellation, positive quantity and price. Not-a-number is no price."""
+    price = F.coalesce(F.nanvl(F.col("UnitPrice").cast("double"), F.lit(0.0)) > 0, F.lit(False))
+    return F.col("CustomerID").isNotNull() & ~is_cancellation() & (F.col("Quantity") > 0) & price
 
 
 def elapsed_days(first: str, last: str) -> Column:

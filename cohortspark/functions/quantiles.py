@@ -51,20 +51,25 @@ def order_statistics(
             small[c] = sorted(set(wanted))
         else:
             found[c] = _select_large(df, c, sorted(set(wanted)), sizes[c], distinct_limit, accuracy)
-    if small:
-        found.update(_select_small(df, small))
+    by_kind: dict[str, dict[str, Sequence[int]]] = {}
+    for c, wanted in small.items():
+        by_kind.setdefault(_kind(df, c), {})[c] = wanted
+    for kind, some in by_kind.items():
+        found.update(_select_small(df, some, kind))
     return found
 
 
-def _common_type(df: DataFrame, columns) -> str:
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    return "bigint" if all(isinstance(df.schema[c].dataType, whole) for c in columns) else "double"
+def _kind(df: DataFrame, column: str) -> str:
+    """The type in which a column is counted: whole numbers as bigint, floats as double, others as they are."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else kind.simpleString()
 
 
-def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[str, dict[int, tuple]]:
-    """Count per distinct value of all columns in one job, cumulate, keep the values that cover a wanted rank."""
+def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]], kind: str) -> dict[str, dict[int, tuple]]:
+    """Count per distinct value of all columns of one type in one job, cumulate, keep the values that cover a wanted rank."""
     columns = list(ranks)
-    kind = _common_type(df, columns)
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast(kind).alias("v")) for i, c in enumerate(columns)])
     counted = (
         df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("equal"))

@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.quantiles import column_sizes, order_statistics
-
-BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 1_024
-
+from cohortspark.session import stored
 
 # ---------------------------------------------------------------- cut points of a rank
 
@@ -60,105 +55,61 @@ def at_or_before(value: str, cut: tuple | None, ascending: bool = True, tie: str
 # ---------------------------------------------------------------- running totals and ranks of every row
 
 
-def _splits(df: DataFrame, columns: Sequence[str], rows: int, bucket_rows: int) -> dict[str, list[float]]:
-    """Approximate equal-count split points; repeated points show values that fill several buckets."""
-    buckets = min(MAX_BUCKETS, ceil(rows / bucket_rows))
-    if buckets <= 1:
-        return {c: [] for c in columns}
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    accuracy = max(1_000, 20 * buckets)
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(c) for c in columns]).first()
-    return {c: list(row[c]) if row[c] is not None else [] for c in columns}
-
-
-def _with_bucket(df: DataFrame, column: str, splits: Sequence[float], name: str) -> DataFrame:
-    """Bucket number by binary search over the split points; higher values never get a lower number."""
-    points = sorted(set(splits))
-    if not points:
-        return df.withColumn(name, F.lit(0))
-    edges = [-float("inf")] + points + [float("inf")]
-    key = f"{name}_key"
-    shaped = Bucketizer(splits=edges, inputCol=key, outputCol=name, handleInvalid="keep").transform(
-        df.withColumn(key, F.col(column).cast("double"))
-    )
-    return shaped.drop(key).withColumn(name, F.col(name).cast("int"))
+def in_parts(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """The rows dealt into ranges of the order, stored with the number of their range in `_part`.
+
+    There are as many ranges as the session has shuffle partitions, of similar size; columns keep their types. The
+    table is stored, so the bounds are drawn once and every later reading sees the same ranges.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _offsets(placed: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """For each range the totals of those before it, as `_o_<name>`: one row for each range."""
+    sums = placed.groupBy("_part").agg(*[totals[n].alias(n) for n in totals])
+    start, rows = [0] * len(totals), []
+    for row in sorted(sums.collect(), key=lambda r: r["_part"]):
+        rows.append((row["_part"], *start))
+        start = [s + row[n] for s, n in zip(start, totals)]
+    return placed.sparkSession.createDataFrame(rows, "_part int, " + ", ".join(f"_o_{n} bigint" for n in totals))
 
 
 def running_totals(
-    df: DataFrame, value: str, totals: dict[str, Column], ascending: bool = True, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, value: str, totals: dict[str, Column], ascending: bool = True, parts: int | None = None
 ) -> DataFrame:
     """One row per distinct `value` with each total and `cum_<total>`, the sum over all values up to it.
 
-    Rows are summed per value before any ordering, so a value with many rows is one row afterwards. Values are
-    dealt to buckets of similar size; the few bucket totals give every bucket its starting sum.
+    Rows are summed per value before any ordering, so a value with many rows is one row afterwards. The values are
+    dealt into ranges; the totals of the ranges, one row each, give every range its starting sum.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    splits = _splits(rows, [value], rows.count(), bucket_rows)[value]
-    placed = _with_bucket(rows, value, splits, "_b")
     names = list(totals)
-    per_value = placed.groupBy("_b", value).agg(*[totals[n].alias(n) for n in names])
+    per_value = df.filter(F.col(value).isNotNull()).groupBy(value).agg(*[totals[n].alias(n) for n in names])
     order = F.col(value).asc() if ascending else F.col(value).desc()
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not splits:
-        return per_value.select(value, *names, *[F.sum(n).over(inside).alias(f"cum_{n}") for n in names])
-    # At most MAX_BUCKETS rows: the bucket totals, summed up on the driver and sent back with the join.
-    sums = placed.groupBy("_b").agg(*[totals[n].alias(n) for n in names])
-    start, offsets = [0] * len(names), []
-    for row in sorted(sums.collect(), key=lambda r: r["_b"], reverse=not ascending):
-        offsets.append((row["_b"], *start))
-        start = [s + row[n] for s, n in zip(start, names)]
-    schema = "_b int, " + ", ".join(f"_o{i} bigint" for i in range(len(names)))
-    offsets = df.sparkSession.createDataFrame(offsets, schema)
-    return per_value.join(F.broadcast(offsets), "_b").select(
-        value,
-        *names,
-        *[(F.sum(n).over(inside) + F.col(f"_o{i}")).alias(f"cum_{n}") for i, n in enumerate(names)],
+    placed = in_parts(per_value, [order], parts)
+    offsets = _offsets(placed, {n: F.sum(n) for n in names})
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(F.broadcast(offsets), "_part").select(
+        value, *names, *[(F.sum(n).over(inside) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in names]
     )
 
 
-def _placed(rows: DataFrame, value: str, tie: str, total: int, bucket_rows: int) -> tuple[DataFrame, list[str]]:
-    """Rows with the number of their bucket, of its part and of their range of `tie` within a crowded value.
-
-    A crowded value is the lowest of its bucket, so ascending it comes first there and descending last.
-    """
-    splits = _splits(rows, [value], total, bucket_rows)[value]
-    crowded = sorted({v for v in splits if splits.count(v) > 1})
-    hot = F.col(value).cast("double").isin(crowded) if crowded else F.lit(False)
-    tie_splits = _splits(rows.filter(hot), [tie], total, bucket_rows)[tie] if crowded else []
-    placed = _with_bucket(_with_bucket(rows, value, splits, "_b"), tie, tie_splits, "_tie")
-    placed = placed.withColumn("_s", F.when(hot, 0).otherwise(1)).withColumn("_tie", F.when(hot, F.col("_tie")).otherwise(0))
-    return placed, ["_b", "_s", "_tie"]
-
-
 def global_rank(
     df: DataFrame,
     value: str,
     ascending: bool = True,
     tie: str = "CustomerID",
     name: str = "rank",
-    bucket_rows: int = BUCKET_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Adds the 1-based position in the order `value`, then `tie` ascending. `tie` must be unique.
+    """Adds the 1-based position (bigint) in the order `value`, then `tie` ascending. `tie` must be unique.
 
-    A value that fills more than one bucket is divided further by ranges of `tie`, so no task gets more than a
-    few buckets' worth of rows even when one value holds most of them.
+    Ranges are drawn over (value, tie), so a value that most rows share is divided like any other. Rows without a
+    value are left out.
     """
-    rows = df.filter(F.col(value).isNotNull())
     order = [F.col(value).asc() if ascending else F.col(value).desc(), F.col(tie).asc()]
-    total = rows.count()
-    if total <= bucket_rows:
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    placed, keys = _placed(rows, value, tie, total, bucket_rows)
-    sign = 1 if ascending else -1
-    start, offsets = 0, []
-    counts = placed.groupBy(*keys).count().collect()  # at most MAX_BUCKETS plus MAX_BUCKETS per crowded value
-    for row in sorted(counts, key=lambda r: (sign * r["_b"], sign * r["_s"], r["_tie"])):
-        offsets.append((row["_b"], row["_s"], row["_tie"], start))
-        start += row["count"]
-    offsets = df.sparkSession.createDataFrame(offsets, "_b int, _s int, _tie int, _o bigint")
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        placed.join(F.broadcast(offsets), keys)
-        .withColumn(name, F.row_number().over(inside) + F.col("_o"))
-        .drop(*keys, "_o")
-    )
+    placed = in_parts(df.filter(F.col(value).isNotNull()), order, parts)
+    offsets = _offsets(placed, {"rows": F.count(F.lit(1))})
+    inside = Window.partitionBy("_part").orderBy(*order)
+    ranked = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(inside) + F.col("_o_rows"))
+    return ranked.drop("_part", "_o_rows")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.config import Windows
-from cohortspark.functions.columns import between_days, in_observation, is_cancellation, percent
+from cohortspark.functions.columns import between_days, in_observation, is_cancellation, percent, qualifies
 from cohortspark.functions.quantiles import quantiles
 from cohortspark.operators.cleaning import fill_descriptions
 
@@ -195,16 +195,12 @@ def _filled_copies(raw: DataFrame) -> DataFrame:
     return filled.groupBy(*filled.columns).agg(F.count(F.lit(1)).alias("_copies"))
 
 
-def _qualifies() -> Column:
-    return F.col("CustomerID").isNotNull() & ~is_cancellation() & (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0)
-
-
 def stage_counts(raw: DataFrame) -> DataFrame:
     """Rows after each cleaning stage, from one grouping of the filled lines."""
     counts = _filled_copies(raw).agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("raw_rows"),
         F.count(F.lit(1)).alias("deduplicated_rows"),
-        F.count_if(_qualifies()).alias("qualified_rows"),
+        F.count_if(qualifies()).alias("qualified_rows"),
     )
     return counts.select(
         "raw_rows",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.columns import is_cancellation
+from cohortspark.functions.columns import is_cancellation, qualifies
 
 
 def fill_descriptions(df: DataFrame, text: str = "Unknown") -> DataFrame:
@@ -23,10 +23,7 @@ def flag_cancellations(df: DataFrame) -> DataFrame:
 
 def qualifying(df: DataFrame) -> DataFrame:
     """Known customer, not a cancellation, positive quantity and price; Revenue on what remains."""
-    kept = df.filter(
-        F.col("CustomerID").isNotNull() & ~is_cancellation() & (F.col("Quantity") > 0) & (F.col("UnitPrice") > 0)
-    )
-    return kept.withColumn("Revenue", F.col("Quantity") * F.col("UnitPrice"))
+    return df.filter(qualifies()).withColumn("Revenue", F.col("Quantity") * F.col("UnitPrice"))
 
 
 def clean(raw: DataFrame) -> DataFrame:

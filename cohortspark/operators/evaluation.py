@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.config import DECISION_THRESHOLD, LABEL, THRESHOLDS
 from cohortspark.functions.columns import ratio
-from cohortspark.functions.ranking import BUCKET_ROWS, running_totals
+from cohortspark.functions.ranking import running_totals
 
 P = "Churn_Probability_Raw"
 
@@ -16,19 +16,19 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return ratio(2 * tp, 2 * tp + fp + fn)
 
 
-def score_totals(scored: DataFrame, label: str = LABEL, p: str = P, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def score_totals(scored: DataFrame, label: str = LABEL, p: str = P, parts: int | None = None) -> DataFrame:
     """Per distinct score, descending: positives, negatives and their running totals."""
     totals = {"positives": F.count_if(F.col(label) == 1), "negatives": F.count_if(F.col(label) == 0)}
-    return running_totals(scored, p, totals, ascending=False, bucket_rows=bucket_rows)
+    return running_totals(scored, p, totals, ascending=False, parts=parts)
 
 
-def metrics(scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def metrics(scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, parts: int | None = None) -> DataFrame:
     """Accuracy, precision, recall and F1 above 0.5, area under the ROC curve, and average precision.
 
     All six come from one table of distinct scores. Tied scores count half in the ROC area. Average precision
     is the step sum of precision over recall gained. Undefined areas are null.
     """
-    per_score = score_totals(scored, label, p, bucket_rows)
+    per_score = score_totals(scored, label, p, parts)
     above = F.col(p) > DECISION_THRESHOLD
     counted = per_score.agg(
         F.sum("positives").alias("pos"),
@@ -94,10 +94,10 @@ def _class_totals(scored: DataFrame, label: str) -> tuple[int, int]:
     return row["pos"], row["neg"]
 
 
-def roc_points(scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def roc_points(scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, parts: int | None = None) -> DataFrame:
     """One point per distinct score, and the origin, which has no threshold."""
     pos, neg = _class_totals(scored, label)
-    points = score_totals(scored, label, p, bucket_rows).select(
+    points = score_totals(scored, label, p, parts).select(
         F.round(ratio(F.col("cum_negatives"), F.lit(neg)), digits).alias("fpr"),
         F.round(ratio(F.col("cum_positives"), F.lit(pos)), digits).alias("tpr"),
         F.col(p).alias("threshold"),
@@ -107,12 +107,12 @@ def roc_points(scored: DataFrame, label: str = LABEL, p: str = P, digits: int =
 
 
 def precision_recall_points(
-    scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, bucket_rows: int = BUCKET_ROWS
+    scored: DataFrame, label: str = LABEL, p: str = P, digits: int = 6, parts: int | None = None
 ) -> DataFrame:
     """One point per distinct score, and the closing point at recall 0 and precision 1."""
     pos, _ = _class_totals(scored, label)
     caught, missed = F.col("cum_positives"), F.col("cum_negatives")
-    points = score_totals(scored, label, p, bucket_rows).select(
+    points = score_totals(scored, label, p, parts).select(
         F.round(ratio(caught, caught + missed), digits).alias("precision"),
         F.round(ratio(caught, F.lit(pos)), digits).alias("recall"),
         F.col(p).alias("threshold"),

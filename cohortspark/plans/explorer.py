@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isfinite
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +78,12 @@ def range_options(table: DataFrame) -> DataFrame:
 def lookup(risk: DataFrame, customer) -> DataFrame:
     """The customer's row; ids may be text, whole or decimal. Anything else gives no row, same columns."""
     try:
-        number = float(str(customer).strip()) if isinstance(customer, str) else float(customer)
-    except (TypeError, ValueError):
-        number = float("nan")
-    if not isfinite(number) or number != int(number):
+        number = Decimal(str(customer).strip())
+    except InvalidOperation:
+        number = Decimal("nan")
+    if not number.is_finite() or number != number.to_integral_value() or abs(number) >= 2**63:
         return risk.filter(F.lit(False))
-    return risk.filter(F.col("CustomerID") == F.lit(int(number)))
+    return risk.filter(F.col("CustomerID") == F.lit(int(number)).cast("bigint"))
 
 
 def directory(risk: DataFrame) -> DataFrame:

@@ -24,6 +24,19 @@ from cohortspark.session import shared_dir
 from cohortspark.sources import tables
 
 
+def fingerprint(frame: DataFrame) -> str:
+    """Tells apart tables by their plan, columns, and the names, sizes and times of the files that they read."""
+    jvm, conf = frame.sparkSession.sparkContext._jvm, frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    files = set(frame.inputFiles())
+    seen = []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        for status in path.getFileSystem(conf).listStatus(path):
+            seen.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+    facts = [str(frame.semanticHash()), frame.schema.json(), *sorted(files), *sorted(seen)]
+    return hashlib.sha1("\n".join(facts).encode()).hexdigest()
+
+
 @dataclass
 class Pipeline:
     """Lazily built stage tables for one source and one set of windows.
@@ -42,8 +55,11 @@ class Pipeline:
     _tables: dict = field(default_factory=dict)
 
     def path(self, stage: str, with_windows: bool = True) -> str:
+        """The stage's folder; its name tells apart sources, their files as they are now, and windows."""
+        if "fingerprint" not in self._tables:
+            self._tables["fingerprint"] = fingerprint((self.qualified_source or self.source)())
         root = self.root or f"{shared_dir(self.spark)}/stages/{self.spark.sparkContext.applicationId}"
-        key = f"{self.name}|{self.windows}" if with_windows else self.name
+        key = f"{self.name}|{self._tables['fingerprint']}" + (f"|{self.windows}" if with_windows else "")
         return f"{root}/{hashlib.sha1(key.encode()).hexdigest()[:12]}/{stage}"
 
     def stage(self, stage: str, build: Callable[[], DataFrame], read=None, write=None, with_windows=True) -> DataFrame:
@@ -73,7 +89,15 @@ class Pipeline:
 
     def qualified(self) -> DataFrame:
         build = self.qualified_source or (lambda: clean(self.raw()))
-        return self.stage("qualified", build, tables.read_qualified, tables.write_qualified, with_windows=False)
+        return self.stage("qualified", build, tables.read_qualified, self._write_by_date, with_windows=False)
+
+    @staticmethod
+    def _write_by_date(lines: DataFrame, path: str) -> str:
+        """Each file holds a range of dates, in order, so a window skips the others by their statistics."""
+        parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tie = [c for c in ("CustomerID", "InvoiceNo") if c in lines.columns]
+        ranged = lines.repartitionByRange(parts, "InvoiceDate", *tie).sortWithinPartitions("InvoiceDate")
+        return tables.write_qualified(ranged, path)
 
     def labelled(self) -> DataFrame:
         """Features and labels before scoring; stored, as scoring reads it several times."""
@@ -106,8 +130,14 @@ class Pipeline:
     def risk(self, score: Callable[[DataFrame], DataFrame] | None = None, name: str = "risk") -> DataFrame:
         """Every eligible customer with probability, tier and priority. By default the fitted model scores."""
 
+        if score:
+            scored = score(self.customers())
+            name = f"{name}-{hashlib.sha1(str(scored.semanticHash()).encode()).hexdigest()[:12]}"
+        else:
+            name, scored = f"{name}-fitted", None
+
         def build():
-            by = score or (lambda df: model.score(self.model(), df))
-            return enrich(self.stage(f"{name}_scored", lambda: by(self.customers())))
+            by = (lambda: scored) if score else (lambda: model.score(self.model(), self.customers()))
+            return enrich(self.stage(f"{name}_scored", by))
 
         return self.stage(name, build)

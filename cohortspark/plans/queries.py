@@ -13,6 +13,7 @@ from cohortspark.functions.ranking import global_rank
 from cohortspark.operators import audit, checks, cleaning, cohort, evaluation, features, insights, model, scoring
 from cohortspark.plans import explorer, reports
 from cohortspark.plans.catalog import event_pipeline, order_pipeline
+from cohortspark.session import stored
 from cohortspark.sources import tables
 from cohortspark.sources.starschema import EARLY, LATE
 
@@ -235,16 +236,14 @@ on_customers("w5_frequency_group", lambda t: scoring.frequency_group(t).select("
 
 @query("w6_global_rank")
 def _(spark, folder):
-    table = features.behaviour(order_pipeline(spark, folder).qualified(), LATE)
-    return global_rank(table.select("CustomerID", "Frequency"), "Frequency").withColumn("rank", F.col("rank").cast("bigint"))
+    table = stored(features.behaviour(order_pipeline(spark, folder).qualified(), LATE), "behaviour")
+    return global_rank(table.select("CustomerID", "Frequency"), "Frequency")
 
 
 @query("w6_global_rank_descending")
 def _(spark, folder):
-    table = features.behaviour(order_pipeline(spark, folder).qualified(), LATE)
-    return global_rank(table.select("CustomerID", "Recency"), "Recency", ascending=False).withColumn(
-        "rank", F.col("rank").cast("bigint")
-    )
+    table = stored(features.behaviour(order_pipeline(spark, folder).qualified(), LATE), "behaviour")
+    return global_rank(table.select("CustomerID", "Recency"), "Recency", ascending=False)
 
 
 on_customers("w7_dashboard_recency_band", lambda t: t.select("CustomerID", bands.dashboard_recency_band().alias("Recency_Band")))

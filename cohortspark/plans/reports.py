@@ -51,6 +51,8 @@ def by_category(
     df: DataFrame, column: str, names: Sequence, measures: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """One row per given category with its 1-based position; each measure gets the category's condition."""
+    if not names:
+        return by_category(df, column, [""], measures).limit(0)
     wide = df.agg(
         *[m(F.col(column) == F.lit(n)).alias(f"{k}_{i}") for i, n in enumerate(names) for k, m in measures.items()]
     )

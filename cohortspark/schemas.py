@@ -1,4 +1,4 @@
-"""Declared schemas; nothing is inferred on read."""
+"""Declared schemas; what is read is brought to them."""
 
 from pyspark.sql import types as T
 

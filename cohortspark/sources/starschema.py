@@ -29,10 +29,10 @@ def invoice_lines(spark: SparkSession, folder: str) -> DataFrame:
     # Join sides are left to the planner, which broadcasts only what it has sized.
     lines = (
         table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     )
     returned = F.col("l_returnflag") == "R"
     units = F.col("l_quantity").cast("bigint")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from cohortspark.config import EXPECTED_COLUMNS, FEATURE_COLUMNS, LABEL, PREDICT
 from cohortspark.functions.columns import up_to
 from cohortspark.schemas import FEATURES, QUALIFIED, RAW
 
+# The columns of the table of predictions.
 TEST_PREDICTION_COLUMNS = ["CustomerID", LABEL, "Churn_Probability", "Predicted_Class"] + PREDICTORS
 
 
@@ -23,15 +26,54 @@ def check_columns(df: DataFrame, required: list[str] = EXPECTED_COLUMNS, exact:
     """Raise when a required column is absent; extra columns pass unless `exact`."""
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"missing expected columns: {missing}; found: {df.columns}")
+        raise ValueError(f"the table lacks {missing}; it has {df.columns}")
     if exact and df.columns != list(required):
         raise ValueError(f"columns are {df.columns}, expected exactly {list(required)}")
     return df
 
 
 def lenient_timestamp(column: str) -> F.Column:
-    """Text to timestamp without zone; text that is not a date becomes null."""
-    return F.expr(f"try_cast({column} AS timestamp_ntz)")
+    """Text to timestamp without zone: ISO dates, and month/day/year with or without a time. Others become null."""
+    iso = F.regexp_replace(F.trim(column), r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    iso = F.regexp_replace(iso, r"^(\d{4}-\d{1,2}-\d{1,2})[ T](\d{1,2}:\d{2})$", "$1 $2:00")
+    return iso.try_cast("timestamp_ntz")
+
+
+def _converted(column: str, kind: T.DataType, found: T.DataType) -> F.Column:
+    """A column in its declared type. Empty text and not-a-number are null; what else does not fit is an error."""
+    value = F.col(column)
+    if isinstance(found, T.StringType) and not isinstance(kind, T.StringType):
+        value = F.when(F.trim(value) != "", F.trim(value))
+        value = F.when(~F.lower(value).isin("nan", "null", "none"), value)
+    if isinstance(found, (T.FloatType, T.DoubleType)):
+        value = F.when(~F.isnan(value), value)
+    if isinstance(kind, (T.LongType, T.IntegerType)) and not isinstance(found, (T.LongType, T.IntegerType)):
+        number = value.cast("decimal(38,6)")  # an id written as a decimal number, 17850.0, is the whole number 17850
+        wrong = F.raise_error(F.concat(F.lit(f"{column} is not a whole number: "), value.cast("string")))
+        return F.when(number == F.floor(number), number.cast(kind)).when(value.isNotNull(), wrong.cast(kind))
+    return value.cast(kind)
+
+
+def _normalised(df: DataFrame, schema: T.StructType, lenient: Sequence[str] = ()) -> DataFrame:
+    """The schema's columns, found by name and in their types, then the others as they are."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(
+        *[
+            (lenient_timestamp(c) if c in lenient and isinstance(have[c], T.StringType) else _converted(c, kinds[c], have[c])).alias(c)
+            if c in kinds and kinds[c] != T.StringType() and (kinds[c] != have[c] or isinstance(have[c], T.DoubleType))
+            else F.col(c).cast(kinds.get(c, have[c])).alias(c)
+            for c in df.columns
+        ]
+    )
+
+
+def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
+    """CSV columns as text. Quoted line breaks need `multi_line`, which reads a file in one task."""
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    return reader.option("inferSchema", False).csv(path)
 
 
 def _open(spark: SparkSession, path: str, what: str, load):
@@ -43,38 +85,26 @@ def _open(spark: SparkSession, path: str, what: str, load):
         raise
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw invoice lines. CSV dates are parsed leniently; missing columns are an error."""
-
-    def load():
-        if fmt != "csv":
-            return spark.read.format(fmt).load(path)
-        header = spark.read.option("header", True).csv(path)
-        check_columns(header)
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-        df = spark.read.option("header", True).option("multiLine", False).schema(text).csv(path)
-        types = {f.name: f.dataType for f in RAW.fields}
-        return df.select(
-            *[
-                lenient_timestamp(c).alias(c)
-                if c == "InvoiceDate"
-                # An id written as a decimal number, 17850.0, is the whole number 17850.
-                else F.col(c).try_cast("double").cast("bigint").alias(c)
-                if c == "CustomerID"
-                else F.col(c).cast(types.get(c, T.StringType())).alias(c)
-                for c in df.columns
-            ]
-        )
+def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """Raw invoice lines in the declared types, whatever the file has. A missing column is an error, as is a number
+    that is none; a date that is none becomes null, and the audit counts it."""
+    found = check_columns(_open(spark, path, "raw transactions", lambda: _read(spark, path, fmt, multi_line)))
+    return _normalised(found, RAW, ["InvoiceDate"])
 
-    return check_columns(_open(spark, path, "raw transactions", load))
 
+def read_qualified(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """Qualified lines by name; columns that the file lacks are null, but the ids, dates and amounts must be there."""
+    found = _open(spark, path, "qualified transactions", lambda: _read(spark, path, fmt, multi_line))
+    return _declared(found, QUALIFIED, ["InvoiceNo", "InvoiceDate", "CustomerID"])
 
-def read_qualified(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    def load():
-        reader = spark.read.schema(QUALIFIED)
-        return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
-    return _open(spark, path, "qualified transactions", load)
+def _declared(found: DataFrame, schema: T.StructType, required: list[str]) -> DataFrame:
+    if found.columns == schema.names and [f.dataType for f in found.schema] == [f.dataType for f in schema]:
+        return found
+    check_columns(found, required)
+    normal = _normalised(found, schema, [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)])
+    missing = F.lit(None)
+    return normal.select(*[F.col(f.name) if f.name in found.columns else missing.cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_qualified(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -83,12 +113,10 @@ def write_qualified(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
-def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    def load():
-        reader = spark.read.schema(FEATURES)
-        return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-
-    return _open(spark, path, "customer features", load)
+def read_features(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """The customer table by name, in the declared types; columns that the file lacks are null."""
+    found = _open(spark, path, "customer features", lambda: _read(spark, path, fmt, multi_line))
+    return _declared(found, FEATURES, ["CustomerID"])
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The columns of the customer table.
 PREDICTORS = [
     "Recency",
     "Frequency",

@@ -76,3 +76,12 @@ def test_kpis(risk):
 
 def test_preview_follows_its_order(risk):
     assert [r["CustomerID"] for r in explorer.preview(risk, 2, "Recency").collect()] == [100, 300]
+
+
+def test_lookup_of_large_ids(spark):
+    from cohortspark.plans import explorer
+
+    risk = spark.createDataFrame([(2**53,), (2**53 + 1,)], "CustomerID bigint")
+    for asked in (2**53 + 1, str(2**53 + 1), f" {2**53 + 1}.0 "):
+        assert [r["CustomerID"] for r in explorer.lookup(risk, asked).collect()] == [2**53 + 1]
+    assert explorer.lookup(risk, 2**70).count() == 0

@@ -24,7 +24,8 @@ def test_stages(pipeline):
 
 def test_a_stage_is_written_once(pipeline, spark):
     pipeline.customers()
-    again = Pipeline(spark, "t", starschema.LATE, source=lambda: 1 / 0, root=pipeline.root)
+    again = Pipeline(spark, "t", starschema.LATE, source=pipeline.source, root=pipeline.root)
+    again.stage = lambda stage, build, *args, **more: Pipeline.stage(again, stage, lambda: 1 / 0, *args, **more)
     assert again.customers().count() == pipeline.customers().count()
 
 
@@ -69,3 +70,29 @@ def test_shared_folder_comes_from_the_session():
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(FakeSession("yarn"))
+
+
+def test_stages_know_their_source_and_score(spark, raw_lines, tmp_path):
+    from cohortspark.config import RETAIL
+    from cohortspark.plans.pipeline import Pipeline
+
+    one, two = raw_lines({}), raw_lines({}, {"InvoiceNo": "2"}, {"InvoiceNo": "3"})
+    counts = [Pipeline(spark, "same", RETAIL, source=lambda s=s: s, root=str(tmp_path / "root")).qualified().count() for s in (one, two, one)]
+    assert counts == [1, 3, 1]
+    stored = str(tmp_path / "lines")
+    one.write.parquet(stored)
+    read = lambda: Pipeline(spark, "files", RETAIL, source=lambda: spark.read.parquet(stored), root=str(tmp_path / "root"))
+    assert read().qualified().count() == 1
+    two.write.mode("overwrite").parquet(stored)
+    assert read().qualified().count() == 3
+
+
+def test_a_window_skips_files_of_other_dates(spark, lines, tmp_path):
+    from cohortspark.plans.pipeline import Pipeline
+
+    days = [f"2011-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 28)]
+    Pipeline._write_by_date(lines(*[{"InvoiceDate": d} for d in days]), str(tmp_path / "q"))
+    back = spark.read.parquet(str(tmp_path / "q"))
+    ranges = back.selectExpr("_metadata.file_path AS f", "InvoiceDate AS d").groupBy("f").agg({"d": "max"}).count()
+    january = back.where("InvoiceDate < timestamp_ntz'2011-02-01 00:00:00'").selectExpr("_metadata.file_path AS f").distinct().count()
+    assert ranges > 4 and january <= 2

@@ -11,9 +11,8 @@ from cohortspark.plans.catalog import order_pipeline
 from cohortspark.plans.queries import QUERIES
 from cohortspark.sources.starschema import LATE
 
-# Windows without partition over a few category rows, or over rows already checked to fit one bucket.
+# Windows without partition over a few category rows.
 SMALL_WINDOWS = {"g8_segment_revenue", "g10_segment_counts", "g10_tier_counts", "g10_score_counts", "g10_class_counts", "g22_extreme_bands"}
-CHECKED_WINDOWS = {"w6_global_rank", "w6_global_rank_descending", "e1_e2_e3_metrics", "e6_roc_points", "e7_precision_recall_points"}
 
 
 def physical(df) -> str:
@@ -37,7 +36,7 @@ def test_no_python_in_the_plan_and_no_cross_join(spark, name):
     plan = physical(QUERIES[name](spark, SF_DIR))
     for step in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoop"):
         assert step not in plan, step
-    if name not in SMALL_WINDOWS | CHECKED_WINDOWS:
+    if name not in SMALL_WINDOWS:
         assert not unpartitioned_windows(plan)
 
 

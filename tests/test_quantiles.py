@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions.quantiles import order_statistics, quantiles
-from cohortspark.functions.ranking import _placed, at_or_before, global_rank, rank_cuts, running_totals
+from cohortspark.functions.ranking import at_or_before, global_rank, in_parts, rank_cuts, running_totals
 
 PROBABILITIES = [0, 0.1, 0.25, 0.5, 0.8, 1]
 
@@ -66,27 +66,47 @@ def test_rank_cuts_split_rows_at_the_rank(values, ascending):
 
 
 @pytest.mark.parametrize("ascending", [True, False])
-@pytest.mark.parametrize("bucket_rows", [10**6, 100])
-def test_global_rank_with_a_hot_value(values, ascending, bucket_rows):
+@pytest.mark.parametrize("parts", [1, 30])
+def test_global_rank_with_a_hot_value(values, ascending, parts):
     rng = np.random.default_rng(9)
     data = [int(v) for v in np.where(rng.random(3000) < 0.4, 50, rng.integers(0, 300, 3000))]
-    ranked = global_rank(values("x", data, "bigint"), "x", ascending, bucket_rows=bucket_rows).collect()
+    ranked = global_rank(values("x", data, "bigint"), "x", ascending, parts=parts).collect()
     order = sorted(range(3000), key=lambda i: (data[i] if ascending else -data[i], i))
     assert {r["CustomerID"]: r["rank"] for r in ranked} == {i + 1: k for k, i in enumerate(order, 1)}
 
 
-def test_no_bucket_grows_with_a_hot_value(values):
+def test_no_part_grows_with_a_hot_value(values):
     df = values("x", [50] * 4000 + list(range(6000)), "bigint")
-    placed, keys = _placed(df, "x", "CustomerID", 10_000, 500)
-    assert placed.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 600
+    placed = in_parts(df, [F.col("x"), F.col("CustomerID")], 20)
+    assert placed.groupBy("_part").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_ranks_keep_types(spark):
+    large = [(i, 2**53 + i % 2) for i in range(400)]
+    ranked = global_rank(spark.createDataFrame(large, "CustomerID bigint, x bigint"), "x", parts=7).collect()
+    order = sorted(large, key=lambda r: (r[1], r[0]))
+    assert {r["CustomerID"]: r["rank"] for r in ranked} == {i: k for k, (i, _) in enumerate(order, 1)}
+    dates = spark.createDataFrame([(f"c{i}", f"2020-01-{1 + i % 3:02d}") for i in range(50)], "CustomerID string, x string")
+    dates = dates.selectExpr("CustomerID", "cast(x AS date) AS x")
+    ranked = global_rank(dates, "x", False, parts=5).collect()
+    order = sorted(ranked, key=lambda r: (-r["x"].toordinal(), r["CustomerID"]))
+    assert [r["rank"] for r in order] == list(range(1, 51))
+    cut = rank_cuts(dates, "x", [20])[0]
+    assert dates.filter(at_or_before("x", cut)).count() == 20
+
+
+def test_mixed_types_keep_whole_numbers(values):
+    df = values("x", [2**53 + 1] * 3, "bigint").selectExpr("*", "0.5D AS y")
+    found = order_statistics(df, {"x": [1], "y": [1]})
+    assert found["x"][1][0] == 2**53 + 1 and found["y"][1][0] == 0.5
 
 
 @pytest.mark.parametrize("ascending", [True, False])
-@pytest.mark.parametrize("bucket_rows", [10**6, 150])
-def test_running_totals(values, ascending, bucket_rows):
+@pytest.mark.parametrize("parts", [1, 13])
+def test_running_totals(values, ascending, parts):
     rng = np.random.default_rng(2)
     data = [float(v) for v in np.where(rng.random(2000) < 0.3, 0.5, rng.random(2000).round(2))]
-    totals = running_totals(values("x", data), "x", {"n": F.count("*")}, ascending, bucket_rows).collect()
+    totals = running_totals(values("x", data), "x", {"n": F.count("*")}, ascending, parts).collect()
     distinct = sorted(set(data), reverse=not ascending)
     seen, want = 0, {}
     for v in distinct:

@@ -103,3 +103,15 @@ def test_summary_has_all_parts(spark, lines):
     assert sum(row["rfm_segment_counts"].values()) == 10 and sum(row["rfm_score_distribution"].values()) == 10
     assert set(row["rfm_feature_summary"]) == set(reports.SUMMARY_COLUMNS)
     assert row["rfm_feature_summary"]["Frequency"] == {"min": 2.0, "max": 11.0, "mean": 6.5, "median": 6.5}
+
+
+def test_tables_without_customers(spark):
+    from cohortspark.functions import bands
+    from cohortspark.plans import reports
+    from cohortspark.schemas import FEATURES
+
+    empty = spark.createDataFrame([], FEATURES)
+    assert reports.recency_band_rates(empty).count() == 0
+    assert empty.select(bands.notebook_recency_band(None).alias("b")).count() == 0
+    assert bands.notebook_recency_bands(None) == []
+    reports.extreme_bands(empty).collect()

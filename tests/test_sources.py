@@ -84,3 +84,66 @@ def test_column_checks():
     checks.require_predictors()
     with pytest.raises(ValueError, match="RFM_Score"):
         checks.require_predictors(["Recency", "RFM_Score"])
+
+
+HEAD = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("12/1/2010 8:26", "2010-12-01 08:26:00"), ("1/31/2011", "2011-01-31 00:00:00"), ("2010-12-01T08:26", "2010-12-01 08:26:00"),
+        ("12/1/2010 08:26:30", "2010-12-01 08:26:30"), ("2010-12-01", "2010-12-01 00:00:00"), ("31/31/2010", "None"), ("soon", "None"),
+    ],
+)
+def test_forms_of_dates(spark, text, wanted):
+    row = spark.createDataFrame([(text,)], "d string").select(tables.lenient_timestamp("d").alias("t")).first()
+    assert str(row["t"]) == wanted
+
+
+def test_quoted_line_breaks_and_not_a_number(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + '1,S,"two\nlines, ""quoted""",6,12/1/2010 8:26,NaN,17850.0,France\n2,S,d,1,2010-12-01,2.5,,\n')
+    rows = {r["InvoiceNo"]: r for r in tables.read_raw(spark, str(tmp_path), "csv").collect()}
+    assert rows["1"]["Description"] == 'two\nlines, "quoted"' and rows["1"]["UnitPrice"] is None
+    assert rows["1"]["CustomerID"] == 17850 and rows["2"]["CustomerID"] is None
+    assert clean(tables.read_raw(spark, str(tmp_path), "csv")).count() == 0
+
+
+def test_numbers_that_are_none_are_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + "1,S,d,6,2010-12-01,1.5,17850.5,France\n")
+    with pytest.raises(Exception, match="not a whole number"):
+        tables.read_raw(spark, str(tmp_path), "csv").collect()
+
+
+def test_qualified_csv_by_name_with_decimal_ids(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "CustomerID,InvoiceNo,InvoiceDate,UnitPrice,Quantity,Revenue,IsCancellation,Country,StockCode,Description\n"
+        "17850.0,536365,2010-12-01 08:26:00,2.5,4,10.0,False,France,S,d\n"
+    )
+    back = tables.read_qualified(spark, str(tmp_path), "csv")
+    assert back.schema == QUALIFIED
+    row = back.first()
+    assert (row["CustomerID"], row["InvoiceNo"], row["Revenue"], row["IsCancellation"]) == (17850, "536365", 10.0, False)
+
+
+def test_parquet_is_brought_to_the_declared_types(spark, raw_lines, tmp_path):
+    odd = raw_lines({}, {"CustomerID": None}).selectExpr(
+        "InvoiceNo", "StockCode", "Description", "cast(Quantity AS bigint) AS Quantity", "cast(InvoiceDate AS string) AS InvoiceDate",
+        "UnitPrice", "coalesce(cast(CustomerID AS double), double('NaN')) AS CustomerID", "Country",
+    )
+    odd.write.parquet(str(tmp_path / "raw"))
+    back = tables.read_raw(spark, str(tmp_path / "raw"))
+    assert back.schema == RAW
+    assert sorted(str(r["CustomerID"]) for r in back.collect()) == ["17850", "None"]
+    assert clean(back).count() == 1
+
+
+def test_a_price_that_is_no_number_does_not_qualify(raw_lines):
+    assert clean(raw_lines({"UnitPrice": float("nan")}, {})).count() == 1
+
+
+def test_small_amounts_add_up(lines):
+    from cohortspark.functions.columns import exact_sum
+
+    total = lines(*[{"UnitPrice": 0.00004, "Quantity": 1}] * 1000).agg(exact_sum("Revenue").alias("s")).first()["s"]
+    assert total == pytest.approx(0.04, abs=1e-12)
