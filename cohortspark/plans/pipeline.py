@@ -130,14 +130,9 @@ class Pipeline:
     def risk(self, score: Callable[[DataFrame], DataFrame] | None = None, name: str = "risk") -> DataFrame:
         """Every eligible customer with probability, tier and priority. By default the fitted model scores."""
 
-        if score:
-            scored = score(self.customers())
-            name = f"{name}-{hashlib.sha1(str(scored.semanticHash()).encode()).hexdigest()[:12]}"
-        else:
-            name, scored = f"{name}-fitted", None
-
-        def build():
-            by = (lambda: scored) if score else (lambda: model.score(self.model(), self.customers()))
-            return enrich(self.stage(f"{name}_scored", by))
-
-        return self.stage(name, build)
+        by = score or (lambda customers: model.score(self.model(), customers))
+        if (name, score) not in self._tables:  # another score of the same name has tables of its own
+            plan = str(score(self.customers()).semanticHash()) if score else "fitted"
+            self._tables[name, score] = f"{name}-{hashlib.sha1(plan.encode()).hexdigest()[:12]}"
+        stage = self._tables[name, score]
+        return self.stage(stage, lambda: enrich(self.stage(f"{stage}_scored", lambda: by(self.customers()))))

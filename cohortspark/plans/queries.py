@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.config import FEATURE_COLUMNS, LABEL, PREDICTORS, SEGMENTS
+from cohortspark.config import FEATURE_COLUMNS, LABEL, NON_PREDICTORS, PREDICTORS, SEGMENTS
 from cohortspark.functions import bands
 from cohortspark.functions.ranking import global_rank
 from cohortspark.operators import audit, checks, cleaning, cohort, evaluation, features, insights, model, scoring
@@ -139,6 +139,30 @@ def _(spark, folder):
 
 
 on_risk("s13_enriched_customers", lambda r: r.select(*FEATURE_COLUMNS, "Churn_Probability_Raw", "Churn_Probability", "Risk_Tier", "Retention_Priority"))
+@query("s12_saved_model_difference")
+def _(spark, folder):
+    """The saved and loaded model against the one in memory: customers, and the largest difference of a score."""
+    p = order_pipeline(spark, folder)
+    loaded = model.load_model(model.save_model(p.model(), p.path("model_again")))
+    one = model.score(p.model(), p.customers()).select("CustomerID", F.col("Churn_Probability_Raw").alias("a"))
+    two = model.score(loaded, p.customers()).select("CustomerID", F.col("Churn_Probability_Raw").alias("b"))
+    largest = F.max(F.abs(F.col("a") - F.col("b"))).alias("largest_difference")
+    return one.join(two, "CustomerID").agg(F.count(F.lit(1)).alias("customers"), largest)
+
+
+@query("s10_s15_e8_report_of_stand_in_score")
+def _(spark, folder):
+    """The evaluation report as written and read again, on the score that SQL can express."""
+    p = order_pipeline(spark, folder)
+    published = [(c, k, abs(k)) for c, k in model.PUBLISHED_COEFFICIENTS.items()]
+    coefficients = spark.createDataFrame(published, "feature string, coefficient double, abs_coefficient double")
+    report = evaluation.evaluation_report(published_split(spark, folder), coefficients)
+    back = tables.read_report(spark, tables.write_report(report, p.path("stand_in_json")), report.schema)
+    measures = ["train_size", "test_size", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "default_threshold"]
+    sizes = [F.size(c).alias(n) for c, n in (("threshold_analysis", "thresholds"), ("feature_coefficients", "coefficients"))]
+    return back.select(*measures, *sizes)
+
+
 QUERIES["s13_enriched_by_fitted_model"] = lambda spark, folder: order_pipeline(spark, folder).risk()
 on_lines("s14_trend_lines", lambda q: tables.transactions_for_trends(q, LATE).select("InvoiceDate", "CustomerID", "Country", "Revenue"))
 
@@ -422,6 +446,20 @@ def _(spark, folder):
 on_customers("v1_label_check", checks.label_violations)
 
 
+def _column_checks(table: DataFrame) -> DataFrame:
+    offending = {
+        "missing_columns": tables.missing_columns(table, FEATURE_COLUMNS),
+        "columns_of_the_label_window": checks.overlapping_columns(table),
+        "forbidden_predictors": sorted(set(PREDICTORS) & set(NON_PREDICTORS)),
+    }
+    return table.agg(F.count(F.lit(1)).alias("customers")).select(
+        "customers", F.lit(len(table.columns)).alias("columns"), *[F.lit(len(v)).alias(k) for k, v in offending.items()]
+    )
+
+
+on_customers("v2_v3_v6_s3_u3_column_checks", _column_checks)
+
+
 @query("v4_window_check")
 def _(spark, folder):
     p = order_pipeline(spark, folder)

