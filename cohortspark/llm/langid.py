@@ -178,7 +178,7 @@ def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", tex
     return map_batches(docs, [id_column, text], run, schema)
 
 
-def known(docs: DataFrame, net: Network | None, text: str = "text", least: float = 0.4) -> DataFrame:
+def known(docs: DataFrame, net: Network | None, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows whose text has a language: not `und`, and a probability of `least` or more. All columns stay."""
     marked = with_columns(docs, [text], lambda x: predictions(net, x[0]), "_lang_pred string, _lang_score double")
     rows = marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least))
