@@ -40,52 +40,56 @@ AUDIT_FILE = {
 }
 
 
+# The measures in their order.
+AUDIT_MEASURES = [
+    "raw_rows", "raw_columns", "missing_customer_id", "missing_description", "exact_duplicates", "cancellation_rows",
+    "negative_quantity_rows", "zero_quantity_rows", "non_positive_quantity_rows", "negative_unit_price_rows",
+    "zero_unit_price_rows", "non_positive_unit_price_rows", "date_parse_failures", "date_min", "date_max",
+    "unique_invoices", "unique_products", "unique_customers", "country_count",
+]
+AUDIT_KEYS = {"unique_invoices": "InvoiceNo", "unique_products": "StockCode", "unique_customers": "CustomerID", "country_count": "Country"}
+
+
+def plain_counts(raw: DataFrame) -> DataFrame:
+    """The measures that need no grouping: one row from one read, summed within each task."""
+    quantity, price = F.col("Quantity"), F.col("UnitPrice")
+    conditions = {
+        "missing_customer_id": F.col("CustomerID").isNull(),
+        "missing_description": F.col("Description").isNull(),
+        "cancellation_rows": is_cancellation(),
+        "negative_quantity_rows": quantity < 0,
+        "zero_quantity_rows": quantity == 0,
+        "non_positive_quantity_rows": quantity <= 0,
+        "negative_unit_price_rows": price < 0,
+        "zero_unit_price_rows": price == 0,
+        "non_positive_unit_price_rows": price <= 0,
+        "date_parse_failures": F.col("InvoiceDate").isNull(),
+    }
+    days = {"date_min": F.min("InvoiceDate"), "date_max": F.max("InvoiceDate")}
+    return raw.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.lit(len(raw.columns)).alias("raw_columns"),
+        *[F.count_if(condition).alias(name) for name, condition in conditions.items()],
+        *[F.to_date(day).cast("string").alias(name) for name, day in days.items()],
+    )
+
+
+def distinct_keys(raw: DataFrame) -> DataFrame:
+    """Distinct values of the four keys: pairs of key and value, equal ones collapsing before the shuffle."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v")) for i, c in enumerate(AUDIT_KEYS.values())])
+    pairs = raw.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
+    return pairs.agg(*[F.count_if(F.col("k") == i).alias(name) for i, name in enumerate(AUDIT_KEYS)])
+
+
 def audit(raw: DataFrame) -> DataFrame:
-    """Nineteen measures of the raw lines as one row, from one read.
+    """Nineteen measures of the raw lines as one row.
 
-    The lines are grouped by whole row and, in the same pass, by each key whose distinct values are wanted.
-    Equal rows and keys collapse before the shuffle. Row measures are then sums over the whole-row groups.
+    Plain counts, distinct keys and whole-row duplicates are aggregates of their own over the columns that each
+    needs, so only the duplicates shuffle whole rows, and a selection of other measures does not compute them.
     """
-    columns = raw.columns
-    keys = ["InvoiceNo", "StockCode", "CustomerID", "Country"]
-    grouped = raw.groupingSets([columns, *[[k] for k in keys]], *columns).agg(
-        F.count(F.lit(1)).alias("_copies"), F.grouping_id().alias("_set")
-    )
-    whole = F.col("_set") == 0
-
-    def rows(condition: Column | bool = True) -> Column:
-        condition = F.lit(condition) if isinstance(condition, bool) else condition
-        return F.coalesce(F.sum(F.when(whole & condition, F.col("_copies"))), F.lit(0)).cast("bigint")
-
-    def distinct(key: str) -> Column:
-        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c != key)
-        return F.count_if((F.col("_set") == bits) & F.col(key).isNotNull())
-
-    def day(extreme: Column) -> Column:
-        return F.to_date(extreme).cast("string")
-
-    quantity, price, when = F.col("Quantity"), F.col("UnitPrice"), F.when(whole, F.col("InvoiceDate"))
-    return grouped.agg(
-        rows().alias("raw_rows"),
-        F.lit(len(columns)).alias("raw_columns"),
-        rows(F.col("CustomerID").isNull()).alias("missing_customer_id"),
-        rows(F.col("Description").isNull()).alias("missing_description"),
-        F.coalesce(F.sum(F.when(whole, F.col("_copies") - 1)), F.lit(0)).cast("bigint").alias("exact_duplicates"),
-        rows(is_cancellation()).alias("cancellation_rows"),
-        rows(quantity < 0).alias("negative_quantity_rows"),
-        rows(quantity == 0).alias("zero_quantity_rows"),
-        rows(quantity <= 0).alias("non_positive_quantity_rows"),
-        rows(price < 0).alias("negative_unit_price_rows"),
-        rows(price == 0).alias("zero_unit_price_rows"),
-        rows(price <= 0).alias("non_positive_unit_price_rows"),
-        rows(F.col("InvoiceDate").isNull()).alias("date_parse_failures"),
-        day(F.min(when)).alias("date_min"),
-        day(F.max(when)).alias("date_max"),
-        distinct("InvoiceNo").alias("unique_invoices"),
-        distinct("StockCode").alias("unique_products"),
-        distinct("CustomerID").alias("unique_customers"),
-        distinct("Country").alias("country_count"),
-    )
+    grouped = {name: distinct_keys(raw).select(name).scalar() for name in AUDIT_KEYS}
+    grouped["exact_duplicates"] = duplicate_rows(raw).select(F.coalesce("duplicate_rows", F.lit(0)).cast("bigint")).scalar()
+    return plain_counts(raw).withColumns(grouped).select(*AUDIT_MEASURES)
 
 
 def with_aliases(audited: DataFrame) -> DataFrame:

@@ -55,9 +55,11 @@ def test_cleaning_filters_before_its_shuffle(spark):
     assert plan.index("Exchange") < plan.index("Filter")  # printed from the top: the filter is below
 
 
-def test_audit_reads_once(spark):
-    plan = physical(audit.audit(order_pipeline(spark, SF_DIR).raw()))
-    assert plan.count("FileScan") == 1
+def test_audit_shuffles_whole_rows_for_duplicates_alone(spark):
+    raw = order_pipeline(spark, SF_DIR).raw()
+    plain = physical(audit.with_aliases(audit.audit(raw)).select(*audit.AUDIT_ALIASES))
+    assert "hashpartitioning" not in plain and plain.count("FileScan") == 1
+    assert physical(audit.distinct_keys(raw)).count("hashpartitioning(k") == 1
 
 
 def test_scoring_adds_no_shuffle(spark):
