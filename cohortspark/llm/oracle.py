@@ -2,4 +2,46 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+QUALITY_RULES = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_id, doc_id, source AS host, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), starts AS (
+    SELECT row_id, unnest(range(1, len(words) - 6)) AS i, words FROM texts WHERE len(words) >= 8
+), windows AS (
+    SELECT row_id, i, count(*) OVER (PARTITION BY row_id, array_to_string(words[i:i + 7], ' ')) AS copies FROM starts
+), covered AS (
+    SELECT row_id, count(DISTINCT place) AS n_repeat_words
+    FROM (SELECT row_id, unnest(range(i, i + 8)) AS place FROM windows WHERE copies > 1) GROUP BY row_id
+), measured AS (
+    SELECT row_id, doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+           CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts)
+    LEFT JOIN covered USING (row_id)
+), failed AS (
+    SELECT host, rule, CAST(fails AS DOUBLE) AS fails
+    FROM (SELECT host, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeats,
+                 10 * n_symbols > 3 * word_chars AS symbols, 10 * n_dup_lines > n_words AS lines FROM measured)
+    UNPIVOT (fails FOR rule IN (short, repeats, symbols, lines))
+), hosts AS (
+    SELECT host, rule, count(*) AS docs, sum(fails) AS fails FROM failed GROUP BY ALL
+), prior AS (
+    SELECT rule, sum(fails) / sum(docs) AS mean, sum((fails / docs) * (fails / docs) * docs) / sum(docs) AS square
+    FROM hosts GROUP BY rule
+), strength AS (
+    SELECT rule, mean, CASE WHEN square - mean * mean > 0
+        THEN greatest(1, least(1000, mean * (1 - mean) / (square - mean * mean) - 1)) ELSE 1000 END AS s FROM prior
+), rates AS (
+    SELECT host, max((fails + s * mean) / (docs + s)) AS rate FROM hosts JOIN strength USING (rule) GROUP BY host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rate <= 0.5 AS kept
+FROM measured JOIN rates ON measured.host IS NOT DISTINCT FROM rates.host
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES}
