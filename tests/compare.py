@@ -8,6 +8,7 @@ import math
 import duckdb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES += ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def connect(folder: str):
