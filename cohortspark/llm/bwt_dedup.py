@@ -177,11 +177,11 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
 
 
 def _shards(rows: DataFrame, span: int) -> DataFrame:
-    """(k, d, a, lo, hi, anchor, ctx): all anchors of all texts, with a digest of the context of each."""
+    """(k, a, lo, hi, anchor, ctx): all anchors of all texts, with a digest of the context of each."""
 
     def run(batch):
-        out = [[], [], [], [], [], [], []]
-        for k, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        out = [[], [], [], [], [], []]
+        for k, t in zip(*(batch.column(i).to_pylist() for i in range(2))):
             data = t.encode()
             if len(data) < span:
                 continue
@@ -190,21 +190,22 @@ def _shards(rows: DataFrame, span: int) -> DataFrame:
             digest = xxhash.xxh3_128_digest
             places = zip(a.tolist(), lo.tolist(), hi.tolist())
             ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
-            for column, values in zip(out, ([k] * len(a), [d] * len(a), a, lo, hi, h, ctx)):
+            for column, values in zip(out, ([k] * len(a), a, lo, hi, h, ctx)):
                 column.append(values)
-        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return [
             pa.array(np.concatenate(x) if x else [], kind) if kind == pa.int64() else pa.array([v for y in x for v in y], kind)
             for x, kind in zip(out, kinds)
         ]
 
-    schema = "k binary, d string, a bigint, lo bigint, hi bigint, anchor bigint, ctx binary"
-    return map_batches(rows, ["k", "d", "t"], run, schema, rows=64)
+    schema = "k binary, a bigint, lo bigint, hi bigint, anchor bigint, ctx binary"
+    return map_batches(rows, ["k", "t"], run, schema, rows=64)
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(anchor, k, lo, shift, full, bytes) of the contexts wanted, cut from the texts."""
-    listed = wanted.groupBy("k", "d").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "full")).alias("places"))
+    """(anchor, k, lo, shift, full, bytes) of the contexts wanted, cut from the texts; of copies one text is read."""
+    listed = wanted.groupBy("k").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "full")).alias("places"))
+    listed = listed.join(rows.groupBy("k").agg(F.min("d").alias("d")), "k")
     fields = [F.col(f"places.{f}") for f in ("a", "lo", "hi", "anchor", "full")]
     joined = rows.join(listed, ["k", "d"])
 
@@ -280,14 +281,16 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> Dat
     """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t)."""
     every = store(_shards(rows, span), "anchors")
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = store(often, "recurring")  # a plain table, so that the join can split an anchor with very many rows
     every = store(every.join(often, "anchor", "left_semi"), "repeated-anchors")
     kinds = every.groupBy("anchor", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "d", "a", "lo", "hi")).alias("at")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "lo", "hi")).alias("at")
     )
     kinds = store(kinds, "contexts")
     full = kinds.where("n > 1").select("ctx")
     whole = every.join(full, "ctx", "left_semi").select("k", F.col("lo").alias("start"), (F.col("hi") + span).alias("end"))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = store(several, "several")
     mixed = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds")
     found = whole.unionByName(_merged(_contexts(rows, mixed.where(F.col("kinds") <= crowd), span), span))
     crowded = store(mixed.where(F.col("kinds") > crowd), "crowded-anchors")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, parts, ship, slices, store, with_columns
+from cohortspark.llm.common import map_batches, parts, ship, slices, store
 
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 PIVOTS = 16
@@ -301,24 +301,29 @@ def keep_one(
     """One row of each group of near copies, with all its columns: that of the smallest id, nulls last.
 
     Near copies: texts whose five-word shingles have a similarity of 0.8 or more, as told by 256 bits, of which
-    39 are expected to differ at 0.8. Rows are numbered and stored with their fingerprints first, so of repeated
-    rows exactly one stays. Null and empty texts are copies of each other. An empty table gives no row.
+    39 are expected to differ at 0.8. Fingerprints are stored, texts are not: the rows chosen are found again by id and
+    digest, and of rows that repeat both exactly one stays. Null and empty texts are copies of each other. An
+    empty table gives no row.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = "_bits bigint, _weak binary, _wide binary"
-    marked = with_columns(numbered, [text], lambda x: list(zip(*[marks(t or "") for t in x[0]])), schema)
-    marked = store(marked, "marked")
-    rows = marked.select(
-        F.col("_row").alias("row"), F.col(id_column).alias("id"), *[F.col(f"_{x}").alias(x) for x in ("bits", "weak", "wide")]
-    )
-    order = F.struct(F.isnull("id").alias("n"), "id", "row")
-    sides = F.min(F.struct("row", "weak")).alias("least")
-    distinct = rows.groupBy("bits", "wide").agg(F.min(order).alias("first"), sides)
-    distinct = store(distinct.select("bits", "wide", "first", F.col("least.row").alias("node"), "least.weak"), "distinct")
+    keyed = docs.withColumns({
+        "_d": F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
+        "_k": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))),
+    })
+
+    def run(batch):
+        return *batch.columns[:3], *zip(*[marks(t or "") for t in batch.column(3).to_pylist()])
+
+    schema = f"id {id_type(docs, id_column)}, d string, k binary, bits bigint, weak binary, wide binary"
+    rows = store(map_batches(keyed, [id_column, "_d", "_k", text], run, schema), "marked")
+    order = F.struct(F.isnull("id").alias("n"), "id", "d", "k")
+    distinct = rows.groupBy("bits", "wide").agg(F.min(order).alias("first"), F.min_by("weak", "k").alias("weak"))
+    distinct = store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     found = components(links(distinct, limit, crowd, 2, wide_limit))
     named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return marked.join(kept, "_row", "left_semi").drop("_row", "_bits", "_weak", "_wide")
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_kept_d"), F.col("first.k").alias("_kept_k"))
+    same = (F.col("_d") == F.col("_kept_d")) & (F.col("_k") == F.col("_kept_k"))
+    chosen = keyed.join(kept, same, "left_semi")
+    return chosen.dropDuplicates(["_d", "_k"]).drop("_d", "_k")
 
 
 def groups(
