@@ -139,7 +139,7 @@ def fit(
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
-    drawn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000
+    drawn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(10**12)) < share[F.col("label")] * 10**12
     n = F.length("text")
     cuts = F.array_distinct(F.array(F.lit(1), F.greatest(F.lit(1), n / 2).cast("int"), F.greatest(F.lit(1), n - chars)))
     rows = rows.where(drawn).withColumn("at", F.explode(cuts))

@@ -267,11 +267,12 @@ def fit(
 ) -> Tagger | None:
     """A tagger from spans that the patterns label in a bounded sample; None if no text has a digit or an @.
 
-    The sample: `most_docs` documents with a digit or @, the first by a hash of id and text; of each the first
-    eight windows around such a sign. At most `most_windows` windows reach the driver.
+    The sample: about `most_docs` documents with a digit or @, drawn by a hash of id and text; of each the first
+    eight windows around such a sign. Only windows are brought together, and `most_windows` reach the driver.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    rows = rows.orderBy(F.xxhash64("id", "t"), "id").limit(most_docs)
+    share = int(10**12 * min(1.0, most_docs / max(1, rows.count())))
+    rows = rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(10**12)) < share)
 
     def run(batch):
         out = [[], [], [], []]
