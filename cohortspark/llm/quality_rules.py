@@ -91,7 +91,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     The beta prior of a rule: with m the mean and v the variance of the hosts' rates, weighted by documents, and
     s = m (1 - m) / v - 1 bounded to [1, 1000], the rate is (failures + s m) / (docs + s). Hosts that all agree
     (v = 0) get the strongest prior. The hosts' totals are summed within each input task first, so a host with a
-    third of all rows costs one row a task; the prior needs one row of totals.
+    third of all rows costs one row a task; the prior needs one row of totals, which is a scalar.
     """
     rules = fails(measured)
     hosts = measured.groupBy("host").agg(
@@ -103,11 +103,11 @@ def host_rates(measured: DataFrame) -> DataFrame:
         *[F.sum(f"fail_{name}").alias(f"all_{name}") for name in rules],
         *[F.sum(rate(name) * rate(name) * F.col("docs")).alias(f"square_{name}") for name in rules],
     )
-    both = hosts.crossJoin(F.broadcast(total))
+    both = hosts.withColumn("of", total.select(F.struct("*")).scalar())
     out = ["host", "docs"]
     for name in rules:
-        mean = F.col(f"all_{name}") / F.col("all_docs")
-        variance = F.greatest(F.col(f"square_{name}") / F.col("all_docs") - mean * mean, F.lit(0.0))
+        mean = F.col(f"of.all_{name}") / F.col("of.all_docs")
+        variance = F.greatest(F.col(f"of.square_{name}") / F.col("of.all_docs") - mean * mean, F.lit(0.0))
         strength = F.when(variance > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), mean * (1 - mean) / variance - 1)))
         strength = F.coalesce(strength, F.lit(1000.0))
         rate_of = (F.col(f"fail_{name}") + strength * mean) / (F.col("docs") + strength)
