@@ -1,9 +1,10 @@
 """Exact order statistics and quantiles of columns of any size.
 
-Selection works by counting. A column with few distinct values is counted per value and cumulated. A column
-with more is narrowed first: a sketch proposes a small interval around each wanted rank, one exact count tells
-how many rows lie below and inside it, and this repeats until few distinct values are left inside. No step
-shuffles rows or holds more than `distinct_limit` values in one task, whatever the distribution.
+Selection works by counting. A column with few distinct values is counted per value and cumulated. A numeric column
+with more is narrowed first: the values between the bounds around a wanted rank are counted in bins, the bin that
+holds the rank gives the next bounds, and this repeats until few distinct values are left inside. Counts per bin are
+ordinary partial sums; no step shuffles rows or holds more than `distinct_limit` values in one task, whatever the
+distribution. Not-a-number counts as missing. Columns that are no numbers are counted per value at any size.
 """
 
 from __future__ import annotations
@@ -12,20 +13,27 @@ from collections.abc import Mapping, Sequence
 from fractions import Fraction
 from math import floor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DISTINCT_LIMIT = 2_000_000
-SKETCH_ACCURACY = 10_000
+BINS = 1_024
 
 
 def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Non-null rows of each column."""
+    df = _numbers(df, columns)
     row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns, with not-a-number as null."""
+    floats = {c for c in columns if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))}
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in columns])
+
+
 def _few_distinct(estimate: int, limit: int) -> bool:
     """The estimate has a standard error of 5 %; five of them are allowed for."""
     return estimate * 1.25 <= limit
@@ -36,21 +44,22 @@ def order_statistics(
     ranks: Mapping[str, Sequence[int]],
     sizes: Mapping[str, int] | None = None,
     distinct_limit: int = DISTINCT_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
+    bins: int = BINS,
 ) -> dict[str, dict[int, tuple]]:
     """For each column and each 0-based rank of its ascending non-null values: (value, rows below, rows equal)."""
     sizes = sizes or column_sizes(df, list(ranks))
+    df = _numbers(df, list(ranks))
     for c, wanted in ranks.items():
         if any(not 0 <= r < sizes[c] for r in wanted):
             raise IndexError(f"rank outside 0..{sizes[c] - 1} for column {c}")
-    long = [c for c in ranks if sizes[c] > distinct_limit]
+    long = [c for c in ranks if sizes[c] > distinct_limit and isinstance(df.schema[c].dataType, T.NumericType)]
     estimates = df.agg(*[F.approx_count_distinct(c).alias(c) for c in long]).first().asDict() if long else {}
     small, found = {}, {}
     for c, wanted in ranks.items():
         if c not in estimates or _few_distinct(estimates[c], distinct_limit):
             small[c] = sorted(set(wanted))
         else:
-            found[c] = _select_large(df, c, sorted(set(wanted)), sizes[c], distinct_limit, accuracy)
+            found[c] = _select_large(df, c, sorted(set(wanted)), sizes[c], distinct_limit, bins)
     by_kind: dict[str, dict[str, Sequence[int]]] = {}
     for c, wanted in small.items():
         by_kind.setdefault(_kind(df, c), {})[c] = wanted
@@ -87,67 +96,47 @@ def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]], kind: str)
     return found
 
 
-def _neighbours(ranks: Sequence[int]) -> list[list[int]]:
-    """Ranks next to each other are looked for together."""
-    groups: list[list[int]] = []
-    for r in ranks:
-        if groups and r - groups[-1][-1] == 1:
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-    return groups
+def _bin(v: Column, low, high, bins: int) -> Column:
+    """Number of the bin between two bounds: the first holds the lower bound alone, the last the upper one alone."""
+    share = (v.cast("double") - float(low)) / max(float(high) - float(low), 5e-324)
+    within = F.floor(share * (bins - 2)).cast("int") + 1
+    within = F.greatest(F.lit(1), F.least(F.lit(bins - 2), F.coalesce(within, F.lit(1))))
+    return F.when(v <= F.lit(low), 0).when(v >= F.lit(high), bins - 1).otherwise(within)
 
 
-def _select_large(df, column, ranks, rows, distinct_limit, accuracy) -> dict[int, tuple]:
+def _select_large(df, column, ranks, rows, distinct_limit, bins) -> dict[int, tuple]:
     values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
     v = F.col("v")
 
     def inside(low, high):
-        test = F.lit(True) if low is None else v >= F.lit(low)
-        return test if high is None else test & (v <= F.lit(high))
+        return (v >= F.lit(low)) & (v <= F.lit(high))
 
-    targets = _neighbours(ranks)
+    targets = [[r] for r in ranks]
     # One box per target: lowest value, highest value, rows below it, rows in it, distinct values in it.
-    boxes = [(None, None, 0, rows, None) for _ in targets]
+    ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.approx_count_distinct("v").alias("n")).first()
+    boxes = [(ends["low"], ends["high"], 0, rows, ends["n"]) for _ in targets]
     while True:
-        wide = [i for i, box in enumerate(boxes) if box[4] is None or not _few_distinct(box[4], distinct_limit)]
+        wide = [b for b in dict.fromkeys(boxes) if b[0] != b[1] and not _few_distinct(b[4], distinct_limit)]
         if not wide:
             break
-        margin = 2.0 / accuracy
-        # Targets that still share a box share its sketch.
-        shared: dict[tuple, list[int]] = {}
-        for i in wide:
-            shared.setdefault(boxes[i][:4], []).append(i)
-        sketches = []
-        for k, (box, members) in enumerate(shared.items()):
-            low, high, below, count = box
-            places = [
-                min(1.0, max(0.0, (r - below) / count + side))
-                for i in members
-                for r, side in ((targets[i][0], -margin), (targets[i][-1], margin))
-            ]
-            wanted = F.array(*[F.lit(p) for p in places])
-            sketches.append(F.percentile_approx(F.when(inside(low, high), v), wanted, accuracy).alias(f"s{k}"))
-        sketched = values.agg(*sketches).first()
-        proposed = {}
-        for k, members in enumerate(shared.values()):
-            for j, i in enumerate(members):
-                proposed[i] = (sketched[f"s{k}"][2 * j], sketched[f"s{k}"][2 * j + 1])
-        checks = []
-        for i in wide:
-            low, high = proposed[i]
-            checks += [
-                F.count_if(v < F.lit(low)).alias(f"b{i}"),
-                F.count_if(inside(low, high)).alias(f"i{i}"),
-                F.approx_count_distinct(F.when(inside(low, high), v)).alias(f"d{i}"),
+        placed = F.array(
+            *[
+                F.when(inside(*b[:2]), F.struct(F.lit(k).alias("k"), _bin(v, b[0], b[1], bins).alias("b"), v.alias("v")))
+                for k, b in enumerate(wide)
             ]
-        checked = values.agg(*checks).first()
-        for i in wide:
-            below, count = checked[f"b{i}"], checked[f"i{i}"]
-            if below <= targets[i][0] and targets[i][-1] < below + count:
-                boxes[i] = (*proposed[i], below, count, checked[f"d{i}"])
-            else:
-                accuracy *= 4  # the sketch missed; the next one is finer
+        )
+        counted = values.select(F.inline(F.array_compact(placed))).groupBy("k", "b")
+        counted = counted.agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.approx_count_distinct("v").alias("d")
+        )
+        narrower: dict[tuple, list[tuple]] = {b: [] for b in wide}
+        for row in sorted(counted.collect(), key=lambda r: (r["k"], r["b"])):
+            box = wide[row["k"]]
+            done = narrower[box]
+            below = done[-1][2] + done[-1][3] if done else box[2]
+            done.append((row["low"], row["high"], below, row["n"], row["d"]))
+        for i, (r,) in enumerate(targets):
+            boxes[i] = next((b for b in narrower.get(boxes[i], []) if b[2] <= r < b[2] + b[3]), boxes[i])
 
     tagged = F.array(
         *[F.when(inside(*box[:2]), F.struct(F.lit(i).alias("k"), v.alias("v"))) for i, box in enumerate(boxes)]
@@ -174,7 +163,7 @@ def quantiles(
     df: DataFrame,
     probabilities: Mapping[str, Sequence],
     distinct_limit: int = DISTINCT_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
+    bins: int = BINS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
     sizes = column_sizes(df, list(probabilities))
@@ -185,7 +174,7 @@ def quantiles(
     ranks = {
         c: sorted({r for x in xs for r in (floor(x), floor(x) + (x.denominator > 1))}) for c, xs in places.items() if xs
     }
-    found = order_statistics(df, ranks, sizes, distinct_limit, accuracy) if ranks else {}
+    found = order_statistics(df, ranks, sizes, distinct_limit, bins) if ranks else {}
     result = {}
     for c, ps in probabilities.items():
         if not places[c]:
