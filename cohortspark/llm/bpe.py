@@ -28,53 +28,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one match of the pattern."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    size = 1 << max(1, (n - 1).bit_length())
-    tree = [NONE] * (2 * size)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    get = ranks.get
+    get, n = ranks.get, len(word)
+    whole = get(word)
+    if whole is not None:
+        return [whole]
+    size = 1 << (n - 2).bit_length() if n > 2 else 1
+    mask = size - 1
+    leaves = [NONE] * size
     for i in range(n - 1):
         rank = get(word[i : i + 2])
         if rank is not None:
-            tree[size + i] = rank * size + i  # the lowest rank, then the leftmost position
+            leaves[i] = rank * size + i  # the lowest rank, then the leftmost position
+    tree = [NONE] * size + leaves
     for k in range(size - 1, 0, -1):
         left, right = tree[2 * k], tree[2 * k + 1]
         tree[k] = left if left < right else right
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        if tree[k] == value:
-            return
-        tree[k] = value
-        k >>= 1
-        while k:
-            left, right = tree[2 * k], tree[2 * k + 1]
-            value = left if left < right else right
-            if tree[k] == value:
-                return
-            tree[k] = value
-            k >>= 1
-
-    def pair(i: int) -> int:
-        """The leaf of the pair that begins at i."""
-        j = following[i]
-        if j >= n:
-            return NONE
-        rank = get(word[i : following[j]])
-        return NONE if rank is None else rank * size + i
-
-    while tree[1] < NONE:
-        i = tree[1] % size
+    following, before = list(range(1, n + 2)), list(range(-1, n))
+    while (least := tree[1]) < NONE:
+        i = least & mask
         j = following[i]
         following[i] = k = following[j]
-        if k < n:
-            before[k] = i
-        put(j, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        before[k] = i
+        rank = get(word[i : following[k]]) if k < n else None
+        tree[size + i] = NONE if rank is None else rank * size + i
+        changed = [size + i]
+        if j < n - 1:  # the pair that began at j is gone
+            tree[size + j] = NONE
+            changed.append(size + j)
+        b = before[i]
+        if b >= 0:
+            rank = get(word[b:k])
+            tree[size + b] = NONE if rank is None else rank * size + b
+            changed.append(size + b)
+        for p in changed:
+            p >>= 1
+            while p:
+                left, right = tree[2 * p], tree[2 * p + 1]
+                value = left if left < right else right
+                if tree[p] == value:
+                    break
+                tree[p] = value
+                p >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : following[i]]])
