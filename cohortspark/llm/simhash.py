@@ -7,9 +7,8 @@ each of the ten pairs of blocks is a key. Within a key, each fingerprint has a t
 random reference fingerprints; by the triangle inequality two tables that differ by more than the limit in any
 coordinate belong to fingerprints that differ by more, and the pair is discarded. Survivors are verified.
 
-Near copies of texts, a similarity of 0.8 on five words, differ by more bits than three: `keep_one` looks further. A
-bit for which the shingles are almost evenly divided is the likeliest to differ, so each key is also tried with its
-two weakest bits flipped, and the wider fingerprint of the five-word shingles decides.
+`groups` is exact so. Near copies of texts, a similarity of 0.8 on five words, differ by more bits than three; for
+them `keep_one` takes keys of smallest hashes (`nearcopies`) and compares the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm import nearcopies
 from cohortspark.llm.bpe import id_type
 from cohortspark.llm.common import map_batches, parts, ship, slices, store
 
@@ -65,18 +65,11 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int(np.packbits(_narrow(words, size) > 0, bitorder="little").view("<u8")[0]) if words else 0
 
 
-def marks(text: str, size: int = 3) -> tuple[int, bytes, bytes]:
-    """(signed fingerprint, its bits from the weakest on, 256-bit fingerprint of the distinct five-word shingles)."""
+def five_words(text: str) -> np.ndarray:
+    """The sorted distinct hashes of the five-word shingles of a text; none without a word."""
     words = words_of(text)
-    if not words:
-        return 0, bytes(range(64)), bytes(32)
-    narrow = _narrow(words, size)
-    digest = xxhash.xxh3_128_digest
-    wide = b"".join([digest(x, seed) for x in set(shingles(words, 5)) for seed in (1, 2)])
-    wide = margins(np.frombuffer(wide, np.uint8).reshape(-1, 32))
-    bits = np.packbits(narrow > 0, bitorder="little").view("<i8")[0]
-    weak = np.argsort(np.abs(narrow), kind="stable").astype(np.uint8)
-    return int(bits), weak.tobytes(), np.packbits(wide > 0, bitorder="little").tobytes()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(x) for x in shingles(words, 5)] if words else [], "<u8"))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -94,13 +87,10 @@ def references() -> np.ndarray:
     return np.random.default_rng(3).integers(0, 1 << 64, PIVOTS, dtype=np.uint64, endpoint=False)
 
 
-def linked_groups(
-    bits: np.ndarray, limit: int, table: np.ndarray, wide: np.ndarray | None = None, wide_limit: int = 0
-) -> list[tuple[int, int]]:
+def linked_groups(bits: np.ndarray, limit: int, table: np.ndarray) -> list[tuple[int, int]]:
     """(first, member) for each member of a connected group but the first; positions in `bits`.
 
-    Each fingerprint is compared once with those not yet reached: pivot tables first, then the bits themselves, and
-    the wide fingerprints (rows of 64-bit numbers) if there are any.
+    Each fingerprint is compared once with those not yet reached: pivot tables first, then the bits themselves.
     """
     rest = np.arange(len(bits))
     out = []
@@ -117,46 +107,12 @@ def linked_groups(
                     apart = np.abs(table[some][:, None, :] - table[rest[rows]][None]).max(axis=2)
                     a, b = np.nonzero(apart <= limit)
                     close = np.bitwise_count(bits[some[a]] ^ bits[rest[rows[b]]]) <= limit
-                    if wide is not None:
-                        a, b = a[close], b[close]
-                        apart = np.bitwise_count(wide[some[a]] ^ wide[rest[rows[b]]])
-                        close = apart.sum(axis=1, dtype=np.int64) <= wide_limit
                     near[rows[b[close]]] = True
             front, rest = rest[near], rest[~near]
             out += [(root, int(x)) for x in front]
     return out
 
 
-def _probed(distinct: DataFrame, probes: int) -> DataFrame:
-    """Like _spread, with each key also under its value with any of its weakest bits flipped; keeps wide."""
-    kind = id_type(distinct, "node")
-
-    def run(batch):
-        bits = batch.column(0).to_numpy().view(np.uint64)
-        order = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 64)
-        rank = np.argsort(order, axis=1)
-        keys, masks = [], []
-        for (a, n), (b, m) in combinations(BLOCKS, 2):
-            places = np.r_[a : a + n, b : b + m]
-            weakest = places[np.argsort(rank[:, places], axis=1)[:, :probes]]
-            mask = sum(1 << int(p) for p in places)
-            value = bits & np.uint64(mask)
-            for chosen in range(1 << probes):
-                flipped = value.copy()
-                for k in range(probes):
-                    if chosen >> k & 1:
-                        flipped ^= np.uint64(1) << weakest[:, k].astype(np.uint64)
-                mixed = (flipped ^ (flipped >> np.uint64(31)) ^ np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)
-                keys.append((mixed ^ (mixed >> np.uint64(29))).view(np.int64))
-                masks.append(np.full(len(bits), mask - ((mask >> 63) << 64), np.int64))
-        take = pa.array(np.tile(np.arange(len(bits)), len(keys)))
-        again = [batch.column(i).take(take) for i in (0, 1, 3)]
-        return pa.array(np.concatenate(keys)), pa.array(np.concatenate(masks)), *again
-
-    schema = f"key bigint, mask bigint, bits bigint, node {kind}, wide binary"
-    return map_batches(distinct, ["bits", "node", "weak", "wide"], run, schema)
-
-
 def _spread(distinct: DataFrame) -> DataFrame:
     """A row for each pair of blocks: (key, mask, bits, node); mask has the bits that the key fixes."""
     keys = []
@@ -167,7 +123,7 @@ def _spread(distinct: DataFrame) -> DataFrame:
     return distinct.withColumn("k", F.explode(F.array(*keys))).select("k.key", "k.mask", "bits", "node")
 
 
-def _refine(rows: DataFrame, limit: int = 3) -> DataFrame:
+def _refine(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of crowded keys with finer keys: of the bits left, one part of limit + 1 agrees for any link."""
 
     def run(batch):
@@ -188,27 +144,24 @@ def _refine(rows: DataFrame, limit: int = 3) -> DataFrame:
         return out[0], out[1], *[x.take(take) for x in batch.columns[2:]]
 
     schema = f"key bigint, mask bigint, bits bigint, node {id_type(rows, 'node')}"
-    return map_batches(rows, rows.columns, run, schema + ", wide binary" * ("wide" in rows.columns))
+    return map_batches(rows, rows.columns, run, schema)
 
 
-def links(
-    distinct: DataFrame, limit: int = 3, crowd: int = CROWD, probes: int = 0, wide_limit: int | None = None
-) -> DataFrame:
+def links(distinct: DataFrame, limit: int = 3, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs of at most `limit` differing bits would.
 
     distinct: (bits, node), one row a fingerprint. Within a key only a spanning forest of its links comes out,
     so rows grow with the fingerprints and not with the square of a group. Keys with more than `crowd` rows are
     counted with partial sums, never gathered: their rows get finer keys, again and again; when fewer than
-    sixteen bits are free, a key holds at most 2^16 fingerprints, whatever the data.
-
-    With `probes` (distinct: also weak and wide) keys are tried with that many weakest bits flipped, and a link
-    needs at most `wide_limit` differing bits of the wide fingerprint as well. Links beyond three bits are then
-    found with high probability, not surely.
+    sixteen bits are free, a key holds at most 2^16 fingerprints, whatever the data. The five blocks are keys for
+    three bits and no more, so a larger limit is an error.
     """
+    if limit > 3:
+        raise ValueError("pairs of five blocks find no more than three differing bits")
     spark = distinct.sparkSession
     ship(spark)
     kind = id_type(distinct, "node")
-    columns = ["key", "bits", "node"] + ["wide"] * (wide_limit is not None)
+    columns = ["key", "bits", "node"]
 
     def run(batches):
         pivots = references()
@@ -219,12 +172,8 @@ def links(
             if len(bits) < 2:
                 return None
             nodes = pa.concat_arrays([x[1] for x in held])
-            wide = None
-            if wide_limit is not None:
-                joined = b"".join(y for x in held for y in x[2].to_pylist())
-                wide = np.frombuffer(joined, np.uint64).reshape(len(bits), -1)
             table = np.bitwise_count(bits[:, None] ^ pivots).astype(np.int8)
-            found = linked_groups(bits, limit, table, wide, wide_limit or 0)
+            found = linked_groups(bits, limit, table)
             if not found:
                 return None
             ends = [nodes.take(pa.array(x)) for x in zip(*found)]
@@ -241,14 +190,13 @@ def links(
                     if (out := done()) is not None:
                         yield out
                     held, last = [], key[begin]
-                more = [c.slice(begin, end - begin) for c in batch.columns[2:]]
-                held.append((bits[begin:end], *more))
+                held.append((bits[begin:end], batch.column(2).slice(begin, end - begin)))
                 begin = end
         if (out := done()) is not None:
             yield out
 
     found = []
-    rows = _probed(distinct, probes) if probes else _spread(distinct)
+    rows = _spread(distinct)
     for level in range(8):
         crowded = rows.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
         crowded = store(crowded.where(F.bit_count("mask") < 48).select("key"), "crowded")
@@ -258,7 +206,7 @@ def links(
         found.append(store(dealt.mapInArrow(run, f"a {kind}, b {kind}"), "links"))
         if not some:
             break
-        rows = store(_refine(rows.join(crowded, "key", "left_semi")), f"keys-{level}")
+        rows = store(_refine(rows.join(crowded, "key", "left_semi"), limit), f"keys-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -295,15 +243,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def keep_one(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", limit: int = 12, wide_limit: int = 40, crowd: int = CROWD
-) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = nearcopies.CROWD) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of the smallest id, nulls last.
 
-    Near copies: texts whose five-word shingles have a similarity of 0.8 or more, as told by 256 bits, of which
-    39 are expected to differ at 0.8. Fingerprints are stored, texts are not: the rows chosen are found again by id and
-    digest, and of rows that repeat both exactly one stays. Null and empty texts are copies of each other. An
-    empty table gives no row.
+    Near copies: texts whose sets of five-word shingles have a similarity of 0.8 or more, and what such texts connect.
+    Texts are not stored: the rows chosen are found again by id and digest, and of rows that repeat both exactly one
+    stays. Null and empty texts are copies of each other. An empty table gives no row.
     """
     keyed = docs.withColumns({
         "_d": F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
@@ -311,14 +256,22 @@ def keep_one(
     })
 
     def run(batch):
-        return *batch.columns[:3], *zip(*[marks(t or "") for t in batch.column(3).to_pylist()])
+        return *batch.columns[:3], *zip(*[nearcopies.marks(five_words(t or "")) for t in batch.column(3).to_pylist()])
 
-    schema = f"id {id_type(docs, id_column)}, d string, k binary, bits bigint, weak binary, wide binary"
+    schema = f"id {id_type(docs, id_column)}, d string, k binary, digest binary, n int, keys array<bigint>"
     rows = store(map_batches(keyed, [id_column, "_d", "_k", text], run, schema), "marked")
     order = F.struct(F.isnull("id").alias("n"), "id", "d", "k")
-    distinct = rows.groupBy("bits", "wide").agg(F.min(order).alias("first"), F.min_by("weak", "k").alias("weak"))
+    distinct = rows.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     distinct = store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    found = components(links(distinct, limit, crowd, 2, wide_limit))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of some nodes, from the texts of their first documents."""
+        wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.d").alias("of_d"), F.col("first.k").alias("of_k"))
+        texts = keyed.select("_d", "_k", F.col(text).alias("_t")).join(wanted, (F.col("_d") == F.col("of_d")) & (F.col("_k") == F.col("of_k")))
+        hashed = lambda batch: (batch.column(0), [five_words(t or "").tobytes() for t in batch.column(1).to_pylist()])
+        return map_batches(texts, ["node", "_t"], hashed, "node bigint, hashes binary").dropDuplicates(["node"])
+
+    found = components(nearcopies.links(distinct, sets, components, crowd))
     named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_kept_d"), F.col("first.k").alias("_kept_k"))
     same = (F.col("_d") == F.col("_kept_d")) & (F.col("_k") == F.col("_kept_k"))

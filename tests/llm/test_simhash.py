@@ -103,3 +103,59 @@ def test_one_document_of_each_group_of_near_copies(docs):
 def test_repeated_rows_leave_one(docs):
     assert simhash.keep_one(docs((1, "same text"), (1, "same text"), (None, "same text"))).collect()[0].doc_id == 1
     assert simhash.keep_one(docs((None, ""), (None, None))).count() == 1
+
+
+def alike_texts(rng, families=60):
+    """Texts with variants of a similarity between about 0.7 and 0.9 on five words."""
+    texts = []
+    for family in range(families):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            changed = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0.01, 0.045)))):
+                changed[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(changed))
+    return texts
+
+
+def plain_kept(texts):
+    """The first text of each group that exact similarities of 0.8 connect, by comparing all."""
+    sets = []
+    for t in texts:
+        words = t.split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)})
+    out = list(range(len(texts)))
+    near = []
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                near.append((i, j))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            least = min(out[i], out[j])
+            if out[i] != least or out[j] != least:
+                out[i] = out[j] = least
+                changed = True
+    return {i for i, c in enumerate(out) if i == c}
+
+
+def test_crowded_keys_of_near_copies_lose_none(docs, monkeypatch):
+    from cohortspark.llm import nearcopies
+
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(90):
+        changed = list(base)
+        for _ in range(rng.randint(1, 7)):
+            changed[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(changed))
+    texts += alike_texts(rng, 5)
+    wanted = plain_kept(texts)
+    for hubs in (0, nearcopies.HUBS):
+        monkeypatch.setattr(nearcopies, "HUBS", hubs)
+        assert {r.doc_id for r in simhash.keep_one(docs(*texts), crowd=8).collect()} == wanted
