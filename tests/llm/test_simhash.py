@@ -143,6 +143,13 @@ def plain_kept(texts):
     return {i for i, c in enumerate(out) if i == c}
 
 
+def test_near_copies_by_the_exact_similarity(docs):
+    texts = alike_texts(random.Random(21))
+    wanted = plain_kept(texts)
+    assert 70 < len(wanted) < 200
+    assert {r.doc_id for r in simhash.keep_one(docs(*texts)).collect()} == wanted
+
+
 def test_crowded_keys_of_near_copies_lose_none(docs, monkeypatch):
     from cohortspark.llm import nearcopies
 
