@@ -1,20 +1,20 @@
 """URL filter: fixed rules by host and path, and association rules mined from labelled URLs.
 
-A labelled URL is a transaction of its tokens and, where it is bad, of a sign for that. FP-growth finds the
-frequent combinations; those that imply the sign with enough confidence and support become block rules. Rules are
+A labelled URL is a transaction of its tokens. Frequent combinations are found level by level; those that imply a bad
+label with enough confidence and support become block rules. Rules are
 matched through an inverted index: each stands under its rarest token only.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.common import store
 from cohortspark.llm.html_extract import url_host
 
-BAD = "!bad"
-
 
 def url_path(url: Column) -> Column:
     """What follows the host, up to ? or #; empty for a URL without ://."""
@@ -29,55 +29,64 @@ def tokens(host: Column, path: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(labels, words, steps)), lambda x: x.rlike(r"^\w:.*\p{L}"))
 
 
-def mine(
-    labelled: DataFrame,
-    url: str = "url",
-    bad: str = "bad",
-    support: float = 0.002,
-    confidence: float = 0.8,
-    longest: int = 3,
-    most_tokens: int = 12,
-) -> DataFrame:
-    """(antecedent array, confidence, support): rules that imply the bad label, antecedents of at most `longest`.
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = 0.002, confidence: float = 0.8) -> DataFrame:
+    """(antecedent array, confidence, support): all rules that imply the bad label, but those that hold a shorter one.
 
-    Mining looks at the first `most_tokens` tokens of a labelled URL (the host's come first). Each then has at most
-    299 combinations of up to three tokens, so at most 299 / support rules come out, whatever the input's size:
-    150,000 by default. A rule that contains another rule adds nothing and is dropped. Rows with a null label or
-    URL are left out of mining; without bad rows there is no rule.
+    Sets of tokens grow by one token a round, over all tokens of a URL. A set is only extended while it has the support,
+    is no rule yet, and fits fewer URLs than each of its subsets: one that fits the same URLs says what the subset
+    says. So tokens that always come together don't multiply, and rules may have any length. Rows with a null label
+    or URL are left out of mining; without bad rows there is no rule.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(bad).isNotNull() & F.col(url).isNotNull())
-    items = F.slice(tokens(url_host(F.col(url)), url_path(F.col(url))), 1, most_tokens)
-    rows = rows.select(F.concat(items, F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array())).alias("items"))
     schema = "antecedent array<string>, confidence double, support double"
-    if rows.where(F.array_contains("items", BAD)).isEmpty():
+    rows = labelled.where(F.col(bad).isNotNull() & F.col(url).isNotNull())
+    rows = rows.select(F.array_sort(tokens(url_host(F.col(url)), url_path(F.col(url)))).alias("items"), F.col(bad).cast("long").alias("b"))
+    rows = store(rows.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")), "transactions")
+    total, total_bad = rows.agg(F.sum("n"), F.sum("b")).first()
+    if not total_bad:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    rules = model.associationRules.where(
-        (F.element_at("consequent", 1) == BAD) & (F.size("consequent") == 1) & (F.size("antecedent") <= longest)
-    ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    kept: list[tuple] = []
-    found: set[frozenset] = set()
-    for row in sorted(rules.collect(), key=lambda r: (len(r.antecedent), r.antecedent)):
-        subsets = [set(row.antecedent) - {x} for x in row.antecedent]
-        pairs = [{x} for x in row.antecedent] if len(row.antecedent) > 2 else []
-        if not any(frozenset(s) in found for s in subsets + pairs):
-            found.add(frozenset(row.antecedent))
-            kept.append(tuple(row))
-    return spark.createDataFrame(kept, schema).coalesce(1)
+    least = max(1, math.ceil(support * total))
+    found = spark.createDataFrame([], schema)
+    held = rows.select("*", F.explode("items").alias("t")).select("items", "n", "b", F.array("t").alias("set"))
+    live, size = None, 1
+    while True:
+        sets = held.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least)
+        if live is not None:
+            without = F.expr(f"transform(sequence(0, {size - 1}), i -> filter(set, (x, j) -> j <> i))")
+            subsets = sets.select("*", F.explode(without).alias("subset"))
+            known = subsets.join(live.select(F.col("set").alias("subset"), F.col("n").alias("m")), "subset")
+            known = known.groupBy("set", "n", "b").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
+            sets = known.where((F.col("c") == size) & (F.col("n") < F.col("m"))).select("set", "n", "b")
+        sets = store(sets, "token-sets")
+        holds = F.col("b") / F.col("n") >= confidence
+        rules = sets.where(holds).select(F.col("set").alias("antecedent"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(total)).alias("support"))
+        found = found.unionByName(rules)
+        live = sets.where(~holds & (F.col("n") < total))
+        if live.isEmpty():
+            return store(found, "rules")
+        kept = held.join(live.select("set"), "set", "left_semi")
+        later = F.explode(F.expr("filter(items, x -> x > element_at(set, -1))")).alias("t")
+        held = kept.select("items", "n", "b", "set", later).select("items", "n", "b", F.concat("set", F.array("t")).alias("set"))
+        if size == 1:  # only tokens that are live themselves extend a set
+            alone = live.select(F.element_at("set", 1).alias("t"))
+            items = rows.select("*", F.explode("items").alias("t")).join(alone, "t", "left_semi")
+            items = items.groupBy(F.col("items").alias("whole"), "n", "b").agg(F.array_sort(F.collect_list("t")).alias("items"))
+            items = items.select("items", "n", "b", F.explode("items").alias("t")).select("items", "n", "b", F.array("t").alias("set"))
+            held = items.select("items", "n", "b", "set", later).select("items", "n", "b", F.concat("set", F.array("t")).alias("set"))
+        held, size = store(held, "held"), size + 1
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence): the URLs that a rule fits, with the best rule's confidence. urls: (url, tokens).
 
-    The index is broadcast; `mine` bounds its size. A URL's tokens look up rules, and a rule found must be there
-    whole. Only rows that a rule fits are shuffled.
+    A URL's tokens look up rules, and a rule found must be there whole. Spark chooses by the index's size whether it
+    is broadcast; only rows that a rule fits are shuffled if it is.
     """
     spread = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
     rarity = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rare = spread.join(rarity, "token", "left").groupBy("antecedent", "confidence")
     index = rare.agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    looked = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    looked = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     whole = looked.where(F.size(F.array_except("antecedent", "tokens")) == 0)
     return whole.groupBy("url").agg(F.max("confidence").alias("confidence"))
 

@@ -51,3 +51,12 @@ def test_mined_rules_equal_a_count_of_all_combinations(spark):
     judged = url_rules.judge(pages, labelled, [], support=0.01).collect()
     fits = {i: any(set(p) <= set(r.t) for p in plain) for i, r in enumerate(rows)}
     assert {r.page_id: r.verdict == "block" for r in judged} == fits
+
+
+def test_words_deep_in_a_path_and_rules_of_four_tokens(spark):
+    deep = "http://www.news.example.co.uk/a/b/c/d/e/f/g/{}/x"
+    four = lambda n: "http://h.com/" + "/".join(w for i, w in enumerate(("one", "two", "six", "ten")) if n >> i & 1)
+    rows = [(deep.format("casino"), True)] * 20 + [(deep.format("reading"), False)] * 20
+    rows += [(four(15), True)] * 20 + [(four(15 - (1 << i)), False) for i in range(4)] * 20
+    mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), support=0.05).collect()
+    assert {tuple(r.antecedent): r.confidence for r in mined} == {("p:casino",): 1.0, ("p:one", "p:six", "p:ten", "p:two"): 1.0}
