@@ -39,12 +39,12 @@ DIGITS = re.compile(r"\d+")
 
 
 def _names(attributes: str) -> tuple[str, list[str]]:
-    """The classes as part of a path, and all words of class, id and role."""
+    """The classes as part of a path, and the names of class, id and role, each whole and its first word."""
     classes, words = "", []
     if attributes.strip():
         for kind, *values in CLASS.findall(attributes):
             value = next((v for v in values if v), "").lower()
-            words += re.split(r"[^a-z0-9]+", value)
+            words += [x for name in value.split() for x in (name, re.split(r"[^a-z0-9]+", name)[0])]
             if kind.lower() == "class":
                 classes = "".join(f".{DIGITS.sub('#', c)}" for c in sorted(value.split()))
     return classes, words
@@ -54,11 +54,27 @@ class Page:
     """Blocks of a page in order: (path of the container, text, characters in links); what lies outside is left out."""
 
     def __init__(self, html: str):
+        self._read(html, frozenset())
+        if released := self._released():
+            self._read(html, released)
+
+    def _released(self) -> frozenset[int]:
+        """Elements with an outside name that stay: they hold article or main, or most text of a page without either."""
+        whole = sum(self.sizes.values())
+        held = lambda at: sum(n for k, n in self.sizes.items() if at in k)
+        return frozenset(at for at in self.named if at in self.holders or (not self.has_main and 2 * held(at) > whole))
+
+    def _read(self, html: str, released: frozenset[int]) -> None:
+        """released: positions of elements whose names say nothing."""
         self.blocks: list[tuple[str, str, int]] = []
-        stack: list[tuple] = []  # (tag, path, outside, container path, in a link)
+        self.named: set[int] = set()  # positions of elements that are outside by their name
+        self.holders: set[int] = set()  # those of them that hold article or main
+        self.has_main = False
+        self.sizes: dict[tuple[int, ...], int] = {}  # text by the named elements around it
+        stack: list[tuple] = []  # (tag, path, outside, container path, in a link, named elements, outside by its tag)
         self.text: list[str] = []
         self.linked = 0
-        top = ("", "", False, ">root", False)  # text outside any element
+        top = ("", "", False, ">root", False, (), False)  # text outside any element
         at = 0
         n = len(html)
         while at < n:
@@ -69,6 +85,8 @@ class Page:
             if not found:  # a tag cut off by the end of the page is no text
                 cut = re.search(r"<[a-zA-Z][^>]*\Z", text)
                 text = text[: cut.start()] if cut else text
+            if text and not now[6]:
+                self.sizes[now[5]] = self.sizes.get(now[5], 0) + len("".join(text.split()))
             if text and not now[2]:
                 self.text.append(text)
                 if now[4]:
@@ -100,13 +118,19 @@ class Page:
             now = stack[-1] if stack else top
             classes, words = _names(attributes)
             path = f"{now[1]}>{tag}{classes}"
-            outside = now[2] or tag in OUTSIDE or (tag != "body" and tag != "html" and not OUTSIDE_NAMES.isdisjoint(words))
-            if tag == "header" and ">article" not in now[1]:
-                outside = True
+            by_tag = now[6] or tag in OUTSIDE or (tag == "header" and ">article" not in now[1])
+            around = now[5]
+            if tag in ("article", "main") and not by_tag:
+                self.has_main = True
+                self.holders.update(around)
+            outside = now[2] or by_tag
+            if tag not in ("body", "html", "article", "main") and at not in released and not OUTSIDE_NAMES.isdisjoint(words):
+                outside, around = True, (*around, at)
+                self.named.add(at)
             container = now[3]
             if tag not in INLINE and tag not in LEAVES and not re.search(r">(article|main)\b", container):
                 container = path
-            stack.append((tag, path, outside, container, now[4] or tag == "a"))
+            stack.append((tag, path, outside, container, now[4] or tag == "a", around, by_tag))
         self._flush((stack[-1] if stack else top)[3])
 
     @staticmethod

@@ -41,3 +41,18 @@ def test_pages_of_the_table_have_their_documents(spark, small):
     for r in rows:
         lines = [" ".join(x.split()) for x in texts[int(re.search(r"/(\d+)", r.url)[1])].split("\n")]
         assert r.text.split("\n")[1:] == [x for x in lines if x]
+
+
+def test_names_around_and_on_the_article_lose_nothing():
+    text = "<p>" + "words of the text " * 10 + "</p>"
+    wanted = " ".join(["words of the text"] * 10)
+    for page in (
+        f"<div class=content-sidebar-wrap><main>{text}</main></div>",
+        f"<div class=sidebar-wrap><div><main>{text}</main></div><div class=ad>Buy</div></div>",
+        f"<div id=main class=no-sidebar>{text}</div>",
+        f"<article class='post comments-open'>{text}</article>",
+        f"<main class=widget>{text}</main>",
+        f"<div class='entry ad-free'>{text}</div><div class=ad>Buy</div>",
+        f"<article>{text}</article><div class=comments><p>{'I disagree ' * 90}</p></div>",
+    ):
+        assert Page(f"<body>{page}</body>").extract(None) == wanted, page
