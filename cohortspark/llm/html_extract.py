@@ -164,8 +164,27 @@ class Page:
     def best(self) -> tuple[str, float]:
         scores = self.scores()
         path = max(scores, key=lambda p: (scores[p], -len(p), p), default="")
+        path = self._wider(path)
         return path, scores.get(path, 0.0)
 
+    def _wider(self, path: str) -> str:
+        """The path, or that of the container around it while the text that it adds is mostly outside links.
+
+        article and main are whole as they are; body is never taken for what one of its children holds.
+        """
+        if re.search(r">(article|main)\b", path):
+            return path
+        inside = lambda c, p: c == p or c.startswith(p + ">")
+        parent = path.rpartition(">")[0]
+        while parent and not re.search(r">(body|html|root)[^>]*\Z", parent):
+            added = [(len(t), linked) for c, t, linked in self.blocks if inside(c, parent) and not inside(c, path)]
+            if 2 * sum(n for _, n in added) > sum(n for n, _ in added):
+                break
+            if added:
+                path = parent
+            parent = parent.rpartition(">")[0]
+        return path
+
     def extract(self, path: str | None) -> str:
         """Text in the containers on a path; on a page without them, in its own best container."""
         inside = lambda c, p: c == p or c.startswith(p + ">")

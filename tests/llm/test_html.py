@@ -56,3 +56,14 @@ def test_names_around_and_on_the_article_lose_nothing():
         f"<article>{text}</article><div class=comments><p>{'I disagree ' * 90}</p></div>",
     ):
         assert Page(f"<body>{page}</body>").extract(None) == wanted, page
+
+
+def test_pages_without_article_keep_title_and_lead():
+    body, lead = "body " * 200, "lead " * 80
+    page = Page(f"<body><div id=content><h1>Title</h1><div class=text><p>{body}</p></div></div></body>")
+    assert page.extract(None) == "Title\n" + body.strip()
+    page = Page(f"<body><div id=c><div class=lead><p>{lead}</p></div><div class=text><p>{body}</p></div></div></body>")
+    assert page.extract(None) == lead.strip() + "\n" + body.strip()
+    links = "<p><a href='/x'>" + "elsewhere " * 9 + "</a></p>"
+    page = Page(f"<body><div id=c><div class=text><p>{body}</p></div><div class=list>{links}</div></div></body>")
+    assert page.extract(None) == body.strip()
