@@ -1,13 +1,9 @@
-import os
-from datetime import datetime
-
 import pytest
+from sample import at
 
 from cohortspark.schemas import QUALIFIED, RAW
 from cohortspark.session import local_session
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,10 +12,6 @@ def spark():
     session.stop()
 
 
-def at(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
 # A default raw line.
 RAW_DEFAULT = {
     "InvoiceNo": "536365",

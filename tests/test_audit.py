@@ -1,4 +1,4 @@
-from conftest import at
+from sample import at
 
 from cohortspark.operators import audit
 from cohortspark.operators.cleaning import clean

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, difference
-from conftest import SF_DIR
+from sample import SF_DIR
 
 import __spark_entry__ as driver
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF_DIR
+from sample import SF_DIR
 
 from cohortspark import session
 from cohortspark.config import FEATURE_COLUMNS, QUALIFIED_COLUMNS

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF_DIR
+from sample import SF_DIR
 
 from cohortspark.operators import audit, cleaning, features, scoring
 from cohortspark.plans import reports
