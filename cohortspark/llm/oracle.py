@@ -44,4 +44,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured JOIN rates ON measured.host IS NOT DISTINCT FROM rates.host
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES}
+
+
+def centroid_clustering(k: int = 8, rounds: int = 10, seed: int = 3, size: int = 64) -> str:
+    """Rounds written out one after the other; every vector is compared with every centroid."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, vec_id,
+           list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), q) - 1 AS INTEGER) AS cluster, q AS c
+    FROM kept ORDER BY cluster LIMIT {k}
+)""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+    SELECT row_id, vec_id, q, cluster, distance
+    FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, cluster) AS place
+          FROM (SELECT row_id, vec_id, q, cluster,
+                       CAST(list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+                FROM kept, c{i}))
+    WHERE place = 1
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+    SELECT cluster, coalesce(moved, c) AS c
+    FROM c{i} LEFT JOIN (
+        SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY place) AS moved
+        FROM (SELECT cluster, place, sum(x) AS total, count(*) AS n
+              FROM (SELECT cluster, unnest(q) AS x, unnest(range({size})) AS place FROM a{i}) GROUP BY ALL)
+        GROUP BY cluster) USING (cluster)
+)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op11_centroid_clustering": centroid_clustering()}

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, bwt_dedup, html_extract, iblt, langid, packing, pii, quality_rules, simhash, url_rules
+from cohortspark.llm import (
+    bpe, bwt_dedup, feistel, html_extract, iblt, langid, orchard, packing, pii, quality_rules, simhash, spelling, url_rules,
+)
 from cohortspark.llm.common import table
 
 
@@ -109,7 +111,25 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight clusters of all vectors."""
+    return orchard.cluster(table(spark, folder, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The more frequent form of every word of all documents."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in 40 shards."""
+    return feistel.shard(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op7_fingerprints, op8_pii, op9_language_id, op10_suffix_dedup)
-}
+    for f in (
+        op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_url_rules, op5_packing, op6_simhash, op7_fingerprints,
+        op8_pii, op9_language_id, op10_suffix_dedup, op11_centroid_clustering, op12_spelling_variants, op13_sharding,
+    )
+}
