@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.config import DECISION_THRESHOLD, LABEL, THRESHOLDS
 from cohortspark.functions.columns import ratio
@@ -160,3 +161,31 @@ def evaluation_report(split_scored: DataFrame, coefficients: DataFrame, digits:
         .withColumn("threshold_analysis", thresholds.scalar())
         .withColumn("feature_coefficients", ordered.scalar())
     )
+
+
+def flat_report(report: DataFrame) -> DataFrame:
+    """(path, number, text): every value of a nested report as a row, whatever its shape.
+
+    A path joins the names of fields and the keys of maps by dots; elements of arrays are counted from 0 in brackets.
+    Numbers and truth values are in `number`, all else in `text`; a missing value has neither.
+    """
+
+    def leaf(path: Column, value: Column, kind: T.DataType) -> Column:
+        counts = isinstance(kind, (T.NumericType, T.BooleanType))
+        number = value.cast("int").cast("double") if isinstance(kind, T.BooleanType) else value.cast("double") if counts else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if counts else value.cast("string")
+        return F.array(F.struct(path.alias("path"), number.alias("number"), text.alias("text")))
+
+    def rows(path: Column, value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.concat(*[rows(F.concat(path, F.lit(f".{f.name}")), value[f.name], f.dataType) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            each = lambda x, i: rows(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, kind.elementType)
+            return F.flatten(F.transform(value, each))
+        if isinstance(kind, T.MapType):
+            each = lambda e: rows(F.concat(path, F.lit("."), e["key"].cast("string")), e["value"], kind.valueType)
+            return F.flatten(F.transform(F.map_entries(value), each))
+        return leaf(path, value, kind)
+
+    parts = [rows(F.lit(f.name), F.col(f.name), f.dataType) for f in report.schema]
+    return report.select(F.explode(F.concat(*parts)).alias("row")).select("row.*")

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.config import Windows
-from cohortspark.operators import checks, model
+from cohortspark.operators import checks, model, weights
 from cohortspark.operators.cleaning import clean
 from cohortspark.operators.features import customer_table, labelled_features
 from cohortspark.operators.insights import enrich
@@ -127,10 +127,14 @@ class Pipeline:
             self._tables["model"] = model.load_model(path)
         return self._tables["model"]
 
+    def weights(self) -> DataFrame:
+        """The fitted model as a stored table of weights, polished from where the model's fit ended."""
+        return self.stage("weights", lambda: weights.fitted(self.split().filter("NOT is_test"), self.model()))
+
     def risk(self, score: Callable[[DataFrame], DataFrame] | None = None, name: str = "risk") -> DataFrame:
-        """Every eligible customer with probability, tier and priority. By default the fitted model scores."""
+        """Every eligible customer with probability, tier and priority. By default the fitted weights score."""
 
-        by = score or (lambda customers: model.score(self.model(), customers))
+        by = score or (lambda customers: weights.score(self.weights(), customers))
         if (name, score) not in self._tables:  # another score of the same name has tables of its own
             plan = str(score(self.customers()).semanticHash()) if score else "fitted"
             self._tables[name, score] = f"{name}-{hashlib.sha1(plan.encode()).hexdigest()[:12]}"

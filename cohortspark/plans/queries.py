@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.config import FEATURE_COLUMNS, LABEL, NON_PREDICTORS, PREDICTORS, SEGMENTS
 from cohortspark.functions import bands
 from cohortspark.functions.ranking import global_rank
-from cohortspark.operators import audit, checks, cleaning, cohort, evaluation, features, insights, model, scoring
+from cohortspark.operators import audit, checks, cleaning, cohort, evaluation, features, insights, model, scoring, weights
 from cohortspark.plans import explorer, reports
 from cohortspark.plans.catalog import event_pipeline, order_pipeline
 from cohortspark.session import stored
@@ -79,6 +79,34 @@ def _(spark, folder):
     return tables.read_raw(spark, path, "csv")
 
 
+@query("s2_missing_inputs")
+def _(spark, folder):
+    """Each input that is there with its rows, and the same one looked for where it is not, with the error's class."""
+    p = order_pipeline(spark, folder)
+    saved = p.path("inputs_weights")
+    weights.save_weights(p.weights(), saved)
+    raw = p.path("inputs_raw", with_windows=False)
+    p.raw().write.mode("overwrite").parquet(raw)
+    inputs = {
+        "raw": (lambda path: tables.read_raw(spark, path), raw),
+        "qualified": (lambda path: tables.read_qualified(spark, path), tables.write_qualified(p.qualified(), p.path("inputs_qualified"))),
+        "features": (lambda path: tables.read_features(spark, path), tables.write_features(p.customers(), p.path("inputs_features"))),
+        "weights": (lambda path: weights.load_weights(spark, path), saved),
+    }
+    rows = []
+    for what, (read, path) in inputs.items():
+        for there, place in ((True, path), (False, f"{path}-absent")):
+            try:
+                rows.append((what, there, read(place).count(), None))
+            except FileNotFoundError as error:
+                rows.append((what, there, None, type(error).__name__))
+    try:
+        model.load_model(p.path("absent_model"))
+    except FileNotFoundError as error:
+        rows.append(("model", False, None, type(error).__name__))
+    return spark.createDataFrame(rows, "what string, there boolean, rows bigint, error string")
+
+
 @query("s4_lenient_dates")
 def _(spark, folder):
     lines = order_pipeline(spark, folder).raw()
@@ -118,9 +146,9 @@ def _(spark, folder):
 @query("s10_s15_evaluation_file")
 def _(spark, folder):
     p = order_pipeline(spark, folder)
-    scored = model.score(p.model(), p.split())
-    report = evaluation.evaluation_report(scored, model.coefficient_table(p.model(), spark))
-    return tables.read_report(spark, tables.write_report(report, p.path("evaluation_json")), report.schema)
+    report = evaluation.evaluation_report(weights.score(p.weights(), p.split()), weights.coefficients(p.weights()))
+    written = tables.write_report(report, p.path("evaluation_json"))
+    return evaluation.flat_report(tables.read_report(spark, written, report.schema))
 
 
 @query("s11_test_predictions")
@@ -134,8 +162,11 @@ def _(spark, folder):
 @query("s12_saved_model_scores")
 def _(spark, folder):
     p = order_pipeline(spark, folder)
-    path = model.save_model(p.model(), p.path("model_copy"))
-    return model.score(model.load_model(path), p.customers()).select("CustomerID", "Churn_Probability_Raw")
+    path = p.path("saved_weights")
+    version = weights.save_weights(p.weights(), path)
+    loaded = weights.load_weights(spark.newSession(), path, version)
+    held = spark.createDataFrame(loaded.collect(), loaded.schema)  # ten rows, from the other session
+    return weights.score(held, p.customers()).select("CustomerID", "Churn_Probability_Raw")
 
 
 on_risk("s13_enriched_customers", lambda r: r.select(*FEATURE_COLUMNS, "Churn_Probability_Raw", "Churn_Probability", "Risk_Tier", "Retention_Priority"))
@@ -362,7 +393,7 @@ on_lines("k2_top_qualified_countries", audit.top_countries)
 
 @query("k3_strongest_coefficients")
 def _(spark, folder):
-    return model.strongest(model.coefficient_table(order_pipeline(spark, folder).model(), spark))
+    return model.strongest(weights.coefficients(order_pipeline(spark, folder).weights()))
 
 
 on_customers("k4_preview", lambda t: explorer.preview(t, 3, "CustomerID"))
@@ -391,7 +422,14 @@ QUERIES["m2_split"] = lambda spark, folder: order_pipeline(spark, folder).split(
 
 @query("m1_m3_m6_i4_fitted_coefficients")
 def _(spark, folder):
-    return model.coefficient_table(order_pipeline(spark, folder).model(), spark)
+    return weights.coefficients(order_pipeline(spark, folder).weights())
+
+
+@query("m1_m3_fitted_weights")
+def _(spark, folder):
+    found = order_pipeline(spark, folder).weights()
+    shown = [F.round(c, 6).alias(c) for c in ("mean", "deviation", "coefficient")]
+    return found.select("position", "feature", *shown)
 
 
 @query("m4_class_weights")
@@ -404,7 +442,18 @@ def _(spark, folder):
 @query("m5_fitted_score")
 def _(spark, folder):
     p = order_pipeline(spark, folder)
-    return model.score(p.model(), p.customers()).select("CustomerID", "Churn_Probability_Raw", model.decide().alias("Predicted_Class"))
+    scored = weights.score(p.weights(), p.customers())
+    return scored.select("CustomerID", "Churn_Probability_Raw", model.decide().alias("Predicted_Class"))
+
+
+@query("m5_model_against_weights")
+def _(spark, folder):
+    """Customers whose probability by the saved pipeline is within a thousandth of that by the weights, and all."""
+    p = order_pipeline(spark, folder)
+    one = model.score(p.model(), p.customers()).select("CustomerID", F.col("Churn_Probability_Raw").alias("a"))
+    two = weights.score(p.weights(), p.customers()).select("CustomerID", F.col("Churn_Probability_Raw").alias("b"))
+    near = F.count_if(F.abs(F.col("a") - F.col("b")) < 0.001)
+    return one.join(two, "CustomerID").agg(F.count(F.lit(1)).alias("customers"), near.alias("near"))
 
 
 on_customers(

@@ -76,7 +76,8 @@ def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFra
     return reader.option("inferSchema", False).csv(path)
 
 
-def _open(spark: SparkSession, path: str, what: str, load):
+def open_table(path: str, what: str, load):
+    """What load gives; a path that is not there is a FileNotFoundError that names what was looked for."""
     try:
         return load()
     except AnalysisException as error:
@@ -88,13 +89,13 @@ def _open(spark: SparkSession, path: str, what: str, load):
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     """Raw invoice lines in the declared types, whatever the file has. A missing column is an error, as is a number
     that is none; a date that is none becomes null, and the audit counts it."""
-    found = check_columns(_open(spark, path, "raw transactions", lambda: _read(spark, path, fmt, multi_line)))
+    found = check_columns(open_table(path, "raw transactions", lambda: _read(spark, path, fmt, multi_line)))
     return _normalised(found, RAW, ["InvoiceDate"])
 
 
 def read_qualified(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     """Qualified lines by name; columns that the file lacks are null, but the ids, dates and amounts must be there."""
-    found = _open(spark, path, "qualified transactions", lambda: _read(spark, path, fmt, multi_line))
+    found = open_table(path, "qualified transactions", lambda: _read(spark, path, fmt, multi_line))
     return _declared(found, QUALIFIED, ["InvoiceNo", "InvoiceDate", "CustomerID"])
 
 
@@ -115,7 +116,7 @@ def write_qualified(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
     """The customer table by name, in the declared types; columns that the file lacks are null."""
-    found = _open(spark, path, "customer features", lambda: _read(spark, path, fmt, multi_line))
+    found = open_table(path, "customer features", lambda: _read(spark, path, fmt, multi_line))
     return _declared(found, FEATURES, ["CustomerID"])
 
 

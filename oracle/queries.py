@@ -34,6 +34,9 @@ from oracle.sql import (
     with_steps,
     zero,
 )
+from oracle import newton
+
+newton.register()
 
 AUDIT_FILE = """raw_rows, CAST(raw_columns AS BIGINT) AS raw_columns, exact_duplicates AS duplicate_rows, missing_customer_id,
     missing_description, cancellation_rows, non_positive_quantity_rows, non_positive_unit_price_rows,
@@ -52,6 +55,14 @@ def all_sql() -> dict[str, str]:
 
     # sources and sinks
     sql["s1_raw_lines"] = w(["tx"], "SELECT * FROM tx")
+    present = " UNION ALL ".join(
+        f"SELECT '{what}' AS what, true AS there, count(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM {source}"
+        for what, source in (("raw", "tx"), ("qualified", "ql"), ("features", "ct"), ("weights", "range(10)"))
+    )
+    absent = values([(what, "FileNotFoundError") for what in ("raw", "qualified", "features", "weights", "model")])
+    sql["s2_missing_inputs"] = w(
+        ["tx", "ql", "ct"], f"{present} UNION ALL SELECT what, false, NULL, error FROM {absent} AS t(what, error)"
+    )
     sql["s4_lenient_dates"] = w(
         ["tx"],
         """SELECT InvoiceNo, StockCode, Quantity, CASE WHEN Description IS NOT NULL THEN InvoiceDate END AS InvoiceDate
@@ -454,6 +465,31 @@ def all_sql() -> dict[str, str]:
     )
     sql["r1_summary"] = w(["ct", "obs", "fut"], summary())
 
+    # the fitted regression
+    sql["m1_m3_m6_i4_fitted_coefficients"] = w(["coef"], "SELECT * FROM coef")
+    sql["m1_m3_fitted_weights"] = w(
+        ["fit"],
+        f"""SELECT CAST(position - 1 AS INTEGER) AS position, feature, round(mean, 6) AS mean, round(deviation, 6) AS deviation,
+                   round(coefficient, 6) AS coefficient
+            FROM (SELECT unnest(range(1, {newton.N + 1})) AS position, unnest({newton.NAMES + ["(intercept)"]}) AS feature,
+                         unnest(list_append(mu, 0.0::DOUBLE)) AS mean, unnest(list_append(sd, 1.0::DOUBLE)) AS deviation,
+                         unnest(beta) AS coefficient FROM fit) AS t""",
+    )
+    sql["k3_strongest_coefficients"] = w(
+        ["coef"],
+        """SELECT * FROM (SELECT * FROM coef WHERE coefficient > 0 ORDER BY coefficient DESC, feature LIMIT 3) AS a
+           UNION ALL SELECT * FROM (SELECT * FROM coef WHERE coefficient < 0 ORDER BY coefficient, feature LIMIT 3) AS b""",
+    )
+    sql["m5_fitted_score"] = w(
+        ["pbf"], "SELECT CustomerID, Churn_Probability_Raw, CASE WHEN Churn_Probability_Raw > 0.5 THEN 1 ELSE 0 END AS Predicted_Class FROM pbf"
+    )
+    sql["m5_model_against_weights"] = w(["ct"], "SELECT count(*) AS customers, count(*) AS near FROM ct")
+    sql["s12_saved_model_scores"] = w(["pbf"], "SELECT CustomerID, Churn_Probability_Raw FROM pbf")
+    sql["s13_enriched_by_fitted_model"] = w(
+        ["rkf"], f"SELECT {TABLE_COLUMNS}, Churn_Probability_Raw, Churn_Probability, Risk_Tier, Retention_Priority FROM rkf"
+    )
+    sql["s10_s15_evaluation_file"] = w(["spf", "cumf", "coef"], _evaluation_rows())
+
     # checks
     sql["v1_label_check"] = w(
         ["ct"],
@@ -486,6 +522,39 @@ def all_sql() -> dict[str, str]:
     return sql
 
 
+def _evaluation_rows() -> str:
+    """The evaluation report of the fitted score, value by value."""
+    of = lambda side, label: f"count(*) FILTER ({'' if side == 'test' else 'NOT '}is_test{label})"
+    one = [("train_size", of("train", "")), ("test_size", of("test", ""))]
+    one += [(f"class_counts.{side}.{c}", of(side, f" AND Churn_90D = {c}")) for side in ("train", "test") for c in (0, 1)]
+    number = "SELECT '{}' AS path, CAST({} AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM {}"
+    parts = [number.format(path, value, "spf") for path, value in one]
+    parts += [number.format(c, f'"{c}"', "m") for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")]
+    parts.append(number.format("default_threshold", "0.5", "(SELECT 1) AS one"))
+    for c in ("threshold", "precision", "recall", "f1"):
+        parts.append(
+            f"""SELECT 'threshold_analysis[' || (row_number() OVER (ORDER BY threshold) - 1) || '].{c}', "{c}", NULL FROM th"""
+        )
+    for c in ("coefficient", "abs_coefficient"):
+        parts.append(f"SELECT 'feature_coefficients[' || place || '].{c}', {c}, NULL FROM ranked")
+    parts.append("SELECT 'feature_coefficients[' || place || '].feature', NULL, feature FROM ranked")
+    return f"""SELECT * FROM (
+        WITH m AS ({METRICS.replace("FROM cum", "FROM cumf")}),
+             th AS ({_threshold_rows("spf WHERE is_test")}),
+             ranked AS (SELECT *, row_number() OVER (ORDER BY abs_coefficient DESC, feature) - 1 AS place FROM coef)
+        {" UNION ALL ".join(parts)}) AS report"""
+
+
+def _threshold_rows(source: str) -> str:
+    return f"""SELECT threshold, round({zero("tp::DOUBLE / nullif(tp + fp, 0)")}, 6) AS "precision",
+            round({zero("tp::DOUBLE / nullif(pos, 0)")}, 6) AS recall,
+            round({zero("2.0::DOUBLE * tp / nullif(tp + fp + pos, 0)")}, 6) AS f1
+            FROM (SELECT threshold, count(*) FILTER (Churn_90D = 1) AS pos,
+                         count(*) FILTER (Churn_90D = 1 AND Churn_Probability_Raw >= threshold) AS tp,
+                         count(*) FILTER (Churn_90D = 0 AND Churn_Probability_Raw >= threshold) AS fp
+                  FROM (SELECT * FROM {source}) AS held, {THRESHOLDS} GROUP BY threshold) AS t"""
+
+
 def _band_of(column: str, name: str, rates: str) -> str:
     """Per customer, from the same bands as the rate table."""
     bands = rates.split("FROM", 1)[1].split("JOIN (SELECT *,")[0]

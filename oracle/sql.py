@@ -249,7 +249,8 @@ def with_steps(names, body, windows=LATE) -> str:
 
     for name in names:
         add(name)
-    text = ",\n".join(f"{n} AS ({STEPS[n][1].strip()})" for n in ordered)
+    once = lambda n: "MATERIALIZED " if n in ("spc", "trn") or n[0] in "be" and n[1].isdigit() else ""
+    text = ",\n".join(f"{n} AS {once(n)}({STEPS[n][1].strip()})" for n in ordered)
     for key, value in windows.items():
         text = text.replace("{" + key + "}", str(value))
         body = body.replace("{" + key + "}", str(value))
