@@ -1,3 +1,4 @@
+import json
 from collections import defaultdict
 
 import numpy as np
@@ -11,8 +12,8 @@ PATH = P.path("byte_bpe_50k.json")
 
 def test_every_id_lies_in_one_piece_and_sequences_are_full(documents, docs, odd_texts):
     theirs = Tokenizer.from_file(PATH)
-    theirs.encode_special_tokens = True
-    for frame in (documents, docs(*odd_texts)):
+    spelled = ["a<|endoftext|>b", "<|endoftext|> <|endoftext|><|endoftext", " <|endoftext|>\n"]
+    for frame in (documents, docs(*odd_texts, *spelled)):
         pieces = packing.pack(frame, PATH, P.PATTERN).collect()
         of_doc, of_sequence = defaultdict(list), defaultdict(list)
         for p in pieces:
@@ -60,3 +61,15 @@ def test_alike_documents_are_neighbours(docs):
     pieces = packing.tokenized(docs(*texts), PATH, P.PATTERN).collect()
     order = [r.doc_id % 2 for r in sorted(pieces, key=lambda r: r.place)]
     assert order in ([0] * 10 + [1] * 10, [1] * 10 + [0] * 10)
+
+
+def test_a_file_whose_ids_do_not_follow_its_merges(tmp_path):
+    with open(PATH) as file:
+        said = json.load(file)
+    merges = said["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    other, text = packing.Merges(str(path), P.PATTERN), "the theme of the tenth thin thing"
+    assert not hasattr(other, "merges") and hasattr(packing.Merges(PATH, P.PATTERN), "merges")
+    assert other.encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
