@@ -31,9 +31,18 @@ def store(frame: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the executors, once for each application, so that they can import it."""
+    """Sends this package's source to the executors, once for each application, so that they can import it.
+
+    Batches for Python workers are kept to eight megabytes, unless the session has a bound of its own: a worker holds
+    a batch several times over, and the usual bound is 64 megabytes.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if context.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

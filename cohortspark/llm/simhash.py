@@ -265,11 +265,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cro
     distinct = store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        """(node, hashes) of some nodes, from the texts of their first documents."""
+        """(node, hashes array<bigint>) of some nodes, from the texts of their first documents."""
         wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.d").alias("of_d"), F.col("first.k").alias("of_k"))
         texts = keyed.select("_d", "_k", F.col(text).alias("_t")).join(wanted, (F.col("_d") == F.col("of_d")) & (F.col("_k") == F.col("of_k")))
-        hashed = lambda batch: (batch.column(0), [five_words(t or "").tobytes() for t in batch.column(1).to_pylist()])
-        return map_batches(texts, ["node", "_t"], hashed, "node bigint, hashes binary").dropDuplicates(["node"])
+        hashed = lambda batch: (batch.column(0), [five_words(t or "").view(np.int64) for t in batch.column(1).to_pylist()])
+        return map_batches(texts, ["node", "_t"], hashed, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
     found = components(nearcopies.links(distinct, sets, components, crowd))
     named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
