@@ -79,6 +79,17 @@ def _(spark, folder):
     return tables.read_raw(spark, path, "csv")
 
 
+@query("s1_quoted_line_breaks")
+def _(spark, folder):
+    """Raw lines with a line break and quotes in some descriptions, written to one CSV file and read by many tasks."""
+    p = order_pipeline(spark, folder)
+    path = p.path("raw_breaks", with_windows=False)
+    broken = F.concat(F.col("Description"), F.lit('\n"second", line\n'), F.col("StockCode"))
+    lines = p.raw().withColumn("Description", F.when(F.col("StockCode").endswith("7"), broken).otherwise(F.col("Description")))
+    lines.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return tables.read_raw(spark, path, "csv")
+
+
 @query("s2_missing_inputs")
 def _(spark, folder):
     """Each input that is there with its rows, and the same one looked for where it is not, with the error's class."""

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cohortspark.config import EXPECTED_COLUMNS, FEATURE_COLUMNS, LABEL, PREDICTORS, QUALIFIED_COLUMNS, Windows
 from cohortspark.functions.columns import up_to
 from cohortspark.schemas import FEATURES, QUALIFIED, RAW
+from cohortspark.sources.csvlines import OPTIONS, read_csv
 
 # The columns of the table of predictions.
 TEST_PREDICTION_COLUMNS = ["CustomerID", LABEL, "Churn_Probability", "Predicted_Class"] + PREDICTORS
@@ -69,11 +70,12 @@ def _normalised(df: DataFrame, schema: T.StructType, lenient: Sequence[str] = ()
 
 
 def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
-    """CSV columns as text. Quoted line breaks need `multi_line`, which reads a file in one task."""
+    """CSV columns as text, by many tasks; without `multi_line` each line is taken for a record, which saves a scan."""
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    return reader.option("inferSchema", False).csv(path)
+    if multi_line:
+        return read_csv(spark, path)
+    return spark.read.option("header", True).option("inferSchema", False).options(**OPTIONS).csv(path)
 
 
 def open_table(path: str, what: str, load):

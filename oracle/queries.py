@@ -55,6 +55,11 @@ def all_sql() -> dict[str, str]:
 
     # sources and sinks
     sql["s1_raw_lines"] = w(["tx"], "SELECT * FROM tx")
+    sql["s1_quoted_line_breaks"] = w(
+        ["tx"],
+        """SELECT * REPLACE (CASE WHEN StockCode LIKE '%7' THEN Description || chr(10) || '"second", line' || chr(10) || StockCode
+                             ELSE Description END AS Description) FROM tx""",
+    )
     present = " UNION ALL ".join(
         f"SELECT '{what}' AS what, true AS there, count(*) AS rows, CAST(NULL AS VARCHAR) AS error FROM {source}"
         for what, source in (("raw", "tx"), ("qualified", "ql"), ("features", "ct"), ("weights", "range(10)"))
