@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, parts, ship, slices, store, with_columns
+from cohortspark.llm.common import free_names, map_batches, parts, ship, slices, store, with_columns
 
 SPAN, GRAM = 400, 48
 STEP = 1 << 19
@@ -343,9 +343,10 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
     Bytes of a character that a cut has torn apart go with it. A null text stays null.
     """
     spans = repeated_spans(keyed(docs, id_column, text).select("k", "d", "t"), span, crowd)
-    spans = spans.select(F.col("k").alias("_of"), F.col("spans.start").alias("_start"), F.col("spans.end").alias("_end"))
+    key, of, first, last, left = free_names(docs, "_k", "_of", "_start", "_end", "_kept")
+    spans = spans.select(F.col("k").alias(of), F.col("spans.start").alias(first), F.col("spans.end").alias(last))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = docs.withColumn("_k", digest).join(spans, F.col("_k") == F.col("_of"), "left")
+    joined = docs.withColumn(key, digest).join(spans, F.col(key) == F.col(of), "left")
 
     def run(columns):
         out = []
@@ -354,5 +355,5 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
             out.append(kept)
         return [out]
 
-    marked = with_columns(joined, [text, "_start", "_end"], run, "_kept string")
-    return marked.withColumn(text, F.col("_kept")).select(*docs.columns)
+    marked = with_columns(joined, [text, first, last], run, f"{left} string")
+    return marked.withColumn(text, F.col(left)).select(*docs.columns)

@@ -76,6 +76,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 16 <<
             at += n
 
 
+def free_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, each with so many underscores before it that no column of the frame has it."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(
     frame: DataFrame, columns: list, function: Callable[[pa.RecordBatch], list], schema: str, rows: int = 256
 ) -> DataFrame:

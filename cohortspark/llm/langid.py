@@ -7,20 +7,20 @@ prediction runs over every window of every text, and a text's probabilities are
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, with_columns
+from cohortspark.llm.common import free_names, map_batches, with_columns
 
 LENGTH = 256  # bytes in a window
 WIDTHS = (2, 3, 4)
 EMBEDDED, FILTERS = 6, 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -179,7 +179,11 @@ def predict(docs: DataFrame, net: Network | None, id_column: str = "doc_id", tex
 
 
 def known(docs: DataFrame, net: Network | None, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose text has a language: not `und`, and a probability of `least` or more. All columns stay."""
-    marked = with_columns(docs, [text], lambda x: predictions(net, x[0]), "_lang_pred string, _lang_score double")
-    rows = marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least))
-    return rows.drop("_lang_pred", "_lang_score")
+    """The rows whose text has a language: not `und`, and a probability of `least` or more. All columns stay.
+
+    Null and empty texts and texts without a letter have no language and go; repeated rows stay or go together; an
+    empty table gives no row.
+    """
+    lang, score = free_names(docs, "_lang_pred", "_lang_score")
+    marked = with_columns(docs, [text], lambda x: predictions(net, x[0]), f"{lang} string, {score} double")
+    return marked.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

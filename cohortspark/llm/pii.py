@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, with_columns
+from cohortspark.llm.common import free_names, map_batches, with_columns
 
 # The kinds in order, and the patterns of the contract.
 KINDS = ["email", "ip", "card", "phone"]
@@ -408,5 +408,6 @@ def masked(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFr
         found = all_spans(tagger, [t or "" for t in texts])
         return [[t if t is None else redacted(t, [x[:3] for x in spans]) for t, spans in zip(texts, found)]]
 
-    marked = with_columns(docs, [text], run, "_masked string")
-    return marked.withColumn(text, F.col("_masked")).select(*docs.columns)
+    (name,) = free_names(docs, "_masked")
+    marked = with_columns(docs, [text], run, f"{name} string")
+    return marked.withColumn(text, F.col(name)).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import nearcopies
 from cohortspark.llm.bpe import id_type
-from cohortspark.llm.common import map_batches, parts, ship, slices, store
+from cohortspark.llm.common import free_names, map_batches, parts, ship, slices, store
 
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 PIVOTS = 16
@@ -250,16 +250,17 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cro
     Texts are not stored: the rows chosen are found again by id and digest, and of rows that repeat both exactly one
     stays. Null and empty texts are copies of each other. An empty table gives no row.
     """
+    own_d, own_k, kept_d, kept_k = free_names(docs, "_d", "_k", "_kept_d", "_kept_k")
     keyed = docs.withColumns({
-        "_d": F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
-        "_k": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))),
+        own_d: F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
+        own_k: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))),
     })
 
     def run(batch):
         return *batch.columns[:3], *zip(*[nearcopies.marks(five_words(t or "")) for t in batch.column(3).to_pylist()])
 
     schema = f"id {id_type(docs, id_column)}, d string, k binary, digest binary, n int, keys array<bigint>"
-    rows = store(map_batches(keyed, [id_column, "_d", "_k", text], run, schema), "marked")
+    rows = store(map_batches(keyed, [id_column, own_d, own_k, text], run, schema), "marked")
     order = F.struct(F.isnull("id").alias("n"), "id", "d", "k")
     distinct = rows.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     distinct = store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
@@ -267,16 +268,17 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cro
     def sets(nodes: DataFrame) -> DataFrame:
         """(node, hashes array<bigint>) of some nodes, from the texts of their first documents."""
         wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.d").alias("of_d"), F.col("first.k").alias("of_k"))
-        texts = keyed.select("_d", "_k", F.col(text).alias("_t")).join(wanted, (F.col("_d") == F.col("of_d")) & (F.col("_k") == F.col("of_k")))
+        texts = keyed.select(F.col(own_d).alias("d"), F.col(own_k).alias("k"), F.col(text).alias("t"))
+        texts = texts.join(wanted, (F.col("d") == F.col("of_d")) & (F.col("k") == F.col("of_k")))
         hashed = lambda batch: (batch.column(0), [five_words(t or "").view(np.int64) for t in batch.column(1).to_pylist()])
-        return map_batches(texts, ["node", "_t"], hashed, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
+        return map_batches(texts, ["node", "t"], hashed, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
     found = components(nearcopies.links(distinct, sets, components, crowd))
     named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_kept_d"), F.col("first.k").alias("_kept_k"))
-    same = (F.col("_d") == F.col("_kept_d")) & (F.col("_k") == F.col("_kept_k"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias(kept_d), F.col("first.k").alias(kept_k))
+    same = (F.col(own_d) == F.col(kept_d)) & (F.col(own_k) == F.col(kept_k))
     chosen = keyed.join(kept, same, "left_semi")
-    return chosen.dropDuplicates(["_d", "_k"]).drop("_d", "_k")
+    return chosen.dropDuplicates([own_d, own_k]).drop(own_d, own_k)
 
 
 def groups(

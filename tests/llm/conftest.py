@@ -5,7 +5,9 @@ from cohortspark.llm.common import table
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Columns of a table that share names with what the operators use inside.
-CLASHES = "key string, bits string, node string, k string, t string, d string, ids string, place string, host string, spans string"
+CLASHES = "key string, bits string, node string, k string, t string, d string, ids string, place string, host string, spans string, _lang_pred string"
+CLASHES += ", _lang_score string, _masked string, _d string, _k string, _kept_d string, _kept_k string, _of string, _start string"
+CLASHES += ", _end string, _kept string, _t string, __k string"
 
 
 @pytest.fixture(scope="session")

@@ -30,3 +30,8 @@ def test_every_window_counts():
     english = "the words of this " * 200
     _, (a, b) = langid.predictions(net, [english, english + "les mots de cela " * 50])
     assert a != b
+
+
+def test_only_letters_make_a_language(docs):
+    found = langid.predict(docs("\u00bd \u00b2", "\u2167 123", "1 2 3 !", None, "a word"), langid.fit(docs("one two three", "four five")))
+    assert [r.lang_pred == "und" for r in sorted(found.collect(), key=lambda r: r.doc_id)] == [True, True, True, True, False]
