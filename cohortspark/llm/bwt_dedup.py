@@ -1,4 +1,6 @@
-"""Removes long byte strings that occur more than once, by merging the suffix orders of shards.
+"""Removes long byte strings that occur more than once, by ordering the suffixes at agreed places.
+
+No shard builds a transform of its own and none are merged: what stands around each place is gathered and sorted.
 
 Sorting all suffixes of a corpus is out of reach, and not needed: a string of `span` bytes is repeated only if the
 string around one agreed byte position in it is. Each window of `span` bytes has an anchor, the place of the least
@@ -7,7 +9,7 @@ its anchors; those whose k-gram occurs once in the corpus are done with. For the
 right of the anchor (the suffix) and left of it, byte by byte (the column of a Burrows-Wheeler transform for this
 suffix, the one before it, and so on).
 
-The merge interleaves the shards' suffixes of an anchor by refinement: blocks of equal suffixes are split symbol
+The suffixes of an anchor are sorted by refinement: blocks of equal suffixes are split symbol
 by symbol, and a split fixes the common prefix of the neighbours at it. From the order at the anchor, the order
 one byte further left follows from the transform's own step: a stable sort by the preceding byte, common prefixes
 growing by one within equal bytes. No suffix is compared again. A suffix whose common prefix with a neighbour in

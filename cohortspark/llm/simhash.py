@@ -1,9 +1,7 @@
 """SimHash near-duplicates: links between fingerprints that differ in few bits, and their connected groups.
 
-Candidates come from pivot distance tables. On a block of bits the pivots are the reference fingerprints with one
-bit of the block set: the table of distances to them tells each value of the block apart, so equal tables are
-equal values, and the value serves as the join key. Of five blocks two at least agree if three bits differ, so
-each of the ten pairs of blocks is a key. Within a key, each fingerprint has a table of Hamming distances to fixed
+Block keys propose pairs: of five blocks two at least agree if three bits differ, so each of the ten pairs of blocks
+is a key. Pivot distance tables then filter. Within a key, each fingerprint has a table of Hamming distances to fixed
 random reference fingerprints; by the triangle inequality two tables that differ by more than the limit in any
 coordinate belong to fingerprints that differ by more, and the pair is discarded. Survivors are verified.
 
