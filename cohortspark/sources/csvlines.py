@@ -146,11 +146,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"a quoted value is never closed: '{torn['file']}'")
     rough = F.broadcast(blocks.where("open or not calm").select("file", "start", "open"))
     edges = F.broadcast(blocks.where("open or open_after").select("file", "start", "open"))
-    plain = lines.join(rough, ["file", "start"], "left_anti").select("start", F.col("value").alias("record"))
-    put = _records(lines.join(rough, ["file", "start"])).where(F.col("kind") == WHOLE).select("start", "record")
+    # What is no record becomes null instead of being filtered: a caller's filter on a converted column may be moved
+    # below a filter or an anti join, and would then fail on half a record.
+    plain = lines.join(rough, ["file", "start"], "left").select("start", F.when(F.col("open").isNull(), F.col("value")).alias("record"))
+    put = _records(lines.join(rough, ["file", "start"])).select("start", F.when(F.col("kind") == WHOLE, F.col("record")).alias("record"))
     across = _joined(_records(lines.join(edges, ["file", "start"])).where(F.col("kind") != WHOLE)).select(F.lit(-1).cast("bigint").alias("start"), "record")
     records = plain.unionByName(put).unionByName(across).withColumn("record", F.regexp_replace("record", "\r$", ""))
     header = lines.where("start = 0").first()["value"].rstrip("\r")
-    kept = records.where((F.trim("record") != "") & ~((F.col("start") == 0) & (F.col("record") == header)))
+    is_record = (F.trim("record") != "") & ~((F.col("start") == 0) & (F.col("record") == header))
+    kept = records.select(F.when(is_record, F.col("record")).alias("record")).where("record is not null")
     schema = ", ".join(f"`{c.replace('`', '``')}` STRING" for c in usual.columns)
     return kept.select(F.from_csv("record", schema, OPTIONS).alias("r")).select("r.*")
