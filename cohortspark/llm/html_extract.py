@@ -8,6 +8,7 @@ again, and its text taken from the containers on its host's winning path.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,17 @@ from pyspark.sql import functions as F
 from cohortspark.llm.bpe import id_type
 from cohortspark.llm.common import map_batches, store
 
-TAG = re.compile(r"""<!--[\s\S]*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""")
+# A tag ends at the first > outside quotes or with the page; a quote that is never closed is a sign like any other.
+# Nothing in it is tried twice. LOOSE is for pages whose quotes hide the end of a tag: there quotes say nothing.
+TAG = re.compile(
+    r"""<!--[\s\S]*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)"""
+)
+LOOSE = re.compile(r"""<!--[\s\S]*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)""")
 CLASS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "svg", "math", "object"}
+TO_THE_END = {"script", "style", "title", "textarea", "xmp", "iframe"}  # unclosed, they hold the rest of the page
+SELF_CLOSED = {"svg", "math"}
+DEEP = 256  # elements further in belong to the container at this depth
 VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
@@ -26,7 +35,7 @@ INLINE = {
 }
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "figcaption", "td", "th", "tr"}
 LEAVES |= {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "figure", "caption", "hr"}
-OUTSIDE = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog"}
+OUTSIDE = {"nav", "footer", "aside", "head", "button", "select", "menu", "dialog"}
 OUTSIDE_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation",
@@ -38,13 +47,15 @@ ENDED_BY |= {"td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 DIGITS = re.compile(r"\d+")
 
 
-def _names(attributes: str) -> tuple[str, list[str]]:
-    """The classes as part of a path, and the names of class, id and role, each whole and its first word."""
+def _names(attributes: str, first: bool) -> tuple[str, list[str]]:
+    """The classes as part of a path, and the names of class, id and role, each whole and, if asked, its first word."""
     classes, words = "", []
     if attributes.strip():
         for kind, *values in CLASS.findall(attributes):
             value = next((v for v in values if v), "").lower()
-            words += [x for name in value.split() for x in (name, re.split(r"[^a-z0-9]+", name)[0])]
+            words += value.split()
+            if first:
+                words += [re.split(r"[^a-z0-9]+", name)[0] for name in value.split()]
             if kind.lower() == "class":
                 classes = "".join(f".{DIGITS.sub('#', c)}" for c in sorted(value.split()))
     return classes, words
@@ -59,10 +70,13 @@ class Page:
             self._read(html, released)
 
     def _released(self) -> frozenset[int]:
-        """Elements with an outside name that stay: they hold article or main, or most text of a page without either."""
-        whole = sum(self.sizes.values())
-        held = lambda at: sum(n for k, n in self.sizes.items() if at in k)
-        return frozenset(at for at in self.named if at in self.holders or (not self.has_main and 2 * held(at) > whole))
+        """Forms and elements with an outside name that stay: they hold article or main, or most text of a page
+        without either."""
+        whole, held = sum(self.sizes.values()), Counter()
+        for around, n in self.sizes.items():
+            for at in around:
+                held[at] += n
+        return frozenset(at for at in self.named if at in self.holders or (not self.has_main and 2 * held[at] > whole))
 
     def _read(self, html: str, released: frozenset[int]) -> None:
         """released: positions of elements whose names say nothing."""
@@ -77,14 +91,17 @@ class Page:
         top = ("", "", False, ">root", False, (), False)  # text outside any element
         at = 0
         n = len(html)
+        tags = TAG
+        opened: Counter[str] = Counter()  # tags on the stack
+        unclosed: set[str] = set()  # tags that the rest of the page does not close
         while at < n:
-            found = TAG.search(html, at)
+            found = tags.search(html, at)
+            if found and found[2] and not found[4] and tags is TAG:
+                tags = LOOSE
+                found = tags.search(html, at)
             now = stack[-1] if stack else top
             end = found.start() if found else n
             text = html[at:end]
-            if not found:  # a tag cut off by the end of the page is no text
-                cut = re.search(r"<[a-zA-Z][^>]*\Z", text)
-                text = text[: cut.start()] if cut else text
             if text and not now[6]:
                 self.sizes[now[5]] = self.sizes.get(now[5], 0) + len("".join(text.split()))
             if text and not now[2]:
@@ -98,8 +115,15 @@ class Page:
             if not tag:
                 continue
             if tag in RAW and not closing:
-                last = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = last.end() if last else n
+                if tag in SELF_CLOSED and attributes.endswith("/"):
+                    continue
+                last = None if tag in unclosed else re.compile(rf"</{tag}\s*+>", re.I).search(html, at)
+                if last:
+                    at = last.end()
+                elif tag in TO_THE_END:
+                    at = n
+                else:
+                    unclosed.add(tag)
                 continue
             if tag == "br":
                 self.text.append(" ")
@@ -107,38 +131,46 @@ class Page:
             if tag not in INLINE:
                 self._flush(now[3])
             if closing:
-                if any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while opened[tag]:
+                    last_tag = stack.pop()[0]
+                    opened[last_tag] -= 1
+                    if last_tag == tag:
+                        break
                 continue
             if tag in VOID or attributes.endswith("/"):
                 continue
             if tag not in INLINE:
-                self._imply(stack, tag)
+                self._imply(stack, tag, opened)
             now = stack[-1] if stack else top
-            classes, words = _names(attributes)
-            path = f"{now[1]}>{tag}{classes}"
-            by_tag = now[6] or tag in OUTSIDE or (tag == "header" and ">article" not in now[1])
+            classes, words = _names(attributes, tag not in LEAVES)
+            path = f"{now[1]}>{tag}{classes}" if len(stack) < DEEP else now[1]
+            header = tag == "header" and not re.search(r">(article|main)\b", now[1])
+            by_tag = now[6] or tag in OUTSIDE or header
             around = now[5]
             if tag in ("article", "main") and not by_tag:
                 self.has_main = True
                 self.holders.update(around)
             outside = now[2] or by_tag
-            if tag not in ("body", "html", "article", "main") and at not in released and not OUTSIDE_NAMES.isdisjoint(words):
-                outside, around = True, (*around, at)
-                self.named.add(at)
+            by_name = tag not in INLINE and not OUTSIDE_NAMES.isdisjoint(words)
+            if tag not in ("body", "html", "article", "main") and at not in released and (by_name or tag == "form"):
+                outside = True
+                if len(around) < DEEP:
+                    around = (*around, at)
+                    self.named.add(at)
             container = now[3]
             if tag not in INLINE and tag not in LEAVES and not re.search(r">(article|main)\b", container):
                 container = path
             stack.append((tag, path, outside, container, now[4] or tag == "a", around, by_tag))
+            opened[tag] += 1
         self._flush((stack[-1] if stack else top)[3])
 
     @staticmethod
-    def _imply(stack: list[tuple], tag: str) -> None:
-        """Ends the paragraph, list item or cell that a new block ends."""
-        for k in range(len(stack) - 1, -1, -1):
+    def _imply(stack: list[tuple], tag: str, opened: Counter[str]) -> None:
+        """Ends the paragraph, list item or cell that a new block ends, if not too many inline elements are between."""
+        for k in range(len(stack) - 1, max(-1, len(stack) - DEEP), -1):
             open_tag = stack[k][0]
             if open_tag == "p" or tag in ENDED_BY.get(open_tag, ()):
+                opened.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if open_tag not in INLINE:

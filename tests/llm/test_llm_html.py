@@ -67,3 +67,39 @@ def test_pages_without_article_keep_title_and_lead():
     links = "<p><a href='/x'>" + "elsewhere " * 9 + "</a></p>"
     page = Page(f"<body><div id=c><div class=text><p>{body}</p></div><div class=list>{links}</div></div></body>")
     assert page.extract(None) == body.strip()
+
+
+def test_nothing_of_the_article_goes_with_inline_names_headers_forms_or_self_closed_elements():
+    body = "body " * 100
+    for page, wanted in (
+        (f"<article><svg class='i'/><p>{body}</p></article>", body),
+        (f"<article><p>{body}</p><math/><p>more</p></article>", body + "\nmore"),
+        (f"<article><svg><p>{body}</p></article>", body),
+        (f"<article><p>It costs <span class='share-price'>12 dollars</span>. {body}</p></article>", "It costs 12 dollars. " + body),
+        (f"<article><p>An <em class='related-term'>idea</em> {body}</p></article>", "An idea " + body),
+        (f"<article><p class='notice-period'>{body}</p></article>", body),
+        (f"<main><header><h1>Title</h1></header><p>{body}</p></main>", "Title\n" + body),
+        (f"<header>Site</header><main><p>{body}</p></main>", body),
+        (f"<form id=all><div class=head>x</div><article><p>{body}</p></article><select><option>a</select></form>", body),
+        (f"<form id=all><div><p>{body}</p></div><button>Go</button></form>", body),
+        (f"<article><p>{body}</p><form>Send this</form></article>", body),
+        (f'<article><p title="open>{body}</p></article>', body),
+    ):
+        found = Page(f"<body>{page}</body>").extract(None)
+        assert found == "\n".join(x.strip() for x in wanted.split("\n")), page
+
+
+def test_hostile_pages_take_time_in_proportion_to_their_length():
+    import time
+
+    size = 1 << 20
+    parts = ["<a", "<a '", "<a \"'", "<a '>' ", "<div>", "<div class=ad>x", "<div class=ad>x</div>", "<svg>", "<b>", "</b>", "<!--", "<p><b>"]
+    parts += ["<b></div>", "<", "</", "<script", "<a b='", "<form>", "<li><b>x"]
+    for part in parts:
+        start = time.perf_counter()
+        Page("<article><p>One</p>" + part * (size // len(part))).extract(None)
+        assert time.perf_counter() - start < 30, part
+    start = time.perf_counter()
+    Page("<b>" * (size // 8) + "<div></div>" * (size // 16)).extract(None)
+    Page("<a " * (size // 4) + "'>").extract(None)
+    assert time.perf_counter() - start < 60
