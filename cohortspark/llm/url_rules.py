@@ -1,6 +1,6 @@
 """URL filter: fixed rules by host and path, and association rules mined from labelled URLs.
 
-A labelled URL is a transaction of its tokens. Frequent combinations are found level by level; those that imply a bad
+A labelled URL is a transaction of its tokens. Spark's FP-growth finds frequent combinations; those that imply a bad
 label with enough confidence and support become block rules. Rules are
 matched through an inverted index: each stands under its rarest token only.
 """
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import store
+from cohortspark.llm.common import parts, store
 from cohortspark.llm.html_extract import url_host
 
 
@@ -29,51 +30,112 @@ def tokens(host: Column, path: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(labels, words, steps)), lambda x: x.rlike(r"^\w:.*\p{L}"))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = 0.002, confidence: float = 0.8) -> DataFrame:
-    """(antecedent array, confidence, support): all rules that imply the bad label, but those that hold a shorter one.
+BAD = "bad"  # the item of a bad label; no token looks like it
 
-    Sets of tokens grow by one token a round, over all tokens of a URL. A set is only extended while it has the support,
-    is no rule yet, and fits fewer URLs than each of its subsets: one that fits the same URLs says what the subset
-    says. So tokens that always come together don't multiply, and rules may have any length. Rows with a null label
-    or URL are left out of mining; without bad rows there is no rule.
+
+def lower_bound(bad: Column, n: Column, z: float = 1.645) -> Column:
+    """The lower end of Wilson's interval for bad / n."""
+    share = bad / n
+    middle = share + z * z / (2 * n)
+    return (middle - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _classes(rows: DataFrame, least: int, total: int) -> DataFrame:
+    """(item, token): tokens in `least` bad URLs or more but not in all URLs; item is the first of the tokens that stand
+    in the same URLs.
+
+    Every part of a frequent set with the bad label is frequent with it, so no other token can be in a rule. Tokens of
+    the same URLs are told by the number of URLs and two sums of hashes of them.
+    """
+    spread = rows.select(F.explode("items").alias("token"), "b", F.xxhash64("url").alias("x"), F.xxhash64("url", F.lit(1)).alias("y"))
+    sums = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("x", "y")]
+    found = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), *sums)
+    found = store(found.where((F.col("b") >= least) & (F.col("n") < total)), "tokens")
+    firsts = found.groupBy("n", "b", "x", "y").agg(F.min("token").alias("item"))
+    return store(found.join(firsts, ["n", "b", "x", "y"]).select("item", "token"), "token-classes")
+
+
+def mine(
+    labelled: DataFrame,
+    url: str = "url",
+    bad: str = "bad",
+    support: float = 0.002,
+    confidence: float = 0.8,
+    floor: int = 5,
+    sure: float = 0.5,
+) -> DataFrame:
+    """(antecedent array, confidence, support): rules that imply the bad label, but those that hold a shorter one.
+
+    Spark's FP-growth mines sets of tokens, all of a URL's, with the bad label as one more item. Rules need `support` of
+    all labelled URLs and `floor` bad URLs at least, `confidence`, and a lower bound of it (Wilson) above `sure`.
+    Tokens that stand in the same URLs are one item while mining, so that they don't multiply; each of them gives a
+    rule of its own after it. Rules may have any length. Rows with a null label or URL are left out; without bad rows
+    there is no rule.
     """
     spark = labelled.sparkSession
     schema = "antecedent array<string>, confidence double, support double"
     rows = labelled.where(F.col(bad).isNotNull() & F.col(url).isNotNull())
-    rows = rows.select(F.array_sort(tokens(url_host(F.col(url)), url_path(F.col(url)))).alias("items"), F.col(bad).cast("long").alias("b"))
-    rows = store(rows.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")), "transactions")
-    total, total_bad = rows.agg(F.sum("n"), F.sum("b")).first()
+    words = tokens(url_host(F.col(url)), url_path(F.col(url)))
+    rows = rows.select(F.monotonically_increasing_id().alias("url"), words.alias("items"), F.col(bad).cast("long").alias("b"))
+    rows = store(rows, "transactions")
+    total, total_bad = rows.agg(F.count(F.lit(1)), F.sum("b")).first()
     if not total_bad:
         return spark.createDataFrame([], schema)
-    least = max(1, math.ceil(support * total))
-    found = spark.createDataFrame([], schema)
-    held = rows.select("*", F.explode("items").alias("t")).select("items", "n", "b", F.array("t").alias("set"))
-    live, size = None, 1
-    while True:
-        sets = held.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least)
-        if live is not None:
-            without = F.expr(f"transform(sequence(0, {size - 1}), i -> filter(set, (x, j) -> j <> i))")
-            subsets = sets.select("*", F.explode(without).alias("subset"))
-            known = subsets.join(live.select(F.col("set").alias("subset"), F.col("n").alias("m")), "subset")
-            known = known.groupBy("set", "n", "b").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
-            sets = known.where((F.col("c") == size) & (F.col("n") < F.col("m"))).select("set", "n", "b")
-        sets = store(sets, "token-sets")
-        holds = F.col("b") / F.col("n") >= confidence
-        rules = sets.where(holds).select(F.col("set").alias("antecedent"), (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / F.lit(total)).alias("support"))
-        found = found.unionByName(rules)
-        live = sets.where(~holds & (F.col("n") < total))
-        if live.isEmpty():
-            return store(found, "rules")
-        kept = held.join(live.select("set"), "set", "left_semi")
-        later = F.explode(F.expr("filter(items, x -> x > element_at(set, -1))")).alias("t")
-        held = kept.select("items", "n", "b", "set", later).select("items", "n", "b", F.concat("set", F.array("t")).alias("set"))
-        if size == 1:  # only tokens that are live themselves extend a set
-            alone = live.select(F.element_at("set", 1).alias("t"))
-            items = rows.select("*", F.explode("items").alias("t")).join(alone, "t", "left_semi")
-            items = items.groupBy(F.col("items").alias("whole"), "n", "b").agg(F.array_sort(F.collect_list("t")).alias("items"))
-            items = items.select("items", "n", "b", F.explode("items").alias("t")).select("items", "n", "b", F.array("t").alias("set"))
-            held = items.select("items", "n", "b", "set", later).select("items", "n", "b", F.concat("set", F.array("t")).alias("set"))
-        held, size = store(held, "held"), size + 1
+    least = max(floor, math.ceil(support * total))
+    classes = _classes(rows, least, total)
+    if classes.isEmpty():
+        return spark.createDataFrame([], schema)
+
+    spread = rows.select("url", F.explode("items").alias("token")).join(classes, "token")
+    known = spread.groupBy("url").agg(F.collect_set("item").alias("known"))
+    marked = F.when(F.col("b") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.join(known, "url", "left").select(
+        F.concat(F.coalesce("known", F.array().cast("array<string>")), marked).alias("items")
+    )
+    baskets = store(baskets, "baskets")
+    growth = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=confidence, numPartitions=parts(spark))
+    found = growth.fit(baskets).associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    hits = F.round(F.col("support") * total)
+    found = found.where(lower_bound(hits, F.round(hits / F.col("confidence"))) > sure)
+    found = found.where(~F.array_contains("antecedent", BAD) & (F.size("antecedent") > 0))
+    found = store(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
+    return store(_written_out(_shortest(found), classes), "written-rules")
+
+
+def _shortest(rules: DataFrame) -> DataFrame:
+    """The rules that hold no other whole; a shorter one is looked up through its first item."""
+    first = rules.select(F.col("antecedent").alias("shorter"), F.element_at("antecedent", 1).alias("item"))
+    held = rules.select("antecedent", F.explode("antecedent").alias("item")).join(first, "item")
+    inside = (F.size(F.array_except("shorter", "antecedent")) == 0) & (F.size("shorter") < F.size("antecedent"))
+    return rules.join(held.where(inside).select("antecedent").distinct(), "antecedent", "left_anti")
+
+
+def _written_out(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each rule once for every choice of one token from the class of each of its items."""
+    members = classes.groupBy("item").agg(F.collect_list("token").alias("members"))
+    spread = rules.select("antecedent", "confidence", "support", F.explode("antecedent").alias("item")).join(members, "item")
+    whole = spread.groupBy("antecedent", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    start = F.array(F.array().cast("array<string>"))
+    grow = lambda sets, some: F.flatten(F.transform(sets, lambda x: F.transform(some, lambda y: F.array_append(x, y))))
+    every = whole.select(F.explode(F.aggregate("choices", start, grow)).alias("antecedent"), "confidence", "support")
+    return every.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+
+
+def held_out(labelled: DataFrame, url: str = "url", bad: str = "bad", **mining) -> DataFrame:
+    """One row (n_judged, n_blocked, n_right): rules mined from four fifths of the labelled URLs, applied to the others.
+
+    The fifth is told by crc32 of the URL, so that equal URLs are on one side.
+    """
+    rows = labelled.where(F.col(bad).isNotNull() & F.col(url).isNotNull())
+    rows = rows.select(F.col(url).alias("url"), F.col(bad).cast("boolean").alias("bad"))
+    mine_from, judged = (rows.where(x) for x in (F.crc32("url") % 5 != 0, F.crc32("url") % 5 == 0))
+    rules = mine(mine_from, **mining)
+    urls = judged.select("url", tokens(url_host(F.col("url")), url_path(F.col("url"))).alias("tokens")).distinct()
+    blocked = judged.join(matches(urls, rules), "url", "left")
+    hit = F.col("confidence").isNotNull()
+    return blocked.agg(
+        F.count(F.lit(1)).alias("n_judged"), F.count_if(hit).alias("n_blocked"), F.count_if(hit & F.col("bad")).alias("n_right")
+    )
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

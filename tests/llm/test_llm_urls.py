@@ -60,3 +60,23 @@ def test_words_deep_in_a_path_and_rules_of_four_tokens(spark):
     rows += [(four(15), True)] * 20 + [(four(15 - (1 << i)), False) for i in range(4)] * 20
     mined = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), support=0.05).collect()
     assert {tuple(r.antecedent): r.confidence for r in mined} == {("p:casino",): 1.0, ("p:one", "p:six", "p:ten", "p:two"): 1.0}
+
+
+def test_few_urls_make_no_rule_and_common_tokens_do_not_multiply(spark):
+    rows = [(f"http://rare.com/{i}", True) for i in range(4)] + [(f"http://other.com/{i}", False) for i in range(40)]
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+    long = "/".join(f"step{chr(97 + i)}" for i in range(26))
+    rows = [(f"http://spam.com/{long}/{i}", True) for i in range(30)] + [(f"http://other.com/{i}", False) for i in range(40)]
+    mined = {tuple(r.antecedent) for r in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert mined == {(f"p:step{chr(97 + i)}",) for i in range(26)} | {("h:spam",), ("w:spam",)}
+
+
+def test_held_out_urls_are_judged_by_the_other_ones(spark):
+    rows = [(f"http://{'spam' if i % 2 else 'good'}.com/{i}", bool(i % 2)) for i in range(400)] + [(None, True), ("x://y", None)]
+    found = url_rules.held_out(spark.createDataFrame(rows, "url string, bad boolean")).first()
+    assert 40 < found.n_judged < 120 and found.n_blocked == found.n_right > 0
+
+
+def test_lower_bound(spark):
+    row = spark.range(1).select(url_rules.lower_bound(F.lit(5), F.lit(5)).alias("a"), url_rules.lower_bound(F.lit(1), F.lit(1)).alias("b")).first()
+    assert abs(row.a - 5 / (5 + 1.645**2)) < 1e-12 and row.b < 0.5
