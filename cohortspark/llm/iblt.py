@@ -138,7 +138,7 @@ def with_next(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(doc_id, t, copy, part) dealt into ordered parts, each followed by a copy of the next part's first row.
 
     Null ids come first, rows of one id are ordered by text. The parts' first ids are all that the driver sees, one
-    for each partition. Texts are shuffled once.
+    for each partition. Texts are shuffled once; one row of each part, the least text of its first id, is copied.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -148,21 +148,22 @@ def with_next(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     found = found.collect()
     firsts = sorted(r["first"] for r in found if r["first"] is not None)
     nulls = any(r["nulls"] for r in found)
-
-    @F.arrow_udf("array<struct<part:int,copy:int>>")
-    def places(ids: pa.Array) -> pa.Array:
-        out = []
-        for x in ids.to_pylist():
-            part = max(0, bisect.bisect_right(firsts, x) - 1) if x is not None else 0
-            mine = [{"part": part, "copy": 0}]
-            if x is None or (not nulls and firsts and x == firsts[0]):
-                mine.append({"part": max(0, len(firsts) - 1), "copy": 1})
-            if part and x is not None and x == firsts[part]:
-                mine.append({"part": part - 1, "copy": 1})
-            out.append(mine)
-        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("copy", pa.int32())])))
-
-    placed = rows.withColumn("place", F.explode(places("doc_id"))).select("doc_id", "t", "place.part", "place.copy")
+    end = max(0, len(firsts) - 1)
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        return pa.array([max(0, bisect.bisect_right(firsts, x) - 1) if x is not None else 0 for x in ids.to_pylist()], pa.int32())
+
+    @F.arrow_udf("int")
+    def part_before(ids: pa.Array) -> pa.Array:
+        """The part that a copy of the first row of this id closes; a circle, which null ids begin if there are any."""
+        whose = [bisect.bisect_left(firsts, x) if x is not None else 0 for x in ids.to_pylist()]
+        return pa.array([at - 1 if at else end for at in whose], pa.int32())
+
+    heads = rows.where(F.col("doc_id").isin(firsts[1:] if nulls else firsts) | F.col("doc_id").isNull())
+    heads = heads.groupBy("doc_id").agg(F.min("t").alias("t"))
+    placed = rows.select("doc_id", "t", part_of("doc_id").alias("part"), F.lit(0).alias("copy"))
+    placed = placed.unionByName(heads.select("doc_id", "t", part_before("doc_id").alias("part"), F.lit(1).alias("copy")))
     dealt = placed.repartitionById(max(1, len(firsts)), F.col("part"))
     return dealt.sortWithinPartitions("part", "copy", "doc_id", "t")
 

@@ -48,3 +48,15 @@ def test_a_small_table_gets_stuck_and_says_so():
 def test_repeated_pieces_and_their_order_count():
     assert iblt.Fingerprint("a\nb").hex() != iblt.Fingerprint("b\na").hex()
     assert iblt.Fingerprint("a\na").near(iblt.Fingerprint("a")) == (0.5, 1)
+
+
+def test_one_row_is_copied_for_each_part(spark, docs):
+    frame = docs(*[(None, f"text {i}") for i in range(30)], *[(7, f"seven {i}") for i in range(30)], *[(i, str(i)) for i in range(8, 60)])
+    rows = iblt.with_next(frame, "doc_id", "text").collect()
+    last = max(r.part for r in rows)
+    assert sum(r.copy for r in rows) == last + 1 and len(rows) == frame.count() + last + 1
+    closing = {r.part: (r.doc_id, r.t) for r in rows if r.copy}
+    own = [sorted(((r.doc_id is not None, r.doc_id or 0), r.t) for r in rows if r.part == p and not r.copy) for p in range(last + 1)]
+    for p in range(last + 1):
+        key, text = own[(p + 1) % (last + 1)][0]
+        assert closing[p] == ((key[1] if key[0] else None), text)
