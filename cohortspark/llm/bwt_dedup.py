@@ -179,11 +179,15 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
 
 
 def _shards(rows: DataFrame, span: int) -> DataFrame:
-    """(k, a, lo, hi, anchor, ctx): all anchors of all texts, with a digest of the context of each."""
+    """(k, d, n, size, a, lo, hi, anchor, ctx): all anchors of all different texts, with a digest of the context of each.
+
+    n: how many rows have the text; d: the least of their ids; size: its bytes. Copies are met as one row with lists, so
+    that the hash of the text deals them out, not an anchor that many copies have.
+    """
 
     def run(batch):
-        out = [[], [], [], [], [], []]
-        for k, t in zip(*(batch.column(i).to_pylist() for i in range(2))):
+        out = [[] for _ in range(8)]
+        for k, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = t.encode()
             if len(data) < span:
                 continue
@@ -192,24 +196,27 @@ def _shards(rows: DataFrame, span: int) -> DataFrame:
             digest = xxhash.xxh3_128_digest
             places = zip(a.tolist(), lo.tolist(), hi.tolist())
             ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
-            for column, values in zip(out, ([k] * len(a), a, lo, hi, h, ctx)):
+            for column, values in zip(out, (k, d, len(data), a, lo, hi, h, ctx)):
                 column.append(values)
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return [
-            pa.array(np.concatenate(x) if x else [], kind) if kind == pa.int64() else pa.array([v for y in x for v in y], kind)
-            for x, kind in zip(out, kinds)
-        ]
+        return out
 
-    schema = "k binary, a bigint, lo bigint, hi bigint, anchor bigint, ctx binary"
-    return map_batches(rows, ["k", "t"], run, schema, rows=64)
+    lists = ("a", "lo", "hi", "anchor", "ctx")
+    schema = "k binary, d string, size bigint, a array<int>, lo array<int>, hi array<int>, anchor array<bigint>, ctx array<binary>"
+    found = map_batches(rows, ["k", "d", "t"], run, schema, rows=64)
+    texts = found.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.first("size").alias("size"), *[F.first(x).alias(x) for x in lists]
+    )
+    return texts.select("k", "d", "n", "size", F.inline(F.arrays_zip(*lists)))
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(anchor, k, lo, shift, full, bytes) of the contexts wanted, cut from the texts; of copies one text is read."""
-    listed = wanted.groupBy("k").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "full")).alias("places"))
-    listed = listed.join(rows.groupBy("k").agg(F.min("d").alias("d")), "k")
+    """(anchor, k, lo, shift, full, bytes) of the contexts wanted, cut from the texts; of copies one text is read.
+
+    The places grow with the input, so the join shuffles at every size.
+    """
+    listed = wanted.groupBy("k", "d").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "full")).alias("places"))
     fields = [F.col(f"places.{f}") for f in ("a", "lo", "hi", "anchor", "full")]
-    joined = rows.join(listed, ["k", "d"])
+    joined = rows.join(listed.hint("merge"), ["k", "d"])
 
     def run(batch):
         out = [[], [], [], [], [], []]
@@ -280,17 +287,23 @@ def _counted(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
-    """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t)."""
+    """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t).
+
+    A text that several rows have is repeated from end to end; for all others its anchors count once.
+    """
     every = store(_shards(rows, span), "anchors")
+    copied = every.where("n > 1").groupBy("k").agg(F.lit(0).cast("bigint").alias("start"), F.first("size").alias("end"))
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     often = store(often, "recurring")  # a plain table, so that the join can split an anchor with very many rows
     every = store(every.join(often, "anchor", "left_semi"), "repeated-anchors")
     kinds = every.groupBy("anchor", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "lo", "hi")).alias("at")
+        F.sum("n").alias("n"), F.min("n").alias("least"), F.min(F.struct("k", "d", "a", "lo", "hi")).alias("at")
     )
     kinds = store(kinds, "contexts")
-    full = kinds.where("n > 1").select("ctx")
-    whole = every.join(full, "ctx", "left_semi").select("k", F.col("lo").alias("start"), (F.col("hi") + span).alias("end"))
+    full = kinds.where("n > 1 AND least = 1").select("ctx")  # copied texts go as a whole
+    whole = every.where("n = 1").join(full, "ctx", "left_semi")
+    whole = whole.select("k", F.col("lo").cast("bigint").alias("start"), (F.col("hi") + span).cast("bigint").alias("end"))
+    whole = whole.unionByName(copied)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = store(several, "several")
     mixed = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds")
@@ -323,7 +336,7 @@ def remove_repeats(
     """
     rows = keyed(docs, id_column, text)
     spans = repeated_spans(rows.select("k", "d", "t"), span, crowd).withColumnRenamed("k", "of")
-    joined = rows.join(spans, rows.k == spans.of, "left")
+    joined = rows.join(spans.hint("merge"), rows.k == spans.of, "left")
     ends = [F.col("spans.start"), F.col("spans.end")]
 
     def run(batch):
@@ -348,7 +361,7 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
     key, of, first, last, left = free_names(docs, "_k", "_of", "_start", "_end", "_kept")
     spans = spans.select(F.col("k").alias(of), F.col("spans.start").alias(first), F.col("spans.end").alias(last))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = docs.withColumn(key, digest).join(spans, F.col(key) == F.col(of), "left")
+    joined = docs.withColumn(key, digest).join(spans.hint("merge"), F.col(key) == F.col(of), "left")
 
     def run(columns):
         out = []
