@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.config import Windows
 from cohortspark.functions.columns import between_days, in_observation, is_cancellation, percent, qualifies
 from cohortspark.functions.quantiles import quantiles
-from cohortspark.operators.cleaning import fill_descriptions
+from cohortspark.operators.cleaning import line_copies
 
 # Older names that still resolve.
 AUDIT_ALIASES = {
@@ -194,14 +194,21 @@ def describe(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def _filled_copies(raw: DataFrame) -> DataFrame:
-    filled = fill_descriptions(raw)
-    return filled.groupBy(*filled.columns).agg(F.count(F.lit(1)).alias("_copies"))
+def duplicates_of(copies: DataFrame) -> DataFrame:
+    """What `duplicate_rows` gives for raw lines, from their stored copies (`cleaning.line_copies`)."""
+    described = F.col("_copies") - F.col("_unfilled")
+    different = F.when(F.col("_unfilled") > 0, 1).otherwise(0) + F.when(described > 0, 1).otherwise(0)
+    rows, extra = F.sum("_copies"), F.sum(F.col("_copies") - different)
+    return copies.agg(extra.alias("duplicate_rows"), percent(extra, rows, 3).alias("duplicate_pct"))
 
 
 def stage_counts(raw: DataFrame) -> DataFrame:
-    """Rows after each cleaning stage, from one grouping of the filled lines."""
-    counts = _filled_copies(raw).agg(
+    return stage_counts_of(line_copies(raw))
+
+
+def stage_counts_of(copies: DataFrame) -> DataFrame:
+    """Rows after each cleaning stage, from the copies of the filled lines."""
+    counts = copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("raw_rows"),
         F.count(F.lit(1)).alias("deduplicated_rows"),
         F.count_if(qualifies()).alias("qualified_rows"),
@@ -216,8 +223,12 @@ def stage_counts(raw: DataFrame) -> DataFrame:
 
 
 def after_deduplication(raw: DataFrame) -> DataFrame:
+    return after_deduplication_of(line_copies(raw))
+
+
+def after_deduplication_of(copies: DataFrame) -> DataFrame:
     """Counts on the de-duplicated lines, one per reason a line may not qualify."""
-    return _filled_copies(raw).agg(
+    return copies.agg(
         F.count_if(is_cancellation()).alias("cancellations"),
         F.count_if(~is_cancellation()).alias("not_cancellations"),
         F.count_if(F.col("Quantity") <= 0).alias("non_positive_quantity"),

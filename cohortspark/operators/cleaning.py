@@ -12,6 +12,21 @@ def fill_descriptions(df: DataFrame, text: str = "Unknown") -> DataFrame:
     return df.fillna(text, subset=["Description"])
 
 
+def line_copies(raw: DataFrame) -> DataFrame:
+    """The different filled lines, with how often each occurs and how many of these had no description.
+
+    One shuffle of whole rows, after copies have collapsed in each task, serves whatever asks for duplicates. The two
+    counts tell how many different raw lines a filled line comes from: filling makes two equal at most.
+    """
+    filled = raw.withColumn("_unfilled", F.col("Description").isNull()).transform(fill_descriptions)
+    return filled.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"), F.count_if("_unfilled").alias("_unfilled"))
+
+
+def distinct_lines(copies: DataFrame) -> DataFrame:
+    """The filled lines without their counts, as `drop_exact_duplicates` gives them."""
+    return copies.drop("_copies", "_unfilled")
+
+
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     """One copy of every distinct row, nulls equal. Copies collapse before the shuffle."""
     return df.dropDuplicates()

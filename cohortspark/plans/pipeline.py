@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.config import Windows
 from cohortspark.operators import checks, model, weights
-from cohortspark.operators.cleaning import clean
+from cohortspark.operators.cleaning import clean, line_copies
 from cohortspark.operators.features import customer_table, labelled_features
 from cohortspark.operators.insights import enrich
 from cohortspark.session import shared_dir
@@ -87,6 +87,10 @@ class Pipeline:
             return self.source()
         return self.stage("raw", self.source, with_windows=False)
 
+    def copies(self) -> DataFrame:
+        """The different filled lines with their counts; what asks for duplicates reads this and shuffles no line."""
+        return self.stage("copies", lambda: line_copies(self.raw()), with_windows=False)
+
     def qualified(self) -> DataFrame:
         build = self.qualified_source or (lambda: clean(self.raw()))
         return self.stage("qualified", build, tables.read_qualified, self._write_by_date, with_windows=False)

@@ -37,6 +37,10 @@ def on_raw(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder).raw())
 
 
+def on_copies(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder).copies())
+
+
 def on_lines(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder).qualified())
 
@@ -211,7 +215,7 @@ on_lines("s14_trend_lines", lambda q: tables.transactions_for_trends(q, LATE).se
 # ---------------------------------------------------------------- audit
 
 on_raw("a1_audit", audit.audit)
-on_raw("a2_duplicates", audit.duplicate_rows)
+on_copies("a2_duplicates", audit.duplicates_of)
 on_raw("a3_audit_aliases", lambda raw: audit.with_aliases(audit.audit(raw)).select(*audit.AUDIT_ALIASES))
 on_raw("a4_missing_values", audit.missing_values)
 on_raw("a5_column_types", audit.column_types)
@@ -222,8 +226,8 @@ on_raw("a8_describe_raw", lambda raw: audit.describe(raw, ["Quantity", "UnitPric
 on_lines("a8_describe_qualified", lambda q: audit.describe(q, ["Quantity", "UnitPrice", "Revenue"]))
 on_customers("a8_describe_features", lambda t: audit.describe(t, PREDICTORS))
 on_raw("a9_top_countries", audit.top_countries)
-on_raw("a10_stage_counts", audit.stage_counts)
-on_raw("a11_after_deduplication", audit.after_deduplication)
+on_copies("a10_stage_counts", audit.stage_counts_of)
+on_copies("a11_after_deduplication", audit.after_deduplication_of)
 on_lines("a12_revenue_check", audit.revenue_check)
 on_lines("a13_output_check", audit.output_check)
 on_lines("a14_window_summary", lambda q: audit.window_summary(q, LATE))
@@ -231,7 +235,7 @@ on_lines("a14_window_summary", lambda q: audit.window_summary(q, LATE))
 # ---------------------------------------------------------------- cleaning, windows, explorer
 
 on_raw("c1_fill_descriptions", cleaning.fill_descriptions)
-on_raw("c2_drop_duplicates", lambda raw: cleaning.drop_exact_duplicates(cleaning.fill_descriptions(raw)))
+on_copies("c2_drop_duplicates", cleaning.distinct_lines)
 on_raw("c3_flag_cancellations", cleaning.flag_cancellations)
 on_raw("c4_c5_qualifying_filter", cleaning.qualifying)
 on_lines("c6_observation_window", lambda q: cohort.observation_lines(q, LATE))

@@ -43,3 +43,15 @@ def test_cleaned_columns_are_in_order(raw_lines):
     from cohortspark.config import QUALIFIED_COLUMNS
 
     assert set(cleaning.clean(raw_lines({})).columns) == set(QUALIFIED_COLUMNS)
+
+
+def test_one_table_of_copies_gives_all_counts_of_duplicates(raw_lines):
+    odd = [{}, {}, {"Description": None}, {"Description": None}, {"Description": "Unknown"}, {"CustomerID": None}, {"Quantity": 7}]
+    for rows in (odd, odd[:1], [{"Description": None}] * 3, []):
+        df = raw_lines(*rows) if rows else raw_lines({}).limit(0)
+        copies = cleaning.line_copies(df)
+        assert audit.duplicates_of(copies).collect() == audit.duplicate_rows(df).collect()
+        filled = cleaning.drop_exact_duplicates(cleaning.fill_descriptions(df))
+        assert cleaning.distinct_lines(copies).columns == filled.columns
+        assert sorted(map(str, cleaning.distinct_lines(copies).collect())) == sorted(map(str, filled.collect()))
+        assert audit.stage_counts(df).first()["deduplicated_rows"] == filled.count()

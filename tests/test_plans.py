@@ -82,3 +82,10 @@ def test_country_join_needs_no_extra_shuffle(spark):
 def test_category_tables_have_no_shuffle_by_category(spark):
     plan = physical(reports.segment_inactivity(order_pipeline(spark, SF_DIR).customers()))
     assert "hashpartitioning" not in plan
+
+
+def test_questions_about_duplicates_shuffle_no_lines(spark):
+    p = order_pipeline(spark, SF_DIR)
+    for build in (audit.duplicates_of, audit.stage_counts_of, audit.after_deduplication_of, cleaning.distinct_lines):
+        plan = physical(build(p.copies()))
+        assert "hashpartitioning" not in plan
