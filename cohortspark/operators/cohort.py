@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.config import LABEL, Windows
@@ -22,43 +22,51 @@ def is_eligible(windows: Windows) -> F.Column:
     return (F.col("invoices") >= windows.min_invoices) & (elapsed_days("first", "last") >= windows.min_span_days)
 
 
-def _histories(qualified: DataFrame, windows: Windows) -> DataFrame:
-    """Per customer: lines in all, and invoices and ends of the observation window."""
-    seen = in_observation(windows)
-    when = F.when(seen, F.col("InvoiceDate"))
-    return qualified.groupBy("CustomerID").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.countDistinct(F.when(seen, F.col("InvoiceNo"))).alias("invoices"),
-        F.min(when).alias("first"),
-        F.max(when).alias("last"),
-    )
-
-
 def eligible_customers(qualified: DataFrame, windows: Windows) -> DataFrame:
     """Ids of eligible customers, judged on the observation window only."""
     observed = observation_lines(qualified, windows).filter(F.col("CustomerID").isNotNull())
-    return _histories(observed, windows).filter(is_eligible(windows)).select("CustomerID")
+    histories = observed.groupBy("CustomerID").agg(
+        F.countDistinct("InvoiceNo").alias("invoices"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")
+    )
+    return histories.filter(is_eligible(windows)).select("CustomerID")
 
 
-# A customer with more than this share of all lines is heavy; there can be at most 1 / share of them.
-HEAVY_SHARE = 0.001
+# Lines of a customer are placed in up to this many slices by their invoice, whatever the size of the table.
+SLICES = 1024
+SLICE = "_slice"
 
 
-def lines_of_eligible(qualified: DataFrame, windows: Windows, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def with_slice(lines: DataFrame) -> DataFrame:
+    """Adds the slice of each line's invoice, unless the table was stored with it. An invoice has one slice."""
+    if SLICE in lines.columns:
+        return lines
+    return lines.withColumn(SLICE, F.pmod(F.xxhash64("InvoiceNo"), F.lit(SLICES)).cast("int"))
+
+
+def lines_of_eligible(qualified: DataFrame, windows: Windows) -> DataFrame:
     """All lines of eligible customers, later ones included.
 
-    Lines of heavy customers are kept by a filter on their few ids and are not shuffled, so no task of the join
-    gets a customer with a large part of the table. All other lines meet the ids in a semi join.
+    Customers are met slice by slice: distinct invoices add up over the slices, as an invoice has one, and the verdict
+    goes back to the slices that occur, of which there are no more than invoices. So a customer with a large part of
+    all lines is divided among many tasks without being looked for, and nothing runs while the plan is built. Of a
+    table that is stored by customer and slice (`Pipeline.by_customer`) no line is shuffled.
     """
-    known = qualified.filter(F.col("CustomerID").isNotNull())
-    histories = _histories(known, windows).withColumn("eligible", F.coalesce(is_eligible(windows), F.lit(False)))
-    limit = known.count() * heavy_share
-    heavy = {r["CustomerID"]: r["eligible"] for r in histories.filter(F.col("lines") > limit).collect()}
-    is_heavy = F.col("CustomerID").isin(list(heavy)) if heavy else F.lit(False)
-    ids = histories.filter(F.col("eligible") & ~is_heavy).select("CustomerID")
-    others = known.filter(~is_heavy).join(ids, "CustomerID", "left_semi").select(qualified.columns)
-    kept = [c for c, eligible in heavy.items() if eligible]
-    return others.unionAll(qualified.filter(F.col("CustomerID").isin(kept))) if kept else others
+    known = with_slice(qualified).filter(F.col("CustomerID").isNotNull())
+    seen = in_observation(windows)
+    when = F.when(seen, F.col("InvoiceDate"))
+    slices = known.groupBy("CustomerID", SLICE).agg(
+        F.countDistinct(F.when(seen, F.col("InvoiceNo"))).alias("_invoices"), F.min(when).alias("_first"), F.max(when).alias("_last")
+    )
+    customer = Window.partitionBy("CustomerID")
+    histories = slices.select(
+        "CustomerID",
+        SLICE,
+        F.sum("_invoices").over(customer).alias("invoices"),
+        F.min("_first").over(customer).alias("first"),
+        F.max("_last").over(customer).alias("last"),
+    )
+    eligible = histories.filter(is_eligible(windows)).select("CustomerID", SLICE)
+    return known.join(eligible, ["CustomerID", SLICE], "left_semi").select([c for c in qualified.columns if c != SLICE])
 
 
 def inactivity_label(qualified: DataFrame, customers: DataFrame, windows: Windows) -> DataFrame:

@@ -93,6 +93,18 @@ def labelled_features(qualified: DataFrame, windows: Windows) -> DataFrame:
     return _as_features(summary, windows, LABEL).join(country, "CustomerID", "left")
 
 
+def labelled_behaviour(lines: DataFrame, windows: Windows) -> DataFrame:
+    """The nine numbers for every customer with a line up to the snapshot, and the label of eligible ones, else null.
+
+    The same rows as `attach_label` of `behaviour` and `inactivity_label`, from one read of the lines and without a join.
+    """
+    seen, later = in_observation(windows), in_future(windows)
+    known = lines.filter(F.col("CustomerID").isNotNull() & (seen | later))
+    summary = _summary(known, seen, F.count_if(later).alias("later_lines")).filter(F.col("first").isNotNull())
+    label = F.when(is_eligible(windows), F.when(F.col("later_lines") > 0, 0).otherwise(1))
+    return _as_features(summary.withColumn(LABEL, label), windows, LABEL)
+
+
 def customer_table(labelled: DataFrame) -> DataFrame:
     """The 17-column customer table. `labelled` is read several times, so it should be a stored table."""
     return add_rfm_scores(labelled).select(*FEATURE_COLUMNS)

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.config import Windows
-from cohortspark.operators import checks, model, weights
+from cohortspark.operators import checks, cohort, model, weights
 from cohortspark.operators.cleaning import clean, line_copies
 from cohortspark.operators.features import customer_table, labelled_features
 from cohortspark.operators.insights import enrich
@@ -103,6 +103,31 @@ class Pipeline:
         ranged = lines.repartitionByRange(parts, "InvoiceDate", *tie).sortWithinPartitions("InvoiceDate")
         return tables.write_qualified(ranged, path)
 
+    def by_customer(self, buckets: int | None = None) -> DataFrame:
+        """The qualified lines once more, bucketed by customer and slice of the invoices, beside the layout by date.
+
+        Written with one even shuffle, as a customer with many invoices has many slices; one file a bucket. Joins and
+        counts by customer and slice then shuffle no line. There are as many buckets as the session has shuffle
+        partitions when nothing else is said.
+        """
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        stage, keys = f"by_customer_{buckets}", ("CustomerID", cohort.SLICE)
+        table = "lines_" + hashlib.sha1(self.path(stage, False).encode()).hexdigest()[:12]
+
+        def write(lines, path):
+            placed = lines.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path)
+            placed.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+        def read(spark, path):
+            if not spark.catalog.tableExists(table):  # the files are from another session
+                found = spark.read.parquet(path).schema
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found)
+                clustered = f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS"
+                spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {clustered} LOCATION '{path}'")
+            return spark.table(table)
+
+        return self.stage(stage, lambda: cohort.with_slice(self.qualified()), read, write, with_windows=False)
+
     def labelled(self) -> DataFrame:
         """Features and labels before scoring; stored, as scoring reads it several times."""
         return self.stage("labelled", lambda: labelled_features(self.qualified(), self.windows))

@@ -45,6 +45,10 @@ def on_lines(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder).qualified())
 
 
+def on_sliced(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder).by_customer())
+
+
 def on_customers(name: str, build: Callable[[DataFrame], DataFrame], windows=LATE) -> None:
     QUERIES[name] = lambda spark, folder: build(order_pipeline(spark, folder, windows).customers())
 
@@ -267,7 +271,7 @@ on_customers("c15_scatter_recency_frequency", lambda t: reports.scatter(t, "Rece
 
 # ---------------------------------------------------------------- joins
 
-on_lines("j1_lines_of_eligible", lambda q: cohort.lines_of_eligible(q, LATE))
+on_sliced("j1_lines_of_eligible", lambda q: cohort.lines_of_eligible(q, LATE))
 on_lines("j2_active_months", lambda q: features.behaviour(q, LATE).select("CustomerID", "ActiveMonths"))
 
 
@@ -278,6 +282,9 @@ def _(spark, folder):
     return features.attach_label(features.behaviour(lines, LATE), labels)
 
 
+on_sliced("j5_labelled_behaviour", lambda q: features.labelled_behaviour(q, LATE))
+
+
 @query("j6_model_rows")
 def _(spark, folder):
     p = order_pipeline(spark, folder)

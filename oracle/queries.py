@@ -224,6 +224,7 @@ def all_sql() -> dict[str, str]:
     sql["j5_attach_label"] = w(
         ["beh", "lab"], "SELECT beh.*, Churn_90D FROM beh LEFT JOIN lab USING (CustomerID)"
     )
+    sql["j5_labelled_behaviour"] = sql["j5_attach_label"]
     sql["j6_model_rows"] = w(
         ["lf"], f"SELECT CustomerID, {', '.join(PREDICTORS)}, Churn_90D FROM lf WHERE Churn_90D IS NOT NULL"
     )

@@ -80,20 +80,27 @@ def test_lines_of_eligible_include_later_ones(lines):
     df = lines(
         purchase(1, "a", "2011-01-01"), purchase(1, "b", "2011-03-01"), purchase(1, "c", "2011-12-05"), purchase(2, "d", "2011-01-01")
     )
-    for share in (0.001, 0.3, 1.0):
-        kept = cohort.lines_of_eligible(df, RETAIL, share)
+    for table in (df, cohort.with_slice(df)):
+        kept = cohort.lines_of_eligible(table, RETAIL)
         assert kept.columns == df.columns
         assert sorted(r["InvoiceNo"] for r in kept.collect()) == ["a", "b", "c"]
 
 
-def test_heavy_customers_are_not_shuffled(lines):
-    """Customer 1 has most lines: the join's input excludes it by a filter."""
-    rows = [purchase(1, f"a{i}", f"2011-0{1 + i % 8}-01") for i in range(50)]
-    df = lines(*rows, *[purchase(c, f"{c}{d}", d) for c in range(2, 40) for d in ("2011-01-01", "2011-03-01")])
-    kept = cohort.lines_of_eligible(df, RETAIL, 0.1)
-    assert kept.count() == 50 + 2 * 38
-    plan = kept._jdf.queryExecution().optimizedPlan().toString()
-    assert "NOT (CustomerID" in plan and "Union" in plan
+def test_heavy_customer_is_divided(spark, lines):
+    """Customer 1 has most lines; their join keys are many, and every line is kept once, repeats included."""
+    rows = [purchase(1, f"a{i}", f"2011-0{1 + i % 8}-01") for i in range(500)]
+    df = lines(*rows, *rows, *[purchase(c, f"{c}{d}", d) for c in range(2, 40) for d in ("2011-01-01", "2011-03-01")])
+    assert cohort.lines_of_eligible(df, RETAIL).count() == 1000 + 2 * 38
+    assert cohort.with_slice(df).filter("CustomerID = 1").select(cohort.SLICE).distinct().count() > 300
+
+
+def test_lines_without_customer_invoice_or_date(lines):
+    """Lines without a customer go; without an invoice or a date they belong to their customer but count for nothing."""
+    whole = [purchase(1, "a", "2011-01-01"), purchase(1, "b", "2011-03-01")]
+    odd = [purchase(None, "a", "2011-01-01"), purchase(1, None, "2011-04-01"), purchase(1, "c", None), purchase(2, None, None)]
+    kept = cohort.lines_of_eligible(lines(*whole, *odd), RETAIL).collect()
+    assert sorted(str(r["InvoiceNo"]) for r in kept) == ["None", "a", "b", "c"]
+    assert cohort.lines_of_eligible(lines(), RETAIL).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -5,7 +5,7 @@ import re
 import pytest
 from sample import SF_DIR
 
-from cohortspark.operators import audit, cleaning, features, scoring
+from cohortspark.operators import audit, cleaning, cohort, features, scoring
 from cohortspark.plans import reports
 from cohortspark.plans.catalog import order_pipeline
 from cohortspark.plans.queries import QUERIES
@@ -89,3 +89,50 @@ def test_questions_about_duplicates_shuffle_no_lines(spark):
     for build in (audit.duplicates_of, audit.stage_counts_of, audit.after_deduplication_of, cleaning.distinct_lines):
         plan = physical(build(p.copies()))
         assert "hashpartitioning" not in plan
+
+
+def without_broadcast(spark, build) -> str:
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return physical(build())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_by_customer_are_not_shuffled(spark):
+    """The join's lines come from their buckets; what is shuffled has one row for each customer and slice."""
+    lines = order_pipeline(spark, SF_DIR).by_customer()
+    plan = without_broadcast(spark, lambda: cohort.lines_of_eligible(lines, LATE))
+    exchanges = [step for step in plan.split("\n") if "Exchange hashpartitioning" in step]
+    assert len(exchanges) == 2 and plan.count("Bucketed: true") == 2
+    kept = plan.split("SortMergeJoin")[1].split("FileScan")[0]
+    assert "Exchange" not in kept
+
+
+def test_nothing_runs_while_the_join_of_lines_is_built(spark):
+    lines = order_pipeline(spark, SF_DIR).by_customer()
+    spark.sparkContext.setJobGroup("built", "j1")
+    try:
+        cohort.lines_of_eligible(lines, LATE)
+        features.labelled_behaviour(lines, LATE)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_labels_come_from_one_read(spark):
+    lines = order_pipeline(spark, SF_DIR).by_customer()
+    plan = without_broadcast(spark, lambda: features.labelled_behaviour(lines, LATE))
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_stored_buckets_are_found_again(spark):
+    """Without the table's name, as in a later session, the same files give the same table."""
+    p = order_pipeline(spark, SF_DIR)
+    rows = p.by_customer(4).count()
+    table = next(t.name for t in spark.catalog.listTables() if spark.table(t.name).inputFiles() == p.by_customer(4).inputFiles())
+    spark.sql(f"DROP TABLE {table}")
+    p._tables.pop("by_customer_4")
+    again = p.by_customer(4)
+    assert again.count() == rows == p.qualified().count()
+    assert "Bucketed: true" in without_broadcast(spark, lambda: cohort.lines_of_eligible(again, LATE))
