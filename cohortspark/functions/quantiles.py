@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
+from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,11 +22,16 @@ DISTINCT_LIMIT = 2_000_000
 BINS = 1_024
 
 
+def counts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
+    """All rows, and the non-null rows of each column."""
+    df = _numbers(df, columns)
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(columns)}
+
+
 def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Non-null rows of each column."""
-    df = _numbers(df, columns)
-    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    return counts(df, columns)[1]
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,8 +69,7 @@ def order_statistics(
     by_kind: dict[str, dict[str, Sequence[int]]] = {}
     for c, wanted in small.items():
         by_kind.setdefault(_kind(df, c), {})[c] = wanted
-    for kind, some in by_kind.items():
-        found.update(_select_small(df, some, kind))
+    found.update(_select_small(df, by_kind) if by_kind else {})
     return found
 
 
@@ -76,8 +81,23 @@ def _kind(df: DataFrame, column: str) -> str:
     return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else kind.simpleString()
 
 
-def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]], kind: str) -> dict[str, dict[int, tuple]]:
-    """Count per distinct value of all columns of one type in one job, cumulate, keep the values that cover a wanted rank."""
+def _select_small(df: DataFrame, by_kind: Mapping[str, Mapping[str, Sequence[int]]]) -> dict[str, dict[int, tuple]]:
+    """Count per distinct value of all columns, cumulate, keep the values that cover a wanted rank. One job for all."""
+    parts = [_covering(df, ranks, kind, f"v{i}") for i, (kind, ranks) in enumerate(by_kind.items())]
+    covering = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    columns = [list(ranks) for ranks in by_kind.values()]
+    found: dict[str, dict[int, tuple]] = {c: {} for some in columns for c in some}
+    for row in covering.collect():
+        kind = row["kind"]
+        c = columns[kind][row["c"]]
+        for r in list(by_kind.values())[kind][c]:
+            if row["below"] <= r < row["below"] + row["equal"]:
+                found[c][r] = (row[f"v{kind}"], row["below"], row["equal"])
+    return found
+
+
+def _covering(df: DataFrame, ranks: Mapping[str, Sequence[int]], kind: str, value: str) -> DataFrame:
+    """The values of columns of one type that cover a wanted rank, with the rows below and equal."""
     columns = list(ranks)
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast(kind).alias("v")) for i, c in enumerate(columns)])
     counted = (
@@ -87,13 +107,7 @@ def _select_small(df: DataFrame, ranks: Mapping[str, Sequence[int]], kind: str)
     placed = counted.withColumn("below", F.sum("equal").over(running) - F.col("equal"))
     wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("bigint") for r in ranks[c]]) for c in columns]), F.col("c") + 1)
     covers = F.exists(wanted, lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("equal")))
-    found = {c: {} for c in columns}
-    for row in placed.filter(covers).collect():
-        c = columns[row["c"]]
-        for r in ranks[c]:
-            if row["below"] <= r < row["below"] + row["equal"]:
-                found[c][r] = (row["v"], row["below"], row["equal"])
-    return found
+    return placed.filter(covers).select(F.lit(int(value[1:])).alias("kind"), "c", "below", "equal", F.col("v").alias(value))
 
 
 def _bin(v: Column, low, high, bins: int) -> Column:
@@ -159,6 +173,25 @@ def _select_large(df, column, ranks, rows, distinct_limit, bins) -> dict[int, tu
     return found
 
 
+def quantile_places(rows: int, probabilities: Sequence) -> list[Fraction]:
+    """The 0-based places of quantiles among `rows` ordered values; a place between two ranks lies between their values."""
+    return [Fraction(str(p)) * (rows - 1) for p in probabilities] if rows else []
+
+
+def ranks_around(places: Sequence[Fraction]) -> list[int]:
+    return sorted({r for x in places for r in (floor(x), floor(x) + (x.denominator > 1))})
+
+
+def at_places(found: Mapping[int, tuple], places: Sequence[Fraction]) -> list[float]:
+    """Values at the places from the order statistics around them, linearly interpolated."""
+    edges = []
+    for x in places:
+        low = float(found[floor(x)][0])
+        high = float(found[floor(x) + (x.denominator > 1)][0])
+        edges.append(low if low == high else low + (high - low) * float(x - floor(x)))
+    return edges
+
+
 def quantiles(
     df: DataFrame,
     probabilities: Mapping[str, Sequence],
@@ -167,23 +200,7 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; None for a column without values."""
     sizes = column_sizes(df, list(probabilities))
-    places = {}
-    for c, ps in probabilities.items():
-        rows = sizes[c]
-        places[c] = [Fraction(str(p)) * (rows - 1) for p in ps] if rows else []
-    ranks = {
-        c: sorted({r for x in xs for r in (floor(x), floor(x) + (x.denominator > 1))}) for c, xs in places.items() if xs
-    }
+    places = {c: quantile_places(sizes[c], ps) for c, ps in probabilities.items()}
+    ranks = {c: ranks_around(xs) for c, xs in places.items() if xs}
     found = order_statistics(df, ranks, sizes, distinct_limit, bins) if ranks else {}
-    result = {}
-    for c, ps in probabilities.items():
-        if not places[c]:
-            result[c] = [None] * len(ps)
-            continue
-        edges = []
-        for x in places[c]:
-            low = float(found[c][floor(x)][0])
-            high = float(found[c][floor(x) + (x.denominator > 1)][0])
-            edges.append(low if low == high else low + (high - low) * float(x - floor(x)))
-        result[c] = edges
-    return result
+    return {c: at_places(found[c], places[c]) if places[c] else [None] * len(ps) for c, ps in probabilities.items()}

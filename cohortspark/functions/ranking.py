@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,34 +14,60 @@ from cohortspark.session import stored
 # ---------------------------------------------------------------- cut points of a rank
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Wanted 1-based ranks in the order `value`, then the tie column ascending, among `rows` rows with a value.
+
+    Ranks below 1 have no row and ranks past the end mean the last row.
+    """
+
+    value: str
+    ranks: Sequence[int]
+    rows: int
+    ascending: bool = True
+
+    @property
+    def places(self) -> dict[int, int]:
+        """0-based place in the ascending values for each rank that has a row."""
+        kept = {min(r, self.rows) for r in self.ranks}
+        return {r: (r - 1 if self.ascending else self.rows - r) for r in sorted(kept) if r >= 1}
+
+
+def cut_pairs(df: DataFrame, wanted: Mapping[str, Cuts], found: Mapping[str, dict], tie: str) -> dict[str, list[tuple | None]]:
+    """The (value, tie) pair at each wanted rank, by name. `found` has the order statistics of each value column at the
+    places of the cuts. One selection finds all ties within all values together; only the pairs reach the driver."""
+    within: dict[tuple, dict[int, int]] = {}
+    for name, cuts in wanted.items():
+        for r, p in cuts.places.items():
+            v, below, equal = found[cuts.value][p]
+            before = below if cuts.ascending else cuts.rows - below - equal
+            within.setdefault((name, v), {})[r] = r - before - 1
+    groups = {f"_t{i}": key for i, key in enumerate(within)}
+    ties = [F.when(F.col(wanted[name].value) == F.lit(v), F.col(tie)).alias(g) for g, (name, v) in groups.items()]
+    chosen = order_statistics(df.select(*ties), {g: list(within[key].values()) for g, key in groups.items()}) if groups else {}
+    pairs = {
+        (name, r): (v, chosen[g][p][0]) for g, (name, v) in groups.items() for r, p in within[name, v].items()
+    }
+    return {name: [pairs.get((name, min(r, cuts.rows))) for r in cuts.ranks] for name, cuts in wanted.items()}
+
+
 def rank_cuts(
-    df: DataFrame, value: str, ranks: Sequence[int], ascending: bool = True, tie: str = "CustomerID"
+    df: DataFrame,
+    value: str,
+    ranks: Sequence[int],
+    ascending: bool = True,
+    tie: str = "CustomerID",
+    sizes: Mapping[str, int] | None = None,
 ) -> list[tuple | None]:
     """The (value, tie) pair that holds each 1-based rank in the order `value`, then `tie` ascending.
 
     Ranks below 1 give None and ranks past the end give the last row. Only these pairs reach the driver.
     """
-    sizes = column_sizes(df, [value])
-    rows = sizes[value]
-    if not rows:
-        return [None for _ in ranks]
-    kept = [min(r, rows) for r in ranks]
-    place = {r: (r - 1 if ascending else rows - r) for r in kept if r >= 1}
-    found = order_statistics(df, {value: list(place.values())}, sizes)[value] if place else {}
-    within: dict = {}
-    for r, p in place.items():
-        v, below, equal = found[p]
-        before = below if ascending else rows - below - equal
-        within.setdefault(v, {})[r] = r - before - 1
-    groups = {f"_t{i}": v for i, v in enumerate(within)}
-    ties = df.select(*[F.when(F.col(value) == F.lit(v), F.col(tie)).alias(g) for g, v in groups.items()])
-    wanted = {g: list(within[v].values()) for g, v in groups.items()}
-    chosen = order_statistics(ties, wanted) if groups else {}
-    pairs = {}
-    for g, v in groups.items():
-        for r, p in within[v].items():
-            pairs[r] = (v, chosen[g][p][0])
-    return [pairs.get(r) for r in kept]
+    sizes = sizes or column_sizes(df, [value])
+    cuts = Cuts(value, ranks, sizes[value], ascending)
+    places = list(cuts.places.values())
+    found = order_statistics(df, {value: places}, sizes) if places else {}
+    return cut_pairs(df, {value: cuts}, found, tie)[value]
 
 
 def at_or_before(value: str, cut: tuple | None, ascending: bool = True, tie: str = "CustomerID") -> Column:

@@ -137,3 +137,19 @@ def test_notebook_band_names(longest, names):
 def test_frequency_bands_are_open_above(values):
     df = values("Frequency", [2, 3, 4, 10, 11, 20, 21], "bigint").orderBy("CustomerID")
     assert [r[0] for r in df.select(bands.frequency_band()).collect()] == ["2–3", "2–3", "4–6", "7–10", "11–20", "11–20", ">20"]
+
+
+def test_columns_of_both_rules_at_once(spark):
+    """Whole numbers by rank, money by bins, a column without values and one with gaps, from the same selections."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 3)), float(rng.normal()), None, float(i % 2) if i % 3 else None) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "CustomerID bigint, few int, money double, none double, gaps double")
+    columns = {"A": ("few", True), "B": ("few", False), "C": ("money", True), "D": ("none", True), "E": ("gaps", False)}
+    together = {r["CustomerID"]: r for r in scoring.quintile_scores(df, columns).collect()}
+    for name, (value, ascending) in columns.items():
+        alone = scoring.quintile_scores(df, {name: (value, ascending)}).collect()
+        assert all(together[r["CustomerID"]][name] == r[name] for r in alone)
+    placed = sorted(rows, key=lambda r: (r[1], r[0]))
+    for rank, r in enumerate(placed, 1):
+        assert together[r[0]]["A"] == -(-5 * rank // (len(rows) + 1))
+    assert {together[r[0]]["D"] for r in rows} == {None}
