@@ -3,7 +3,8 @@
 The network is a bidirectional LSTM over characters with a conditional random field on top, trained in numpy from
 spans that the patterns label (and from altered forms of them). Texts are read in overlapping windows; each
 character takes its label from the window in which it is furthest from an edge, and spans are put together over
-the whole text. A span has a digit or an @ by definition, so windows without either need not be decoded.
+the whole text. Every window is scored. Viterbi's search is left out only where the scores prove that the path without
+any span is the best one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SIGN = re.compile(r"[0-9@]")
-LENGTH, STRIDE = 64, 32
-EMBEDDED, HIDDEN = 12, 20
+# An address with its signs in words; a bare "at" needs a "dot" in words as well.
+WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+( ?[(\[]at[)\]] ?[A-Za-z0-9-]+((\.| dot )[A-Za-z0-9-]+)+| at [A-Za-z0-9-]+( dot [A-Za-z0-9-]+)+)")
+LENGTH, STRIDE = 256, 224
+EXAMPLE = 128  # characters of the windows that are learnt from
+WINDOWS = 512  # scored together
+EMBEDDED, HIDDEN = 12, 12
 LETTERS = 130  # ASCII, other letters, other characters
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
@@ -85,10 +90,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def codes(text: str) -> np.ndarray:
     """A small number for each character; 0 is kept for padding."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    plain = points < 128
-    letters = np.fromiter((c.isalpha() for c in text), bool, len(text)) if not plain.all() else plain
-    return np.where(plain, np.maximum(points, 1), np.where(letters, 128, 129)).astype(np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.where(points < 128, np.maximum(points, 1), 129).astype(np.uint8)
+    others, place = np.unique(points[points >= 128], return_inverse=True)
+    if len(others):
+        out[points >= 128] = np.array([128 if chr(p).isalpha() else 129 for p in others], np.uint8)[place]
+    return out
 
 
 def tags(length: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -141,19 +148,59 @@ class Tagger:
         out = both @ self.weights["out"] + self.weights["out_bias"]
         return (out, x, both, f_trace, b_trace) if keep else out
 
+    def quick_scores(self, letters: np.ndarray) -> np.ndarray:
+        """The same as `scores`, with steps before windows, for many windows and without what training keeps."""
+        steps, out = np.ascontiguousarray(letters.T), self.weights["out_bias"]
+        count, n = steps.shape
+        half = np.ones(4 * HIDDEN, np.float32)
+        half[: 3 * HIDDEN] = 0.5  # the gates' sigmoid is (1 + tanh(x / 2)) / 2
+        for side, part in (("f", slice(None, HIDDEN)), ("b", slice(HIDDEN, None))):
+            into = (self.weights["embedding"] @ self.weights[f"{side}_in"] + self.weights[f"{side}_bias"]) * half
+            rec = np.ascontiguousarray((self.weights[f"{side}_rec"] * half).T)
+            h, c = np.zeros((HIDDEN, n), into.dtype), np.zeros((HIDDEN, n), into.dtype)
+            hidden = np.empty((count, HIDDEN, n), into.dtype)
+            for t in range(count) if side == "f" else range(count - 1, -1, -1):
+                z = rec @ h
+                z += into[steps[t]].T
+                np.tanh(z, out=z)
+                gates = z[: 3 * HIDDEN]
+                gates += 1
+                gates *= 0.5
+                c *= z[HIDDEN : 2 * HIDDEN]
+                c += z[:HIDDEN] * z[3 * HIDDEN :]
+                h = np.multiply(z[2 * HIDDEN : 3 * HIDDEN], np.tanh(c), out=hidden[t])
+            out = out + hidden.transpose(0, 2, 1) @ self.weights["out"][part]
+        return out
+
     def decode(self, letters: np.ndarray) -> np.ndarray:
         """The best tag sequence of each window under scores and transitions."""
-        scores, moves = self.scores(letters), self.weights["moves"]
-        n, steps, _ = scores.shape
-        best, back = scores[:, 0], np.empty((n, steps, TAGS), np.int8)
+        return self._viterbi(self.quick_scores(letters))
+
+    def marked(self, letters: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(row, best tag sequence) of the windows whose best sequence has a span.
+
+        A path with a span differs from the one without by what its characters gain over tag 0, and by one transition
+        for each of them and one more for each span. Where no character's gain makes up for two transitions of the
+        largest gain, the path without spans is the best, and no search is needed.
+        """
+        scores, moves = self.quick_scores(letters), self.weights["moves"]
+        gain = max(0.0, float((moves - moves[0, 0]).max()))
+        open_rows = np.flatnonzero(((scores[:, :, 1:].max(axis=2) - scores[:, :, 0]) + 2 * gain >= 0).any(axis=0))
+        paths = self._viterbi(scores[:, open_rows])
+        return [(int(row), path) for row, path in zip(open_rows, paths) if path.any()]
+
+    def _viterbi(self, scores: np.ndarray) -> np.ndarray:
+        moves = self.weights["moves"]
+        steps, n, _ = scores.shape
+        best, back = scores[0], np.empty((steps, n, TAGS), np.int8)
         for t in range(1, steps):
             ways = best[:, :, None] + moves[None]
-            back[:, t] = ways.argmax(axis=1)
-            best = ways.max(axis=1) + scores[:, t]
+            back[t] = ways.argmax(axis=1)
+            best = ways.max(axis=1) + scores[t]
         out = np.empty((n, steps), np.int64)
         out[:, -1] = best.argmax(axis=1)
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
+            out[:, t - 1] = back[t, np.arange(n), out[:, t]]
         return out
 
     def _crf(self, scores: np.ndarray, wanted: np.ndarray):
@@ -221,7 +268,7 @@ def train(windows: list[str], labels: list[np.ndarray], epochs: int = 8, rate: f
         weights[f"{side}_bias"] = np.zeros(4 * HIDDEN, np.float32)
         weights[f"{side}_bias"][HIDDEN : 2 * HIDDEN] = 1
     tagger = Tagger(weights)
-    letters, wanted = np.zeros((len(windows), LENGTH), np.int64), np.zeros((len(windows), LENGTH), np.int64)
+    letters, wanted = np.zeros((len(windows), EXAMPLE), np.int64), np.zeros((len(windows), EXAMPLE), np.int64)
     for row, (text, tag) in enumerate(zip(windows, labels)):
         letters[row, : len(text)], wanted[row, : len(text)] = codes(text), tag
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
@@ -242,7 +289,7 @@ def train(windows: list[str], labels: list[np.ndarray], epochs: int = 8, rate: f
 
 def altered(window: str, spans: list[tuple[str, int, int]], rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     """The window with one span written as the patterns don't know it, still labelled: a phone number without its
-    country code, a number in groups with dots."""
+    country code, a number in groups with dots, an address with its signs in words."""
     for k, (kind, start, end) in enumerate(spans):
         found = window[start:end]
         if kind == "phone" and start >= 0 and end <= len(window):
@@ -251,13 +298,17 @@ def altered(window: str, spans: list[tuple[str, int, int]], rng: random.Random)
             sign = rng.choice([".", "_", "  "])
             digits = digits_of(found)
             new = sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        elif kind == "email" and 0 <= start and end <= len(window):
+            sign, point = rng.choice([(" at ", " dot "), (" (at) ", " dot "), (" [at] ", "."), ("(at)", ".")])
+            name, host = found.split("@")
+            new = name + sign + host.replace(".", point)
         else:
             continue
         window = window[:start] + new + window[end:]
         grown = len(new) - len(found)
         moved = [(a, s + grown * (s >= end), e + grown * (s >= end)) for a, s, e in spans]
         moved[k] = (kind, start, start + len(new))
-        window = window[:LENGTH]
+        window = window[:EXAMPLE]
         return window, [(a, s, min(e, len(window))) for a, s, e in moved if s < len(window)]
     return window, spans
 
@@ -268,7 +319,7 @@ def fit(
     """A tagger from spans that the patterns label in a bounded sample; None if no text has a digit or an @.
 
     The sample: about `most_docs` documents with a digit or @, drawn by a hash of id and text; of each the first
-    eight windows around such a sign. Only windows are brought together, and `most_windows` reach the driver.
+    window and the first eight around such a sign. Only windows are brought together, and `most_windows` reach the driver.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     share = int(10**12 * min(1.0, most_docs / max(1, rows.count())))
@@ -278,13 +329,13 @@ def fit(
         out = [[], [], [], []]
         for t in batch.column(0).to_pylist():
             spans, at, taken = base_spans(t), 0, 0
-            while taken < 8 and (sign := SIGN.search(t, at)):
-                start = max(0, sign.start() - 8 - (sign.start() * 7) % 33)
-                window = t[start : start + LENGTH]
+            while taken < 9 and (taken == 0 or (sign := SIGN.search(t, at))):
+                start = max(0, sign.start() - 8 - (sign.start() * 7) % (EXAMPLE // 2)) if taken else 0
+                window = t[start : start + EXAMPLE]
                 inside = [(k, s - start, e - start) for k, s, e in spans if s - start < len(window) and e > start]
                 for column, value in zip(out, (window, [k for k, _, _ in inside], [s for _, s, _ in inside], [e for *_, e in inside])):
                     column.append(value)
-                at, taken = start + LENGTH, taken + 1
+                at, taken = start + EXAMPLE if taken else 0, taken + 1
         return out
 
     schema = "t string, kinds array<string>, starts array<bigint>, ends array<bigint>"
@@ -302,35 +353,53 @@ def fit(
     return train(windows, labels)
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows of a text that have a digit or an @."""
-    out, last = [], max(0, -(-(len(text) - LENGTH) // STRIDE))
-    at = 0
-    for sign in SIGN.finditer(text):
-        p = sign.start()
-        first = max(at, -(-(p - LENGTH + 1) // STRIDE), 0)
-        for k in range(first, min(last, p // STRIDE) + 1):
-            out.append(k)
-        at = max(at, min(last, p // STRIDE) + 1)
-    return [k * STRIDE for k in out]
+def windows(text: str) -> np.ndarray:
+    """The codes of all windows of a text, one a row: they start every STRIDE characters, the last one holds the end."""
+    count = 1 + max(0, -(-(len(text) - LENGTH) // STRIDE))
+    padded = np.zeros((count - 1) * STRIDE + LENGTH, np.uint8)
+    padded[: len(text)] = codes(text)
+    return np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[::STRIDE]
+
+
+def window_batches(texts: list[str]):
+    """([(row, start)], codes) of the windows of all texts, WINDOWS at most together."""
+    places, pieces, held = [], [], 0
+    for row, text in enumerate(texts):
+        some = windows(text) if text else np.zeros((0, LENGTH), np.uint8)
+        at = 0
+        while at < len(some):
+            piece = some[at : at + WINDOWS - held]
+            places += [(row, (at + i) * STRIDE) for i in range(len(piece))]
+            pieces.append(piece)
+            at, held = at + len(piece), held + len(piece)
+            if held == WINDOWS:
+                yield places, np.concatenate(pieces)
+                places, pieces, held = [], [], 0
+    if held:
+        yield places, np.concatenate(pieces)
 
 
 def plausible(kind: str, text: str, start: int, end: int) -> bool:
     """The checks of the kind; besides, no letter or digit goes on at either end, an e-mail address has no blank
-    and a phone number more than digits."""
+    unless its signs are in words, and a phone number has more than digits."""
     found = text[start:end]
-    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or not valid(kind, found):
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    if not valid(kind, found) and not (kind == "email" and WRITTEN.fullmatch(found)):
         return False
     if kind == "email":
-        return found.count("@") == 1 and not any(c.isspace() for c in found)
+        return WRITTEN.fullmatch(found) is not None or found.count("@") == 1 and not any(c.isspace() for c in found)
     return kind != "phone" or not found.isdigit() or found.startswith("00")
 
 
-def added_spans(text: str, starts: list[int], decoded: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the network, over the whole text, that pass the checks and touch no span of the patterns."""
+def added_spans(text: str, marked: list[tuple[int, np.ndarray]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of the network, over the whole text, that pass the checks and touch no span of the patterns.
+
+    `marked` has the start and the tags of the windows that have any; a character counts in one window only.
+    """
     margin = (LENGTH - STRIDE) // 2
     label: dict[int, int] = {}
-    for start, row in zip(starts, decoded):
+    for start, row in marked:
         low = 0 if start == 0 else margin
         high = LENGTH if start + LENGTH >= len(text) else LENGTH - margin
         for i in range(low, min(high, len(text) - start)):
@@ -356,20 +425,14 @@ def added_spans(text: str, starts: list[int], decoded: np.ndarray, base: list[tu
 def all_spans(tagger: Tagger | None, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
     """(kind, start, end, by pattern) of each text, in order of kind and start."""
     base = [base_spans(t) for t in texts]
-    starts = [window_starts(t) if tagger is not None else [] for t in texts]
-    every = [(row, s) for row, some in enumerate(starts) for s in some]
-    decoded: list[np.ndarray] = []
-    for i in range(0, len(every), 512):
-        letters = np.zeros((len(every[i : i + 512]), LENGTH), np.int64)
-        for k, (row, s) in enumerate(every[i : i + 512]):
-            window = texts[row][s : s + LENGTH]
-            letters[k, : len(window)] = codes(window)
-        decoded.extend(tagger.decode(letters))
-    out, at = [], 0
-    for t, some, known in zip(texts, starts, base):
-        more = added_spans(t, some, decoded[at : at + len(some)], known)
-        at += len(some)
-        both = [(*x, True) for x in known] + [(*x, False) for x in more]
+    marked: list[list] = [[] for _ in texts]
+    for places, letters in window_batches(texts) if tagger is not None else ():
+        for k, path in tagger.marked(letters):
+            row, start = places[k]
+            marked[row].append((start, path))
+    out = []
+    for t, some, known in zip(texts, marked, base):
+        both = [(*x, True) for x in known] + [(*x, False) for x in added_spans(t, some, known)]
         out.append(sorted(both, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
     return out
 
