@@ -5,8 +5,9 @@ is a key. Pivot distance tables then filter. Within a key, each fingerprint has
 random reference fingerprints; by the triangle inequality two tables that differ by more than the limit in any
 coordinate belong to fingerprints that differ by more, and the pair is discarded. Survivors are verified.
 
-`groups` is exact so. Near copies of texts, a similarity of 0.8 on five words, differ by more bits than three; for
-them `keep_one` takes keys of smallest hashes (`nearcopies`) and compares the shingle sets themselves.
+`groups` is exact so, and `keep_linked` keeps one row of each of its groups. Near copies of texts, a similarity of 0.8
+on five words, often differ by more bits than three; for them `keep_one`, another method, takes keys of smallest hashes
+(`nearcopies`) and compares the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm import nearcopies
@@ -241,6 +242,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _own_keys(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, str, str]:
+    """The rows with their id as a string that tells null from empty, and the digest of their text; the columns' names."""
+    own_d, own_k = free_names(docs, "_d", "_k")
+    keyed = docs.withColumns({
+        own_d: F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
+        own_k: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))),
+    })
+    return keyed, own_d, own_k
+
+
+def _first_rows(keyed: DataFrame, own_d: str, own_k: str, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that come first in each component; distinct: (node, first), found: (node, component) of linked nodes."""
+    kept_d, kept_k = free_names(keyed, "_kept_d", "_kept_k")
+    named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias(kept_d), F.col("first.k").alias(kept_k))
+    same = (F.col(own_d) == F.col(kept_d)) & (F.col(own_k) == F.col(kept_k))
+    chosen = keyed.join(kept, same, "left_semi")
+    return chosen.dropDuplicates([own_d, own_k]).drop(own_d, own_k)
+
+
+def first_row() -> Column:
+    """The order of rows (id, d, k) in a group: nulls last."""
+    return F.struct(F.isnull("id").alias("n"), "id", "d", "k")
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", crowd: int = nearcopies.CROWD) -> DataFrame:
     """One row of each group of near copies, with all its columns: that of the smallest id, nulls last.
 
@@ -248,19 +274,14 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cro
     Texts are not stored: the rows chosen are found again by id and digest, and of rows that repeat both exactly one
     stays. Null and empty texts are copies of each other. An empty table gives no row.
     """
-    own_d, own_k, kept_d, kept_k = free_names(docs, "_d", "_k", "_kept_d", "_kept_k")
-    keyed = docs.withColumns({
-        own_d: F.concat(F.when(F.isnull(id_column), F.lit("-")).otherwise(F.lit("=")), F.coalesce(F.col(id_column).cast("string"), F.lit(""))),
-        own_k: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))),
-    })
+    keyed, own_d, own_k = _own_keys(docs, id_column, text)
 
     def run(batch):
         return *batch.columns[:3], *zip(*[nearcopies.marks(five_words(t or "")) for t in batch.column(3).to_pylist()])
 
     schema = f"id {id_type(docs, id_column)}, d string, k binary, digest binary, n int, keys array<bigint>"
     rows = store(map_batches(keyed, [id_column, own_d, own_k, text], run, schema), "marked")
-    order = F.struct(F.isnull("id").alias("n"), "id", "d", "k")
-    distinct = rows.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = rows.groupBy("digest").agg(F.min(first_row()).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     distinct = store(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
 
     def sets(nodes: DataFrame) -> DataFrame:
@@ -272,11 +293,29 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", cro
         return map_batches(texts, ["node", "t"], hashed, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
 
     found = components(nearcopies.links(distinct, sets, components, crowd))
-    named = distinct.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.d").alias(kept_d), F.col("first.k").alias(kept_k))
-    same = (F.col(own_d) == F.col(kept_d)) & (F.col(own_k) == F.col(kept_k))
-    chosen = keyed.join(kept, same, "left_semi")
-    return chosen.dropDuplicates([own_d, own_k]).drop(own_d, own_k)
+    return _first_rows(keyed, own_d, own_k, distinct, found)
+
+
+def keep_linked(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3, crowd: int = CROWD
+) -> DataFrame:
+    """One row of each group that `groups` finds, with all its columns: that of the smallest id, nulls last.
+
+    Pivot tables filter and bits decide, as there. Fingerprints alone are stored and linked, a node for each distinct
+    one, so copies cost one partial minimum; texts are shuffled once, to meet the rows that are kept.
+    """
+    keyed, own_d, own_k = _own_keys(docs, id_column, text)
+
+    def run(batch):
+        bits = [fingerprint(t or "", size) for t in batch.column(3).to_pylist()]
+        return *batch.columns[:3], pa.array(np.array(bits, np.uint64).view(np.int64))
+
+    schema = f"id {id_type(docs, id_column)}, d string, k binary, bits bigint"
+    rows = map_batches(keyed, [id_column, own_d, own_k, text], run, schema)
+    distinct = rows.groupBy("bits").agg(F.min(first_row()).alias("first"))
+    distinct = store(distinct.withColumn("node", F.col("bits")), "distinct")
+    found = components(links(distinct.select("bits", "node"), limit, crowd))
+    return _first_rows(keyed, own_d, own_k, distinct, found)
 
 
 def groups(

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 
 import corpus_pipeline
@@ -43,3 +45,21 @@ def test_each_stage_does_its_work_on_what_the_last_one_kept(spark, small, docume
 def test_run_is_the_stages_in_a_row(spark, small):
     whole = corpus_pipeline.run(spark, small)
     assert whole.count() > 0 and "sequence_id" in whole.columns
+
+
+def test_near_copies_are_the_groups_of_the_fingerprints(spark, docs, small):
+    rows = [(7, "a b c d"), (3, "A B c d"), (None, "a b c d"), (9, "quite another text than that"), (5, None), (4, ""), (11, "x y z"), (11, "x y z")]
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50)}" for _ in range(400)]
+    rows += [(100 + i, " ".join(words[:j] + [f"x{i}"] + words[j:])) for i, j in enumerate(range(0, 400, 20))]
+    frame = docs(*rows)
+    best = {}
+    for r in simhash.groups(frame).collect():
+        best.setdefault(r.component_id, []).append(r.doc_id)
+    wanted = sorted(min(d for d in some if d is not None) for some in best.values())
+    kept = corpus_pipeline.near_copies(spark, frame, small)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == wanted
+    assert corpus_pipeline.near_copies(spark, frame.limit(0), small).count() == 0
+    unknown = corpus_pipeline.near_copies(spark, docs((None, "same text"), (None, "same text")), small).collect()
+    assert [(r.doc_id, r.text) for r in unknown] == [(None, "same text")]
