@@ -20,21 +20,23 @@ from cohortspark.operators import checks, cohort, model, weights
 from cohortspark.operators.cleaning import clean, line_copies
 from cohortspark.operators.features import customer_table, labelled_features
 from cohortspark.operators.insights import enrich
-from cohortspark.session import shared_dir
+from cohortspark.session import bound_tasks, shared_dir
 from cohortspark.sources import tables
 
 
-def fingerprint(frame: DataFrame) -> str:
-    """Tells apart tables by their plan, columns, and the names, sizes and times of the files that they read."""
+def fingerprint(frame: DataFrame) -> tuple[str, int]:
+    """Tells apart tables by their plan, columns, and the names, sizes and times of the files that they read; and the
+    size of these files together."""
     jvm, conf = frame.sparkSession.sparkContext._jvm, frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
     files = set(frame.inputFiles())
-    seen = []
+    seen, size = [], 0
     for folder in sorted({f.rpartition("/")[0] for f in files}):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         for status in path.getFileSystem(conf).listStatus(path):
             seen.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+            size += status.getLen() if str(status.getPath().toUri()) in files or str(status.getPath()) in files else 0
     facts = [str(frame.semanticHash()), frame.schema.json(), *sorted(files), *sorted(seen)]
-    return hashlib.sha1("\n".join(facts).encode()).hexdigest()
+    return hashlib.sha1("\n".join(facts).encode()).hexdigest(), size
 
 
 @dataclass
@@ -57,7 +59,8 @@ class Pipeline:
     def path(self, stage: str, with_windows: bool = True) -> str:
         """The stage's folder; its name tells apart sources, their files as they are now, and windows."""
         if "fingerprint" not in self._tables:
-            self._tables["fingerprint"] = fingerprint((self.qualified_source or self.source)())
+            self._tables["fingerprint"], size = fingerprint((self.qualified_source or self.source)())
+            bound_tasks(self.spark, size)
         root = self.root or f"{shared_dir(self.spark)}/stages/{self.spark.sparkContext.applicationId}"
         key = f"{self.name}|{self._tables['fingerprint']}" + (f"|{self.windows}" if with_windows else "")
         return f"{root}/{hashlib.sha1(key.encode()).hexdigest()[:12]}/{stage}"

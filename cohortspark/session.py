@@ -30,6 +30,28 @@ def local_session(cores: int | str = 8, app: str = "cohortspark") -> SparkSessio
     return spark
 
 
+SCAN_TASKS = "spark.sql.files.minPartitionNum"
+SHUFFLE_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+SCAN_BYTES = 16 << 20  # stored bytes of the inputs for each scan task
+_SCANS: dict[str, int] = {}
+
+
+def bound_tasks(spark: SparkSession, input_bytes: int) -> None:
+    """Keeps tasks small enough for their hash tables, unless the session has bounds of its own.
+
+    A task counts copies and distinct values of its rows before it shuffles them. By default it reads up to 128
+    megabytes, which are millions of lines, and its table then spills. So scans get a task for each 16 megabytes of the
+    inputs, and partitions that were shuffled are put together to 16 megabytes instead of 64.
+    """
+    app = spark.sparkContext.applicationId
+    tasks = max(-(-input_bytes // SCAN_BYTES), spark.sparkContext.defaultParallelism, _SCANS.get(app, 0))
+    if spark.conf.get(SCAN_TASKS, None) in (None, str(_SCANS.get(app))):
+        spark.conf.set(SCAN_TASKS, str(tasks))
+        _SCANS[app] = tasks
+    if spark.conf.get(SHUFFLE_BYTES) in ("64MB", "67108864b"):
+        spark.conf.set(SHUFFLE_BYTES, "16m")
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 

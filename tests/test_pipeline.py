@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from sample import SF_DIR
 
@@ -6,6 +8,7 @@ from cohortspark.config import FEATURE_COLUMNS, QUALIFIED_COLUMNS
 from cohortspark.plans.catalog import order_pipeline
 from cohortspark.plans.pipeline import Pipeline
 from cohortspark.sources import starschema
+from cohortspark.sources.starschema import LATE
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +99,23 @@ def test_a_window_skips_files_of_other_dates(spark, lines, tmp_path):
     ranges = back.selectExpr("_metadata.file_path AS f", "InvoiceDate AS d").groupBy("f").agg({"d": "max"}).count()
     january = back.where("InvoiceDate < timestamp_ntz'2011-02-01 00:00:00'").selectExpr("_metadata.file_path AS f").distinct().count()
     assert ranges > 4 and january <= 2
+
+
+def test_tasks_are_bounded_by_the_size_of_the_inputs(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SCANS", {})
+    mine = spark.newSession()
+    mine.conf.set(session.SHUFFLE_BYTES, "64MB")
+    monkeypatch.setattr(session, "SCAN_BYTES", 1 << 10)
+    Pipeline(mine, "bounded", LATE, source=lambda: starschema.invoice_lines(mine, SF_DIR)).path("raw")
+    names = ("lineitem", "orders", "part", "supplier", "nation")
+    size = sum(os.path.getsize(f"{SF_DIR}/{name}.parquet") for name in names)
+    tasks = -(-size // 1024)
+    assert tasks > spark.sparkContext.defaultParallelism
+    assert mine.conf.get(session.SCAN_TASKS) == str(tasks) and mine.conf.get(session.SHUFFLE_BYTES) == "16m"
+    session.bound_tasks(mine, 1)  # a smaller input later leaves the bounds
+    assert mine.conf.get(session.SCAN_TASKS) == str(tasks)
+    other = spark.newSession()
+    other.conf.set(session.SCAN_TASKS, "3")
+    other.conf.set(session.SHUFFLE_BYTES, "8m")
+    session.bound_tasks(other, 1 << 30)
+    assert (other.conf.get(session.SCAN_TASKS), other.conf.get(session.SHUFFLE_BYTES)) == ("3", "8m")
