@@ -13,6 +13,7 @@ from cohortspark.functions.ranking import global_rank
 from cohortspark.operators import audit, checks, cleaning, cohort, evaluation, features, insights, model, scoring, weights
 from cohortspark.plans import explorer, reports
 from cohortspark.plans.catalog import event_pipeline, order_pipeline
+from cohortspark.plans.pipeline import fingerprint
 from cohortspark.session import stored
 from cohortspark.sources import tables
 from cohortspark.sources.starschema import EARLY, LATE
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 # Example choices of the filter controls.
 COUNTRIES = ["NATION_1", "NATION_4", "NATION_9"]
+FILE_BYTES = 64 << 20  # stored lines for each CSV file with quoted line breaks
 
 
 def query(name: str):
@@ -89,12 +91,16 @@ def _(spark, folder):
 
 @query("s1_quoted_line_breaks")
 def _(spark, folder):
-    """Raw lines with a line break and quotes in some descriptions, written to one CSV file and read by many tasks."""
+    """Raw lines with a line break and quotes in some descriptions, written to CSV files and read by many tasks.
+
+    One file for each FILE_BYTES of stored lines, so a file still has several blocks and no task writes more than that.
+    """
     p = order_pipeline(spark, folder)
     path = p.path("raw_breaks", with_windows=False)
     broken = F.concat(F.col("Description"), F.lit('\n"second", line\n'), F.col("StockCode"))
     lines = p.raw().withColumn("Description", F.when(F.col("StockCode").endswith("7"), broken).otherwise(F.col("Description")))
-    lines.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    files = max(1, -(-fingerprint(p.raw())[1] // FILE_BYTES))
+    lines.coalesce(files).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return tables.read_raw(spark, path, "csv")
 
 

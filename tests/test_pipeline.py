@@ -1,3 +1,4 @@
+import glob
 import os
 
 import pytest
@@ -5,8 +6,9 @@ from sample import SF_DIR
 
 from cohortspark import session
 from cohortspark.config import FEATURE_COLUMNS, QUALIFIED_COLUMNS
+from cohortspark.plans import queries
 from cohortspark.plans.catalog import order_pipeline
-from cohortspark.plans.pipeline import Pipeline
+from cohortspark.plans.pipeline import Pipeline, fingerprint
 from cohortspark.sources import starschema
 from cohortspark.sources.starschema import LATE
 
@@ -119,3 +121,17 @@ def test_tasks_are_bounded_by_the_size_of_the_inputs(spark, monkeypatch):
     other.conf.set(session.SHUFFLE_BYTES, "8m")
     session.bound_tasks(other, 1 << 30)
     assert (other.conf.get(session.SCAN_TASKS), other.conf.get(session.SHUFFLE_BYTES)) == ("3", "8m")
+
+
+def test_lines_with_breaks_are_written_to_files_of_bounded_size(spark, monkeypatch):
+    p = order_pipeline(spark, SF_DIR)
+    path = p.path("raw_breaks", with_windows=False)
+    found = []
+    for size in (64 << 20, fingerprint(p.raw())[1] // 3 + 1):
+        monkeypatch.setattr(queries, "FILE_BYTES", size)
+        p._tables["raw"] = p.raw().repartition(4) if found else p.raw()
+        rows = queries.QUERIES["s1_quoted_line_breaks"](spark, SF_DIR).collect()
+        found.append((len(glob.glob(f"{path}/*.csv")), sorted(map(str, rows))))
+    p._tables.pop("raw")
+    (one, rows), (three, again) = found
+    assert (one, three) == (1, 3) and rows == again and len(rows) == p.raw().count()
