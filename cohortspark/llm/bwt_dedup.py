@@ -34,6 +34,7 @@ CROWD = 20_000  # an anchor with more contexts is not merged in one task
 BATCH = 4096  # contexts merged at once
 LETTERS = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+ZSTD = pa.Codec("zstd")
 
 
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -178,57 +179,80 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
     return b"".join([*out, data[at:]]), merged
 
 
+def squeezed(t: str) -> bytes:
+    """The text's bytes as they are shuffled: their number, then zstd, a third less than Spark's own compression."""
+    data = t.encode()
+    return len(data).to_bytes(4, "big") + ZSTD.compress(data, asbytes=True)
+
+
+def unsqueezed(z: bytes) -> bytes:
+    return ZSTD.decompress(z[4:], int.from_bytes(z[:4], "big"), asbytes=True)
+
+
 def _shards(rows: DataFrame, span: int) -> DataFrame:
-    """(k, d, n, size, a, lo, hi, anchor, ctx): all anchors of all different texts, with a digest of the context of each.
+    """(k, d, n, size, place, anchor, ctx): all different texts, with lists of all their anchors.
 
-    n: how many rows have the text; d: the least of their ids; size: its bytes. Copies are met as one row with lists, so
-    that the hash of the text deals them out, not an anchor that many copies have.
+    n: how many rows have the text; d: the least of their ids; size: its bytes. ctx is a digest of the context; as only
+    contexts of one anchor are compared, 64 bits do beside the anchor's own 64. Copies are met as one row, so that the
+    hash of the text deals them out, not an anchor that many copies have.
     """
 
     def run(batch):
-        out = [[] for _ in range(8)]
+        out = [[] for _ in range(6)]
         for k, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = t.encode()
             if len(data) < span:
                 continue
             with np.errstate(over="ignore"):
                 a, lo, hi, h = anchors(np.frombuffer(data, np.uint8), span)
-            digest = xxhash.xxh3_128_digest
+            digest = xxhash.xxh3_64_intdigest
             places = zip(a.tolist(), lo.tolist(), hi.tolist())
             ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
-            for column, values in zip(out, (k, d, len(data), a, lo, hi, h, ctx)):
+            place = (a << 32) | ((a - lo) << 16) | (hi - lo)
+            for column, values in zip(out, (k, d, len(data), place, h, np.array(ctx, np.uint64).view(np.int64))):
                 column.append(values)
         return out
 
-    lists = ("a", "lo", "hi", "anchor", "ctx")
-    schema = "k binary, d string, size bigint, a array<int>, lo array<int>, hi array<int>, anchor array<bigint>, ctx array<binary>"
+    if span > 1 << 16:
+        raise ValueError("a place holds distances of 16 bits")
+    lists = ("place", "anchor", "ctx")
+    schema = "k binary, d string, size bigint, place array<bigint>, anchor array<bigint>, ctx array<bigint>"
     found = map_batches(rows, ["k", "d", "t"], run, schema, rows=64)
-    texts = found.groupBy("k").agg(
+    return found.groupBy("k").agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.first("size").alias("size"), *[F.first(x).alias(x) for x in lists]
     )
-    return texts.select("k", "d", "n", "size", F.inline(F.arrays_zip(*lists)))
 
 
-def _contexts(rows: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+def _ends() -> list[Column]:
+    """a, lo and hi of a place."""
+    a, place = F.shiftright("place", 32), F.col("place")
+    lo = a - F.shiftright(place, 16).bitwiseAND(F.lit(0xFFFF))
+    return [a.alias("a"), lo.alias("lo"), (lo + place.bitwiseAND(F.lit(0xFFFF))).alias("hi")]
+
+
+def _contexts(rows: DataFrame, texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """(anchor, k, lo, shift, full, bytes) of the contexts wanted, cut from the texts; of copies one text is read.
 
-    The places grow with the input, so the join shuffles at every size.
+    The places grow with the input, so the joins shuffle at every size.
     """
-    listed = wanted.groupBy("k", "d").agg(F.collect_list(F.struct("a", "lo", "hi", "anchor", "full")).alias("places"))
-    fields = [F.col(f"places.{f}") for f in ("a", "lo", "hi", "anchor", "full")]
-    joined = rows.join(listed.hint("merge"), ["k", "d"])
+    fields = ("a", "lo", "hi", "anchor", "full")
+    listed = wanted.select("k", *_ends(), "anchor", "full").groupBy("k").agg(F.collect_list(F.struct(*fields)).alias("places"))
+    listed = listed.join(texts.select("k", "d").hint("merge"), "k")
+    packed = map_batches(rows, ["k", "d", "t"], lambda b: [b.column(0), b.column(1), [squeezed(t) for t in b.column(2).to_pylist()]],
+                         "k binary, d string, z binary")
+    joined = packed.join(listed.hint("merge"), ["k", "d"])
 
     def run(batch):
         out = [[], [], [], [], [], []]
-        for k, t, *lists in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            data = t.encode()
+        for k, z, *lists in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            data = unsqueezed(z)
             for a, lo, hi, anchor, full in zip(*lists):
                 for column, value in zip(out, (anchor, k, lo, a - lo, full, data[lo : hi + span])):
                     column.append(value)
         return out
 
     schema = "anchor bigint, k binary, lo bigint, shift bigint, full boolean, bytes binary"
-    return map_batches(joined, ["k", "t", *fields], run, schema, rows=64)
+    return map_batches(joined, ["k", "z", *[F.col(f"places.{f}") for f in fields]], run, schema, rows=64)
 
 
 def _merged(contexts: DataFrame, span: int) -> DataFrame:
@@ -291,26 +315,27 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> Dat
 
     A text that several rows have is repeated from end to end; for all others its anchors count once.
     """
-    every = store(_shards(rows, span), "anchors")
-    copied = every.where("n > 1").groupBy("k").agg(F.lit(0).cast("bigint").alias("start"), F.first("size").alias("end"))
+    texts = store(_shards(rows, span), "anchors", "zstd")
+    copied = texts.where("n > 1").select("k", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
+    every = texts.select("k", "n", F.inline(F.arrays_zip("place", "anchor", "ctx")))
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    often = store(often, "recurring")  # a plain table, so that the join can split an anchor with very many rows
-    every = store(every.join(often, "anchor", "left_semi"), "repeated-anchors")
+    often = store(often, "recurring", "zstd")  # a plain table, so that the join can split an anchor with very many rows
+    every = store(every.join(often, "anchor", "left_semi"), "repeated-anchors", "zstd")
     kinds = every.groupBy("anchor", "ctx").agg(
-        F.sum("n").alias("n"), F.min("n").alias("least"), F.min(F.struct("k", "d", "a", "lo", "hi")).alias("at")
+        F.sum("n").alias("n"), F.min("n").alias("least"), F.min(F.struct("k", "place")).alias("at")
     )
-    kinds = store(kinds, "contexts")
-    full = kinds.where("n > 1 AND least = 1").select("ctx")  # copied texts go as a whole
-    whole = every.where("n = 1").join(full, "ctx", "left_semi")
-    whole = whole.select("k", F.col("lo").cast("bigint").alias("start"), (F.col("hi") + span).cast("bigint").alias("end"))
+    kinds = store(kinds, "contexts", "zstd")
+    full = kinds.where("n > 1 AND least = 1").select("anchor", "ctx")  # copied texts go as a whole
+    whole = every.where("n = 1").join(full, ["anchor", "ctx"], "left_semi").select("k", *_ends())
+    whole = whole.select("k", F.col("lo").alias("start"), (F.col("hi") + span).alias("end"))
     whole = whole.unionByName(copied)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = store(several, "several")
+    several = store(several, "several", "zstd")
     mixed = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds")
-    found = whole.unionByName(_merged(_contexts(rows, mixed.where(F.col("kinds") <= crowd), span), span))
+    found = whole.unionByName(_merged(_contexts(rows, texts, mixed.where(F.col("kinds") <= crowd), span), span))
     crowded = store(mixed.where(F.col("kinds") > crowd), "crowded-anchors")
     if not crowded.isEmpty():
-        found = found.unionByName(_counted(_contexts(rows, crowded, span), span))
+        found = found.unionByName(_counted(_contexts(rows, texts, crowded, span), span))
     found = found.distinct().groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return store(found, "spans")
 
@@ -336,20 +361,23 @@ def remove_repeats(
     """
     rows = keyed(docs, id_column, text)
     spans = repeated_spans(rows.select("k", "d", "t"), span, crowd).withColumnRenamed("k", "of")
-    joined = rows.join(spans.hint("merge"), rows.k == spans.of, "left")
+    kind = id_type(docs, id_column)
+    packed = map_batches(rows, ["doc_id", "t", "k"], lambda b: [b.column(0), [squeezed(t) for t in b.column(1).to_pylist()], b.column(2)],
+                         f"doc_id {kind}, z binary, k binary")
+    joined = packed.join(spans.hint("merge"), packed.k == spans.of, "left")
     ends = [F.col("spans.start"), F.col("spans.end")]
 
     def run(batch):
         out = [[], [], [], []]
-        for t, start, end in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            data = t.encode()
+        for z, start, end in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            data = unsqueezed(z)
             kept, merged = cut_out(data, list(zip(start or [], end or [])))
             for column, value in zip(out, (len(data), len(data) - len(kept), len(merged), kept)):
                 column.append(value)
         return [batch.column(0), *out]
 
-    schema = f"doc_id {id_type(docs, id_column)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    return map_batches(joined, ["doc_id", "t", *ends], run, schema)
+    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    return map_batches(joined, ["doc_id", "z", *ends], run, schema)
 
 
 def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
@@ -358,17 +386,19 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
     Bytes of a character that a cut has torn apart go with it. A null text stays null.
     """
     spans = repeated_spans(keyed(docs, id_column, text).select("k", "d", "t"), span, crowd)
-    key, of, first, last, left = free_names(docs, "_k", "_of", "_start", "_end", "_kept")
+    key, of, first, last, left, packed = free_names(docs, "_k", "_of", "_start", "_end", "_kept", "_z")
     spans = spans.select(F.col("k").alias(of), F.col("spans.start").alias(first), F.col("spans.end").alias(last))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = docs.withColumn(key, digest).join(spans.hint("merge"), F.col(key) == F.col(of), "left")
+    small = with_columns(
+        docs.withColumn(key, digest), [text], lambda c: [[t if t is None else squeezed(t) for t in c[0]]], f"{packed} binary"
+    )
+    joined = small.drop(text).join(spans.hint("merge"), F.col(key) == F.col(of), "left")
 
     def run(columns):
         out = []
-        for t, start, end in zip(*columns):
-            kept = cut_out(t.encode(), list(zip(start, end)))[0].decode("utf-8", "ignore") if start and t else t
-            out.append(kept)
+        for z, start, end in zip(*columns):
+            out.append(z if z is None else cut_out(unsqueezed(z), list(zip(start or [], end or [])))[0].decode("utf-8", "ignore"))
         return [out]
 
-    marked = with_columns(joined, [text, first, last], run, f"{left} string")
-    return marked.withColumn(text, F.col(left)).select(*docs.columns)
+    marked = with_columns(joined, [packed, first, last], run, f"{left} string")
+    return marked.withColumnRenamed(left, text).select(*docs.columns)

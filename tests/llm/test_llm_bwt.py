@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cohortspark.llm import bwt_dedup
 
@@ -109,3 +110,17 @@ def test_stripped_texts_stay_text(docs):
     text = "\u4f60\u597d" * 200
     rows = {r.doc_id: r.text for r in bwt_dedup.stripped(docs(text + "end", "x" + text, None, "short")).collect()}
     assert rows[3] == "short" and rows[2] is None and rows[0].endswith("end") and len(rows[0]) < 10
+
+
+def test_what_is_shuffled_is_small(docs):
+    """Three longs for each anchor, and texts that are compressed, whatever characters they have."""
+    rows = bwt_dedup.keyed(docs("a plain text " * 60, "\u00e9\u4f60" * 300), "doc_id", "text").select("k", "d", "t")
+    shards = bwt_dedup._shards(rows, 400)
+    lists = {f.name: f.dataType.simpleString() for f in shards.schema if f.dataType.typeName() == "array"}
+    assert lists == dict.fromkeys(("place", "anchor", "ctx"), "array<bigint>")
+    for r in shards.select("size", F.explode("place").alias("place")).select("size", *bwt_dedup._ends()).collect():
+        assert 0 <= r.lo <= r.hi <= r.size - 400 and r.hi <= r.a <= r.lo + 352
+    for text in ("", "x", "\u00e9\u4f60\U0001f600" * 500, "words that come again " * 900):
+        packed = bwt_dedup.squeezed(text)
+        assert bwt_dedup.unsqueezed(packed) == text.encode()
+    assert len(packed) < 200
