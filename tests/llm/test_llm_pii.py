@@ -150,3 +150,18 @@ def test_recall_on_labelled_spans_held_out(spark):
             clean, wrong = clean + 1, wrong + bool(pii.all_spans(tagger, [r.text])[0])
     print("recall", hit, wanted, "texts without a pattern's span that get one", wrong, clean)
     assert wanted > 20 and hit / wanted > 0.7 and wrong <= clean / 50
+
+
+def test_the_search_is_left_out_where_no_span_can_gain(monkeypatch):
+    """One transition between inside tags gains, but less than each character loses; only what ends well is searched."""
+    tagger = pii.train(["+1 (555) 555-0100 x"], [pii.tags(19, [("phone", 0, 17)])], epochs=1)
+    tagger.weights = {k: np.zeros_like(v) for k, v in tagger.weights.items()}
+    tagger.weights["out_bias"][0] = 1.5
+    tagger.weights["moves"][2, 2] = 1
+    searched, search = [], pii.Tagger._viterbi
+    monkeypatch.setattr(pii.Tagger, "_viterbi", lambda self, scores: searched.append(scores.shape[1]) or search(self, scores))
+    letters = np.ones((5, 40), np.uint8)
+    assert tagger.marked(letters) == [] and sum(searched) == 0
+    tagger.weights["moves"][2, 2] = 2
+    want = [plain_path(s.tolist(), tagger.weights["moves"].tolist()) for s in tagger.scores(letters)]
+    assert [(k, p.tolist()) for k, p in tagger.marked(letters)] == list(enumerate(want)) and sum(searched) == 5
