@@ -31,6 +31,7 @@ SPAN, GRAM = 400, 48
 STEP = 1 << 19
 POSITION = np.uint64((1 << 20) - 1)
 CROWD = 20_000  # an anchor with more contexts is not merged in one task
+FINER = (32, 1)  # starts of strings that share an anchor where the one before is crowded; with one start none can be
 BATCH = 4096  # contexts merged at once
 LETTERS = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -88,6 +89,26 @@ def anchors(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def finer(data: bytes, found: tuple[np.ndarray, ...], crowds: list[tuple[np.ndarray, int]], span: int = SPAN) -> tuple[np.ndarray, ...]:
+    """The crowded ones of the anchors found, in the same form, with longer strings as anchors.
+
+    crowds: (hashes of crowded anchors, width), one pair after the other. Strings of `span` bytes that start near to far
+    bytes left of an anchor, far being near + width - 1, all hold what stands from near bytes left of it to the end of the
+    farthest. A hash of this, span - width + 1 bytes, is their anchor now: equal strings still have equal ones.
+    """
+    for crowded, width in crowds:
+        kept = np.isin(found[3], crowded)
+        out = []
+        for a, lo, hi, h in zip(*(x[kept].tolist() for x in found)):
+            for near in range((a - hi) // width * width, a - lo + 1, width):
+                far = near + width - 1
+                shared = data[a - near : a - far + span] + near.to_bytes(4, "big")
+                out.append((a, max(lo, a - far), min(hi, a - near), xxhash.xxh3_64_intdigest(shared, h & 0xFFFF_FFFF_FFFF_FFFF)))
+        *places, hashes = zip(*out) if out else [()] * 4
+        found = (*(np.array(x, np.int64) for x in places), np.array(hashes, np.uint64).view(np.int64))
+    return found
+
+
 def merge_orders(group: np.ndarray, contexts: list[bytes], shift: np.ndarray, span: int = SPAN) -> list[list[tuple[int, int]]]:
     """For each context the runs (least, greatest distance left of the anchor) of repeated strings.
 
@@ -189,12 +210,13 @@ def unsqueezed(z: bytes) -> bytes:
     return ZSTD.decompress(z[4:], int.from_bytes(z[:4], "big"), asbytes=True)
 
 
-def _shards(rows: DataFrame, span: int) -> DataFrame:
+def _shards(rows: DataFrame, span: int, crowds: list[tuple[np.ndarray, int]] | None = None) -> DataFrame:
     """(k, d, n, size, place, anchor, ctx): all different texts, with lists of all their anchors.
 
     n: how many rows have the text; d: the least of their ids; size: its bytes. ctx is a digest of the context; as only
     contexts of one anchor are compared, 64 bits do beside the anchor's own 64. Copies are met as one row, so that the
-    hash of the text deals them out, not an anchor that many copies have.
+    hash of the text deals them out, not an anchor that many copies have. With crowds only texts with crowded anchors
+    are given, with lists of the finer ones.
     """
 
     def run(batch):
@@ -204,7 +226,10 @@ def _shards(rows: DataFrame, span: int) -> DataFrame:
             if len(data) < span:
                 continue
             with np.errstate(over="ignore"):
-                a, lo, hi, h = anchors(np.frombuffer(data, np.uint8), span)
+                places = anchors(np.frombuffer(data, np.uint8), span)
+            a, lo, hi, h = finer(data, places, crowds or [], span)
+            if crowds and not len(a):
+                continue
             digest = xxhash.xxh3_64_intdigest
             places = zip(a.tolist(), lo.tolist(), hi.tolist())
             ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
@@ -292,31 +317,10 @@ def _merged(contexts: DataFrame, span: int) -> DataFrame:
     return dealt.mapInArrow(run, "k binary, start bigint, end bigint")
 
 
-def _counted(contexts: DataFrame, span: int) -> DataFrame:
-    """The same for anchors with very many contexts: each string is a row of its own, counted with partial sums."""
-
-    def run(batch):
-        out = [[], [], [], []]
-        for k, lo, full, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for s in range(len(data) - span + 1):
-                for column, value in zip(out, (xxhash.xxh3_128_digest(data[s : s + span]), k, lo + s, 1 + full)):
-                    column.append(value)
-        return out
-
-    schema = "string binary, k binary, start bigint, n bigint"
-    strings = store(map_batches(contexts.distinct(), ["k", "lo", "full", "bytes"], run, schema, rows=64), "strings")
-    often = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
-    found = strings.join(often, "string", "left_semi")
-    return found.select("k", "start", (F.col("start") + span).alias("end"))
-
-
-def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
-    """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t).
-
-    A text that several rows have is repeated from end to end; for all others its anchors count once.
+def _kinds(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(k, start, end): stretches of contexts that occur twice; (anchor, k, place, full, kinds): the different contexts
+    of anchors that have several; (anchor, kinds): the number of these contexts.
     """
-    texts = store(_shards(rows, span), "anchors", "zstd")
-    copied = texts.where("n > 1").select("k", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
     every = texts.select("k", "n", F.inline(F.arrays_zip("place", "anchor", "ctx")))
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     often = store(often, "recurring", "zstd")  # a plain table, so that the join can split an anchor with very many rows
@@ -328,14 +332,32 @@ def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> Dat
     full = kinds.where("n > 1 AND least = 1").select("anchor", "ctx")  # copied texts go as a whole
     whole = every.where("n = 1").join(full, ["anchor", "ctx"], "left_semi").select("k", *_ends())
     whole = whole.select("k", F.col("lo").alias("start"), (F.col("hi") + span).alias("end"))
-    whole = whole.unionByName(copied)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = store(several, "several", "zstd")
-    mixed = kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds")
-    found = whole.unionByName(_merged(_contexts(rows, texts, mixed.where(F.col("kinds") <= crowd), span), span))
-    crowded = store(mixed.where(F.col("kinds") > crowd), "crowded-anchors")
-    if not crowded.isEmpty():
-        found = found.unionByName(_counted(_contexts(rows, texts, crowded, span), span))
+    return whole, kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds"), several
+
+
+def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
+    """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t).
+
+    A text that several rows have is repeated from end to end; for all others its anchors count once. Crowded anchors are
+    replaced by finer ones, found in the texts again without a shuffle of these. The driver holds the hashes of crowded
+    anchors, each of which has over `crowd` contexts: 8 bytes for several megabytes of different texts.
+    """
+    texts = store(_shards(rows, span), "anchors", "zstd")
+    found = texts.where("n > 1").select("k", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
+    whole, mixed, several = _kinds(texts, span)
+    found, wanted, crowds = found.unionByName(whole), mixed.where(F.col("kinds") <= crowd), []
+    for width in FINER:
+        crowded = [r.anchor for r in several.where(F.col("kinds") > crowd).select("anchor").collect()]
+        if not crowded:
+            break
+        crowds.append((np.array(crowded, np.int64), min(width, span)))
+        whole, mixed, several = _kinds(store(_shards(rows, span, crowds), "finer-anchors", "zstd"), span)
+        found = found.unionByName(whole)
+        if width > 1:
+            wanted = wanted.unionByName(mixed.where(F.col("kinds") <= crowd))
+    found = found.unionByName(_merged(_contexts(rows, texts, wanted, span), span))
     found = found.distinct().groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return store(found, "spans")
 
@@ -356,7 +378,7 @@ def remove_repeats(
     Each byte covered by a string of `span` bytes that also starts anywhere else, in the same document or another,
     is removed; all occurrences go. A null text is empty. Repeated rows are documents of their own, so what they
     share is repeated. Texts shorter than `span` bytes stay as they are; an empty table gives no row. Anchors with
-    more than `crowd` different contexts are counted string by string instead of merged, with the same result.
+    more than `crowd` different contexts are replaced by finer ones before they are merged, with the same result.
     Copies share a digest; what they share is found once and joined to each, skew being split at run time.
     """
     rows = keyed(docs, id_column, text)

@@ -124,3 +124,45 @@ def test_what_is_shuffled_is_small(docs):
         packed = bwt_dedup.squeezed(text)
         assert bwt_dedup.unsqueezed(packed) == text.encode()
     assert len(packed) < 200
+
+
+def test_finer_anchors_cover_the_same_strings():
+    """Each string of a crowded anchor has one finer anchor, equal strings have equal ones; other anchors are left out."""
+    rng = random.Random(4)
+    part = "".join(rng.choices("abcdefgh ", k=150))
+    for width in (1, 7, 32, 60):
+        anchor_of = {}
+        for _ in range(6):
+            noise = ["".join(rng.choices("abcdefgh ", k=rng.randint(0, 90))) for _ in range(2)]
+            text = (noise[0] + part + noise[1]).encode()
+            with np.errstate(over="ignore"):
+                found = bwt_dedup.anchors(np.frombuffer(text, np.uint8), 60)
+            crowded = found[3][::2]
+            covered = []
+            for a, lo, hi, h in zip(*(x.tolist() for x in bwt_dedup.finer(text, found, [(crowded, width)], 60))):
+                assert a in found[0][::2] and 0 <= a - hi and a - lo <= 12 and hi - lo < width
+                covered += range(lo, hi + 1)
+                for s in range(lo, hi + 1):
+                    assert anchor_of.setdefault(text[s : s + 60], h) == h
+            assert sorted(covered) == [s for lo, hi in zip(found[1][::2], found[2][::2]) for s in range(lo, hi + 1)]
+
+
+def test_crowded_anchors_shuffle_no_text_again(docs, monkeypatch):
+    """Nor are their strings written one by one, though the passage has far more contexts than one task merges."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=420))
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) + passage + "".join(rng.choices("abcdefgh ", k=300)) for _ in range(40)]
+    shuffled, stored = [], []
+    contexts, store = bwt_dedup._contexts, bwt_dedup.store
+
+    def counted(frame, label, *codec):
+        out = store(frame, label, *codec)
+        each = F.size("place") if dict(out.dtypes).get("place", "").startswith("array") else F.lit(1)
+        stored.append(out.agg(F.sum(each)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(bwt_dedup, "_contexts", lambda *given: shuffled.append(1) or contexts(*given))
+    monkeypatch.setattr(bwt_dedup, "store", counted)
+    check(docs, texts, 400, crowd=3)
+    assert len(shuffled) == 1
+    assert max(stored) < 40 * 150  # strings of an anchor in the passage: over 300 a text
