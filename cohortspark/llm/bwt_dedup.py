@@ -7,7 +7,8 @@ string around one agreed byte position in it is. Each window of `span` bytes has
 hash among its k-grams, so equal strings have their anchors at the same offset. Every shard (an input slice) gives
 its anchors; those whose k-gram occurs once in the corpus are done with. For the others a shard ships what stands
 right of the anchor (the suffix) and left of it, byte by byte (the column of a Burrows-Wheeler transform for this
-suffix, the one before it, and so on).
+suffix, the one before it, and so on). Several lengths can be looked for at once: the least one then fixes the windows
+and with them the anchors, the greatest one how far the contexts reach.
 
 The suffixes of an anchor are sorted by refinement: blocks of equal suffixes are split symbol
 by symbol, and a split fixes the common prefix of the neighbours at it. From the order at the anchor, the order
@@ -18,6 +19,8 @@ the order reaches `span` begins a repeated string.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +31,8 @@ from cohortspark.llm.bpe import id_type
 from cohortspark.llm.common import free_names, map_batches, parts, ship, slices, store, with_columns
 
 SPAN, GRAM = 400, 48
+PASSAGE, WORDS = 200, 50  # bytes that over 99 % of all passages of over 50 words have; a passage has more than so many words
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 STEP = 1 << 19
 POSITION = np.uint64((1 << 20) - 1)
 CROWD = 20_000  # an anchor with more contexts is not merged in one task
@@ -115,9 +120,16 @@ def merge_orders(group: np.ndarray, contexts: list[bytes], shift: np.ndarray, sp
     group: ascending; contexts of one group are merged. shift: the anchor's place in the context. A context of m
     bytes holds the strings that start shift - (m - span) to shift bytes left of its anchor.
     """
+    return merge_orders_of(group, contexts, shift, (span,))[0]
+
+
+def merge_orders_of(
+    group: np.ndarray, contexts: list[bytes], shift: np.ndarray, spans: tuple[int, ...]
+) -> list[list[list[tuple[int, int]]]]:
+    """What merge_orders gives, for each of the spans (ascending); the orders are made once."""
     n = len(contexts)
     sizes = np.fromiter(map(len, contexts), np.int64, n)
-    width = -(-span // 8)
+    width = -(-spans[-1] // 8)
     right = np.zeros((n, 8 * width), np.uint8)
     left = np.zeros((n, max(1, int(shift.max()))), np.uint8)
     for i, (c, k) in enumerate(zip(contexts, shift.tolist())):
@@ -151,13 +163,14 @@ def merge_orders(group: np.ndarray, contexts: list[bytes], shift: np.ndarray, sp
     lcp[0] = 0
 
     # Further left, one byte at a time.
-    repeated = np.zeros((n, left.shape[1] + 1), bool)
+    repeated = np.zeros((len(spans), n, left.shape[1] + 1), bool)
     for distance in range(left.shape[1] + 1):
         longest = np.maximum(lcp[:-1], lcp[1:])
-        repeated[order[longest >= span], distance] = True
+        for of_span, span in zip(repeated, spans):
+            of_span[order[longest >= span], distance] = True
         if distance == left.shape[1]:
             break
-        hope = (shift[order] > distance) & (longest + shift[order] - distance >= span)
+        hope = (shift[order] > distance) & (longest + shift[order] - distance >= spans[0])
         kept = np.flatnonzero(hope)
         if len(kept) < 2:
             break
@@ -169,11 +182,12 @@ def merge_orders(group: np.ndarray, contexts: list[bytes], shift: np.ndarray, sp
         grown = np.where(key[1:] == key[:-1], between + 1, 0)
         order = order[kept]
         lcp = np.concatenate([[0], grown, [0]])
-    out = []
-    for row in repeated:
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], row.view(np.int8), [0]])))
-        out.append(list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())))
-    return out
+    return [[_runs(row) for row in of_span] for of_span in repeated]
+
+
+def _runs(row: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], row.view(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -200,6 +214,14 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
     return b"".join([*out, data[at:]]), merged
 
 
+def stretches(size: int, span: int, found: tuple[list[int] | None, ...]) -> list[tuple[int, int]]:
+    """(start, end) of what the repeated strings of `span` bytes cover in a text of `size` bytes. found: lists of first
+    starts, last starts and spans; a span of zero holds for strings of any length that the text has there.
+    """
+    ends = ((start, min(last, size - span) + span) for start, last, of in zip(*(x or [] for x in found)) if of in (0, span))
+    return [(start, end) for start, end in ends if end - start >= span]
+
+
 def squeezed(t: str) -> bytes:
     """The text's bytes as they are shuffled: their number, then zstd, a third less than Spark's own compression."""
     data = t.encode()
@@ -210,26 +232,33 @@ def unsqueezed(z: bytes) -> bytes:
     return ZSTD.decompress(z[4:], int.from_bytes(z[:4], "big"), asbytes=True)
 
 
-def _shards(rows: DataFrame, span: int, crowds: list[tuple[np.ndarray, int]] | None = None) -> DataFrame:
+def _shards(
+    rows: DataFrame, window: int, span: int | None = None, crowds: list[tuple[np.ndarray, int]] | None = None
+) -> DataFrame:
     """(k, d, n, size, place, anchor, ctx): all different texts, with lists of all their anchors.
 
     n: how many rows have the text; d: the least of their ids; size: its bytes. ctx is a digest of the context; as only
     contexts of one anchor are compared, 64 bits do beside the anchor's own 64. Copies are met as one row, so that the
-    hash of the text deals them out, not an anchor that many copies have. With crowds only texts with crowded anchors
-    are given, with lists of the finer ones.
+    hash of the text deals them out, not an anchor that many copies have. Anchors are those of windows of `window` bytes;
+    contexts reach to the end of strings of `span` bytes (default: as many), or of the text. With crowds only texts with
+    crowded anchors are given, with lists of the finer ones, for strings of `span` bytes.
     """
+    span = span or window
 
     def run(batch):
         out = [[] for _ in range(6)]
         for k, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = t.encode()
-            if len(data) < span:
+            if len(data) < (span if crowds else window):
                 continue
             with np.errstate(over="ignore"):
-                places = anchors(np.frombuffer(data, np.uint8), span)
-            a, lo, hi, h = finer(data, places, crowds or [], span)
-            if crowds and not len(a):
-                continue
+                places = anchors(np.frombuffer(data, np.uint8), window)
+            if crowds:
+                a, lo, hi, h = (x[places[1] <= len(data) - span] for x in places)
+                places = finer(data, (a, lo, np.minimum(hi, len(data) - span), h), crowds, span)
+                if not len(places[0]):
+                    continue
+            a, lo, hi, h = places
             digest = xxhash.xxh3_64_intdigest
             places = zip(a.tolist(), lo.tolist(), hi.tolist())
             ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
@@ -238,7 +267,7 @@ def _shards(rows: DataFrame, span: int, crowds: list[tuple[np.ndarray, int]] | N
                 column.append(values)
         return out
 
-    if span > 1 << 16:
+    if window > 1 << 16:
         raise ValueError("a place holds distances of 16 bits")
     lists = ("place", "anchor", "ctx")
     schema = "k binary, d string, size bigint, place array<bigint>, anchor array<bigint>, ctx array<bigint>"
@@ -280,21 +309,22 @@ def _contexts(rows: DataFrame, texts: DataFrame, wanted: DataFrame, span: int) -
     return map_batches(joined, ["k", "z", *[F.col(f"places.{f}") for f in fields]], run, schema, rows=64)
 
 
-def _merged(contexts: DataFrame, span: int) -> DataFrame:
-    """(k, start, end): repeated stretches of contexts, merged by anchor."""
+def _merged(contexts: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    """(k, start, last, span): starts of repeated strings in contexts, merged by anchor."""
     ship(contexts.sparkSession)
-    names = ["k", "start", "end"]
-    types = [pa.binary(), pa.int64(), pa.int64()]
+    names = ["k", "start", "last", "span"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
     dealt = contexts.repartition(parts(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "k", "lo")
 
     def solve(rows):
         anchor = np.array([r[0] for r in rows])
         group = np.cumsum(np.append(0, np.diff(anchor) != 0))
         shift = np.array([r[3] for r in rows])
-        found = merge_orders(group, [r[5] for r in rows], shift, span)
+        found = merge_orders_of(group, [r[5] for r in rows], shift, spans)
         out = [
-            (r[1], r[2] + r[3] - far, r[2] + r[3] - near + span)
-            for r, runs in zip(rows, found)
+            (r[1], r[2] + r[3] - far, r[2] + r[3] - near, span)
+            for span, of_span in zip(spans, found)
+            for r, runs in zip(rows, of_span)
             if not r[4]
             for near, far in runs
         ]
@@ -314,12 +344,12 @@ def _merged(contexts: DataFrame, span: int) -> DataFrame:
         if rows:
             yield from solve(rows)
 
-    return dealt.mapInArrow(run, "k binary, start bigint, end bigint")
+    return dealt.mapInArrow(run, "k binary, start bigint, last bigint, span int")
 
 
 def _kinds(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(k, start, end): stretches of contexts that occur twice; (anchor, k, place, full, kinds): the different contexts
-    of anchors that have several; (anchor, kinds): the number of these contexts.
+    """(k, start, last, span): first and last start of the contexts that occur twice; (anchor, k, place, full, kinds): the
+    different contexts of anchors that have several; (anchor, kinds): the number of these contexts.
     """
     every = texts.select("k", "n", F.inline(F.arrays_zip("place", "anchor", "ctx")))
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -331,34 +361,40 @@ def _kinds(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame
     kinds = store(kinds, "contexts", "zstd")
     full = kinds.where("n > 1 AND least = 1").select("anchor", "ctx")  # copied texts go as a whole
     whole = every.where("n = 1").join(full, ["anchor", "ctx"], "left_semi").select("k", *_ends())
-    whole = whole.select("k", F.col("lo").alias("start"), (F.col("hi") + span).alias("end"))
+    whole = whole.select("k", F.col("lo").alias("start"), F.col("hi").alias("last"), F.lit(span).alias("span"))
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = store(several, "several", "zstd")
     return whole, kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds"), several
 
 
-def repeated_spans(rows: DataFrame, span: int = SPAN, crowd: int = CROWD) -> DataFrame:
-    """(k, spans array of (start, end)): of each text k the stretches covered by repeated strings. rows: (k, d, t).
+def repeated_spans(rows: DataFrame, spans: tuple[int, ...] = (SPAN,), crowd: int = CROWD) -> DataFrame:
+    """(k, found array of (start, last, span)): of each text k the first and last starts of runs of repeated strings, for
+    each of the spans (ascending); a span of zero holds for all of them. rows: (k, d, t).
 
     A text that several rows have is repeated from end to end; for all others its anchors count once. Crowded anchors are
-    replaced by finer ones, found in the texts again without a shuffle of these. The driver holds the hashes of crowded
-    anchors, each of which has over `crowd` contexts: 8 bytes for several megabytes of different texts.
+    replaced by finer ones, for each span its own, found in the texts again without a shuffle of these. The driver holds
+    the hashes of crowded anchors, each of which has over `crowd` contexts: 8 bytes for several megabytes of different texts.
     """
-    texts = store(_shards(rows, span), "anchors", "zstd")
-    found = texts.where("n > 1").select("k", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
-    whole, mixed, several = _kinds(texts, span)
-    found, wanted, crowds = found.unionByName(whole), mixed.where(F.col("kinds") <= crowd), []
-    for width in FINER:
-        crowded = [r.anchor for r in several.where(F.col("kinds") > crowd).select("anchor").collect()]
-        if not crowded:
-            break
-        crowds.append((np.array(crowded, np.int64), min(width, span)))
-        whole, mixed, several = _kinds(store(_shards(rows, span, crowds), "finer-anchors", "zstd"), span)
-        found = found.unionByName(whole)
-        if width > 1:
-            wanted = wanted.unionByName(mixed.where(F.col("kinds") <= crowd))
-    found = found.unionByName(_merged(_contexts(rows, texts, wanted, span), span))
-    found = found.distinct().groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    window, reach = spans[0], spans[-1]
+    texts = store(_shards(rows, window, reach), "anchors", "zstd")
+    start, every = F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("span")
+    found = texts.where("n > 1").select("k", start, F.col("size").alias("last"), every)
+    whole, mixed, several = _kinds(texts, 0)
+    found, wanted = found.unionByName(whole), mixed.where(F.col("kinds") <= crowd)
+    over = lambda several: [r.anchor for r in several.where(F.col("kinds") > crowd).select("anchor").collect()]
+    first = over(several)
+    for span in spans:
+        crowded, crowds = first, []
+        for width in FINER:
+            if not crowded:
+                break
+            crowds.append((np.array(crowded, np.int64), min(width, span)))
+            whole, mixed, several = _kinds(store(_shards(rows, window, span, crowds), "finer-anchors", "zstd"), span)
+            found = found.unionByName(whole)
+            if width > 1:
+                wanted, crowded = wanted.unionByName(mixed.where(F.col("kinds") <= crowd)), over(several)
+    found = found.unionByName(_merged(_contexts(rows, texts, wanted, reach), spans))
+    found = found.distinct().groupBy("k").agg(F.collect_list(F.struct("start", "last", "span")).alias("found"))
     return store(found, "spans")
 
 
@@ -371,35 +407,47 @@ def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN, crowd: int = CROWD
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN, crowd: int = CROWD, passage: int | None = None
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document; with passage also (n_repeated, n_passages).
 
     Each byte covered by a string of `span` bytes that also starts anywhere else, in the same document or another,
     is removed; all occurrences go. A null text is empty. Repeated rows are documents of their own, so what they
     share is repeated. Texts shorter than `span` bytes stay as they are; an empty table gives no row. Anchors with
     more than `crowd` different contexts are replaced by finer ones before they are merged, with the same result.
     Copies share a digest; what they share is found once and joined to each, skew being split at run time.
+
+    passage: bytes of shorter strings, found in the same way and at the same time but not removed. n_repeated: bytes
+    covered by those that occur more than once; n_passages: maximal runs of such bytes with over WORDS words.
     """
+    if passage and passage > span:
+        raise ValueError("strings of a passage are no longer than those that are removed")
     rows = keyed(docs, id_column, text)
-    spans = repeated_spans(rows.select("k", "d", "t"), span, crowd).withColumnRenamed("k", "of")
+    spans = tuple(sorted({passage or span, span}))
+    spans = repeated_spans(rows.select("k", "d", "t"), spans, crowd).withColumnRenamed("k", "of")
     kind = id_type(docs, id_column)
     packed = map_batches(rows, ["doc_id", "t", "k"], lambda b: [b.column(0), [squeezed(t) for t in b.column(1).to_pylist()], b.column(2)],
                          f"doc_id {kind}, z binary, k binary")
     joined = packed.join(spans.hint("merge"), packed.k == spans.of, "left")
-    ends = [F.col("spans.start"), F.col("spans.end")]
+    found = [F.col(f"found.{f}") for f in ("start", "last", "span")]
 
     def run(batch):
-        out = [[], [], [], []]
-        for z, start, end in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+        out = [[] for _ in range(6 if passage else 4)]
+        for z, *lists in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
             data = unsqueezed(z)
-            kept, merged = cut_out(data, list(zip(start or [], end or [])))
-            for column, value in zip(out, (len(data), len(data) - len(kept), len(merged), kept)):
+            kept, merged = cut_out(data, stretches(len(data), span, lists))
+            values = [len(data), len(data) - len(kept), len(merged), kept]
+            if passage:
+                _, runs = cut_out(data, stretches(len(data), passage, lists))
+                passages = sum(len(WORD.findall(data, *x)) > WORDS for x in runs)
+                values += [sum(end - start for start, end in runs), passages]
+            for column, value in zip(out, values):
                 column.append(value)
         return [batch.column(0), *out]
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    return map_batches(joined, ["doc_id", "z", *ends], run, schema)
+    schema += ", n_repeated bigint, n_passages bigint" if passage else ""
+    return map_batches(joined, ["doc_id", "z", *found], run, schema)
 
 
 def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
@@ -407,9 +455,10 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
 
     Bytes of a character that a cut has torn apart go with it. A null text stays null.
     """
-    spans = repeated_spans(keyed(docs, id_column, text).select("k", "d", "t"), span, crowd)
-    key, of, first, last, left, packed = free_names(docs, "_k", "_of", "_start", "_end", "_kept", "_z")
-    spans = spans.select(F.col("k").alias(of), F.col("spans.start").alias(first), F.col("spans.end").alias(last))
+    spans = repeated_spans(keyed(docs, id_column, text).select("k", "d", "t"), (span,), crowd)
+    key, of, first, last, span_of, left, packed = free_names(docs, "_k", "_of", "_start", "_last", "_span", "_kept", "_z")
+    fields = zip((first, last, span_of), ("start", "last", "span"))
+    spans = spans.select(F.col("k").alias(of), *[F.col(f"found.{f}").alias(name) for name, f in fields])
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     small = with_columns(
         docs.withColumn(key, digest), [text], lambda c: [[t if t is None else squeezed(t) for t in c[0]]], f"{packed} binary"
@@ -418,9 +467,10 @@ def stripped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", spa
 
     def run(columns):
         out = []
-        for z, start, end in zip(*columns):
-            out.append(z if z is None else cut_out(unsqueezed(z), list(zip(start or [], end or [])))[0].decode("utf-8", "ignore"))
+        for z, *lists in zip(*columns):
+            data = None if z is None else unsqueezed(z)
+            out.append(z if z is None else cut_out(data, stretches(len(data), span, lists))[0].decode("utf-8", "ignore"))
         return [out]
 
-    marked = with_columns(joined, [packed, first, last], run, f"{left} string")
+    marked = with_columns(joined, [packed, first, last, span_of], run, f"{left} string")
     return marked.withColumnRenamed(left, text).select(*docs.columns)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bwt_dedup
+from cohortspark.llm import bwt_dedup, queries
 
 
 def plain(texts, span):
@@ -166,3 +166,35 @@ def test_crowded_anchors_shuffle_no_text_again(docs, monkeypatch):
     check(docs, texts, 400, crowd=3)
     assert len(shuffled) == 1
     assert max(stored) < 40 * 150  # strings of an anchor in the passage: over 300 a text
+
+
+def test_two_lengths_at_once_equal_plain_counts(docs):
+    """The removed bytes are those of the longer strings alone; the shorter ones are counted beside them."""
+    rng = random.Random(8)
+    for span in (100, 140):
+        texts = [t for _ in range(6) for t in mixture(rng, span)]
+        data = [(t or "").encode() for t in texts]
+        for crowd in (bwt_dedup.CROWD, 2, 1):
+            rows = bwt_dedup.remove_repeats(docs(*texts), span=span, crowd=crowd, passage=60).collect()
+            found = {r.doc_id: r for r in rows}
+            for i, (t, spans, runs) in enumerate(zip(data, plain(data, span), plain(data, 60))):
+                kept, _ = bwt_dedup.cut_out(t, spans)
+                r = found[i]
+                assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(t), len(t) - len(kept), len(spans), kept)
+                words = [len([w for w in t[a:b].replace(b"\n", b" ").split(b" ") if w]) for a, b in runs]
+                assert (r.n_repeated, r.n_passages) == (sum(b - a for a, b in runs), sum(n > 50 for n in words))
+            assert sum(r.n_removed for r in rows) < sum(r.n_repeated for r in rows)
+
+
+def test_passages_of_51_words_are_found(spark, tmp_path):
+    """They have fewer than 400 bytes, so no byte of them is removed."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = words(51)
+    texts = [f"{words(70)} {passage} {words(30)}", f"{words(20)} {passage}", words(150), None, f"{words(90)} {passage[:240]} {words(9)}"]
+    folder = f"{tmp_path}/tables"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op10_suffix_dedup(spark, folder).collect()}
+    assert [found[i].n_passages for i in range(5)] == [1, 1, 0, 0, 0]
+    assert found[0].n_repeated >= len(passage) and found[2].n_repeated == 0 and found[4].n_repeated >= 240
+    assert all(r.n_removed == 0 and r.n_spans == 0 for r in found.values())
