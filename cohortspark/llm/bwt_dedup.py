@@ -233,46 +233,47 @@ def unsqueezed(z: bytes) -> bytes:
 
 
 def _shards(
-    rows: DataFrame, window: int, span: int | None = None, crowds: list[tuple[np.ndarray, int]] | None = None
+    rows: DataFrame, window: int, spans: tuple[int, ...] = (), crowds: list[tuple[np.ndarray, int]] | None = None
 ) -> DataFrame:
     """(k, d, n, size, place, anchor, ctx): all different texts, with lists of all their anchors.
 
     n: how many rows have the text; d: the least of their ids; size: its bytes. ctx is a digest of the context; as only
     contexts of one anchor are compared, 64 bits do beside the anchor's own 64. Copies are met as one row, so that the
     hash of the text deals them out, not an anchor that many copies have. Anchors are those of windows of `window` bytes;
-    contexts reach to the end of strings of `span` bytes (default: as many), or of the text. With crowds only texts with
-    crowded anchors are given, with lists of the finer ones, for strings of `span` bytes.
+    contexts reach to the end of strings of the greatest of the spans (default: as many), or of the text. With crowds
+    only texts with crowded anchors are given, once for each span (span), with lists of the finer ones of its strings.
     """
-    span = span or window
+    spans = spans or (window,)
 
     def run(batch):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7 if crowds else 6)]
         for k, d, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = t.encode()
-            if len(data) < (span if crowds else window):
+            if len(data) < window:
                 continue
             with np.errstate(over="ignore"):
                 places = anchors(np.frombuffer(data, np.uint8), window)
-            if crowds:
-                a, lo, hi, h = (x[places[1] <= len(data) - span] for x in places)
-                places = finer(data, (a, lo, np.minimum(hi, len(data) - span), h), crowds, span)
-                if not len(places[0]):
-                    continue
-            a, lo, hi, h = places
             digest = xxhash.xxh3_64_intdigest
-            places = zip(a.tolist(), lo.tolist(), hi.tolist())
-            ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in places]
-            place = (a << 32) | ((a - lo) << 16) | (hi - lo)
-            for column, values in zip(out, (k, d, len(data), place, h, np.array(ctx, np.uint64).view(np.int64))):
-                column.append(values)
+            for span in spans if crowds else spans[-1:]:
+                a, lo, hi, h = places
+                if crowds:
+                    a, lo, hi, h = (x[lo <= len(data) - span] for x in places)
+                    a, lo, hi, h = finer(data, (a, lo, np.minimum(hi, len(data) - span), h), crowds, span)
+                    if not len(a):
+                        continue
+                pairs = zip(a.tolist(), lo.tolist(), hi.tolist())
+                ctx = [digest(data[x : y + span] + (p - x).to_bytes(4, "big")) for p, x, y in pairs]
+                place = (a << 32) | ((a - lo) << 16) | (hi - lo)
+                for column, values in zip(out, (k, d, len(data), place, h, np.array(ctx, np.uint64).view(np.int64), span)):
+                    column.append(values)
         return out
 
     if window > 1 << 16:
         raise ValueError("a place holds distances of 16 bits")
     lists = ("place", "anchor", "ctx")
     schema = "k binary, d string, size bigint, place array<bigint>, anchor array<bigint>, ctx array<bigint>"
-    found = map_batches(rows, ["k", "d", "t"], run, schema, rows=64)
-    return found.groupBy("k").agg(
+    found = map_batches(rows, ["k", "d", "t"], run, schema + (", span int" if crowds else ""), rows=64)
+    return found.groupBy("k", *(["span"] if crowds else [])).agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("d"), F.first("size").alias("size"), *[F.first(x).alias(x) for x in lists]
     )
 
@@ -347,11 +348,12 @@ def _merged(contexts: DataFrame, spans: tuple[int, ...]) -> DataFrame:
     return dealt.mapInArrow(run, "k binary, start bigint, last bigint, span int")
 
 
-def _kinds(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _kinds(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(k, start, last, span): first and last start of the contexts that occur twice; (anchor, k, place, full, kinds): the
     different contexts of anchors that have several; (anchor, kinds): the number of these contexts.
     """
-    every = texts.select("k", "n", F.inline(F.arrays_zip("place", "anchor", "ctx")))
+    span = [x for x in texts.columns if x == "span"]
+    every = texts.select("k", "n", *span, F.inline(F.arrays_zip("place", "anchor", "ctx")))
     often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     often = store(often, "recurring", "zstd")  # a plain table, so that the join can split an anchor with very many rows
     every = store(every.join(often, "anchor", "left_semi"), "repeated-anchors", "zstd")
@@ -360,8 +362,8 @@ def _kinds(texts: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame
     )
     kinds = store(kinds, "contexts", "zstd")
     full = kinds.where("n > 1 AND least = 1").select("anchor", "ctx")  # copied texts go as a whole
-    whole = every.where("n = 1").join(full, ["anchor", "ctx"], "left_semi").select("k", *_ends())
-    whole = whole.select("k", F.col("lo").alias("start"), F.col("hi").alias("last"), F.lit(span).alias("span"))
+    whole = every.where("n = 1").join(full, ["anchor", "ctx"], "left_semi").select("k", *_ends(), *(span or [F.lit(0).alias("span")]))
+    whole = whole.select("k", F.col("lo").alias("start"), F.col("hi").alias("last"), "span")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = store(several, "several", "zstd")
     return whole, kinds.join(several, "anchor").select("anchor", "at.*", (F.col("n") > 1).alias("full"), "kinds"), several
@@ -376,23 +378,20 @@ def repeated_spans(rows: DataFrame, spans: tuple[int, ...] = (SPAN,), crowd: int
     the hashes of crowded anchors, each of which has over `crowd` contexts: 8 bytes for several megabytes of different texts.
     """
     window, reach = spans[0], spans[-1]
-    texts = store(_shards(rows, window, reach), "anchors", "zstd")
+    texts = store(_shards(rows, window, spans), "anchors", "zstd")
     start, every = F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("span")
     found = texts.where("n > 1").select("k", start, F.col("size").alias("last"), every)
-    whole, mixed, several = _kinds(texts, 0)
-    found, wanted = found.unionByName(whole), mixed.where(F.col("kinds") <= crowd)
-    over = lambda several: [r.anchor for r in several.where(F.col("kinds") > crowd).select("anchor").collect()]
-    first = over(several)
-    for span in spans:
-        crowded, crowds = first, []
-        for width in FINER:
-            if not crowded:
-                break
-            crowds.append((np.array(crowded, np.int64), min(width, span)))
-            whole, mixed, several = _kinds(store(_shards(rows, window, span, crowds), "finer-anchors", "zstd"), span)
-            found = found.unionByName(whole)
-            if width > 1:
-                wanted, crowded = wanted.unionByName(mixed.where(F.col("kinds") <= crowd)), over(several)
+    whole, mixed, several = _kinds(texts)
+    found, wanted, crowds = found.unionByName(whole), mixed.where(F.col("kinds") <= crowd), []
+    for width in FINER:
+        crowded = [r.anchor for r in several.where(F.col("kinds") > crowd).select("anchor").collect()]
+        if not crowded:
+            break
+        crowds.append((np.array(crowded, np.int64), min(width, window)))
+        whole, mixed, several = _kinds(store(_shards(rows, window, spans, crowds), "finer-anchors", "zstd"))
+        found = found.unionByName(whole)
+        if width > 1:
+            wanted = wanted.unionByName(mixed.where(F.col("kinds") <= crowd))
     found = found.unionByName(_merged(_contexts(rows, texts, wanted, reach), spans))
     found = found.distinct().groupBy("k").agg(F.collect_list(F.struct("start", "last", "span")).alias("found"))
     return store(found, "spans")

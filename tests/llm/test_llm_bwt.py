@@ -168,9 +168,11 @@ def test_crowded_anchors_shuffle_no_text_again(docs, monkeypatch):
     assert max(stored) < 40 * 150  # strings of an anchor in the passage: over 300 a text
 
 
-def test_two_lengths_at_once_equal_plain_counts(docs):
-    """The removed bytes are those of the longer strings alone; the shorter ones are counted beside them."""
+def test_two_lengths_at_once_equal_plain_counts(docs, monkeypatch):
+    """The removed bytes are those of the longer strings alone; the shorter ones are counted beside them, in the same passes."""
     rng = random.Random(8)
+    passes, shards = [], bwt_dedup._shards
+    monkeypatch.setattr(bwt_dedup, "_shards", lambda *given: passes.append(1) or shards(*given))
     for span in (100, 140):
         texts = [t for _ in range(6) for t in mixture(rng, span)]
         data = [(t or "").encode() for t in texts]
@@ -184,6 +186,8 @@ def test_two_lengths_at_once_equal_plain_counts(docs):
                 words = [len([w for w in t[a:b].replace(b"\n", b" ").split(b" ") if w]) for a, b in runs]
                 assert (r.n_repeated, r.n_passages) == (sum(b - a for a, b in runs), sum(n > 50 for n in words))
             assert sum(r.n_removed for r in rows) < sum(r.n_repeated for r in rows)
+            assert len(passes) <= 3
+            passes.clear()
 
 
 def test_passages_of_51_words_are_found(spark, tmp_path):
